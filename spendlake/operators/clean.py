@@ -80,3 +80,8 @@ def per_unit(df: DataFrame, spend: str = "total_spend") -> DataFrame:
         "spend_per_hotel_room": F.try_divide(F.col(spend).cast("double"),
                                              F.col("hotel_rooms_k") * 1e3),
     })
+
+
+def far_above_mean(df: DataFrame, value: str, times: float = 2.0) -> DataFrame:
+    """Rows whose value exceeds a multiple of the column's mean."""
+    return df.filter(F.col(value) > df.select(F.avg(value)).scalar() * times)

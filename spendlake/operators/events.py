@@ -25,7 +25,7 @@ def event_scores(events: DataFrame) -> DataFrame:
     weight = F.pow(F.lit(0.5), F.col("rank") - 1).cast("decimal(20,16)")
     term = F.col("score").cast("decimal(10,2)") * weight
     return ranked.groupBy("state", "year_month").agg(
-        F.round(F.sum(term).cast("double"), 4).alias("event_score"))
+        F.round(F.sum(term), 4).cast("double").alias("event_score"))
 
 
 def event_counts(events: DataFrame) -> DataFrame:

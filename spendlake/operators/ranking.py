@@ -74,13 +74,13 @@ def concentration(df: DataFrame, key: str, value: str = "total_spend",
     ranked = pareto(df, key, value)
     n = df.select(F.count("*")).scalar()
     extra = 1 if compat else 0
-    columns = []
+    held = []
     for share in shares:
         size = F.greatest(F.floor(n * F.lit(share)) + extra, F.lit(1))
-        held = F.max(F.when(F.col("rank") <= F.col(f"_k_{share}"), F.col("cum_pct")))
-        columns.append((share, size, held))
-    sized = ranked.withColumns({f"_k_{share}": size for share, size, _ in columns})
-    return sized.agg(*[held.alias(f"top_{_pct(share)}pct") for share, _, held in columns])
+        inside = F.when(F.col("rank") <= size, F.col("cum_pct"))
+        held.append((f"top_{_pct(share)}pct", inside))
+    marked = ranked.select(*[inside.alias(name) for name, inside in held])
+    return marked.agg(*[F.max(name).alias(name) for name, _ in held])
 
 
 def _pct(share: float) -> str:
