@@ -6,9 +6,7 @@ short; the rows are always all of them.
 
 from __future__ import annotations
 
-from functools import cache
-
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions import clamp, rounded
 from ..models import anomaly, cluster
@@ -24,7 +22,7 @@ from ..schema import ENCODED
 from ..session import settle
 from ..sources import star
 from .base import (
-    BEFORE, CUTOFF, HORIZON, NOW, customer_spend, fact, query, r, segment_month, sql, state_month,
+    BEFORE, CUTOFF, HORIZON, NOW, fact, query, r, segment_month, sql, state_month,
 )
 
 SEED = 42
@@ -191,8 +189,6 @@ def metrics(spark, folder):
 
 def _naive(spark, folder):
     """Three predictors without a fit: last month, mean of three, same month a year ago."""
-    from pyspark.sql import Window as W
-
     panel = ev.prior_year(state_month(spark, folder), ["state"])
     w = W.partitionBy("state").orderBy("year_month")
     back = [F.lag(F.col("spend").cast("double"), k).over(w) for k in (1, 2, 3)]
@@ -204,8 +200,8 @@ def _naive(spark, folder):
 
 
 def _bases():
-    return {"boosted_a": boosted(6, 4, 0.2), "boosted_b": boosted(6, 3, 0.2), "forest": forest(8, 6),
-            "boosted_c": boosted(4, 5, 0.2)}
+    return {"boosted_a": boosted(4, 4, 0.3), "boosted_b": boosted(4, 3, 0.3), "forest": forest(8, 6),
+            "boosted_c": boosted(3, 5, 0.3)}
 
 
 @query("M13_stacking")
@@ -390,6 +386,3 @@ def portfolio_figures(spark, folder):
     ahead, _ = _outlook(spark, folder)
     return outlook.portfolio(state_month(spark, folder), settle(ahead), star.event_calendar(spark, folder),
                              CUTOFF // 100, NOW, BEFORE)
-
-
-__all__ = ["cache", "customer_spend"]

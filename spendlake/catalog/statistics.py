@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import mix, ranking, stats, trend
-from ..plans import marts
 from ..sources import star
-from .base import fact, query, r, segment_month, sql, state_month, state_totals
+from .base import fact, query, r, segment_month, sql, state_totals
 
 FACTORS = ["population_m", "gdp_b", "tourism_b", "hotel_count", "hotel_rooms_k", "event_count"]
 
@@ -114,9 +113,10 @@ _BINS = " + ".join(f"(e[{i}] < y)::INT" for i in range(1, 10))
 SELECT feature, {r('sum(n / CAST(total AS DOUBLE) * ln(n * CAST(total AS DOUBLE) / (nx * CAST(ny AS DOUBLE))))', 6)} AS mutual_information
 FROM (SELECT *, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTITION BY feature, b) AS ny,
     sum(n) OVER (PARTITION BY feature) AS total
-  FROM (SELECT unnest({_MI_FEATURES!r}) AS feature,
-      unnest([segment, cat_l1, cat_l2, state, ecomm_status, coalesce(cat_l4, '?')]) AS x, b, count(*) AS n
-    FROM (SELECT *, {_BINS} AS b FROM (SELECT *, CAST(spend AS DOUBLE) AS y FROM fact), (SELECT [{_EDGES}] AS e FROM fact))
+  FROM (SELECT feature, x, b, count(*) AS n FROM (
+      SELECT unnest({_MI_FEATURES!r}) AS feature,
+        unnest([segment, cat_l1, cat_l2, state, ecomm_status, coalesce(cat_l4, '?')]) AS x, b
+      FROM (SELECT *, {_BINS} AS b FROM (SELECT *, CAST(spend AS DOUBLE) AS y FROM fact), (SELECT [{_EDGES}] AS e FROM fact)))
     GROUP BY ALL)) GROUP BY ALL""", "fact"))
 def mutual_information(spark, folder):
     df = fact(spark, folder, *_MI_FEATURES, "spend")
@@ -136,6 +136,3 @@ LEFT JOIN (SELECT customer_id, centroid, nc, count(*) AS inter
 def basket(spark, folder):
     df = stats.basket_similarity(fact(spark, folder, "customer_id", "segment", "cat_l2"))
     return df.withColumn("jaccard", rounded(F.col("jaccard"), 6))
-
-
-__all__ = ["marts", "state_month"]

@@ -12,12 +12,16 @@ CLUSTER_FEATURES = ["log_total_spend", "log_avg_spend", "transactions", "unique_
 
 
 def cluster_frame(profile: DataFrame) -> DataFrame:
-    """Customer profile -> key, plain profile columns and scaled ``features``."""
+    """Customer profile -> key, plain profile columns and scaled ``features``.
+
+    The features are centred at 1. Distances are the same as around 0, but bisecting needs
+    a first centre away from the origin: it splits by a shift relative to the centre.
+    """
     logged = profile.withColumns({
         "log_total_spend": F.log1p(F.col("total_spend").cast("double")),
         "log_avg_spend": F.log1p(F.col("avg_spend").cast("double"))}).fillna(0)
     scaler = Scaler.fit(logged, CLUSTER_FEATURES)
-    scaled = logged.withColumns({f"_{c}": scaler.column(c) for c in CLUSTER_FEATURES})
+    scaled = logged.withColumns({f"_{c}": scaler.column(c) + 1.0 for c in CLUSTER_FEATURES})
     names = [f"_{c}" for c in CLUSTER_FEATURES]
     return assemble(scaled, names).drop(*names)
 

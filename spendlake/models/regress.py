@@ -10,9 +10,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -86,11 +87,34 @@ class Ridge:
     def __init__(self, alpha: float = 1.0, features: str = "features") -> None:
         self.alpha, self.features = alpha, features
 
-    def fit(self, df: DataFrame) -> Model:
-        row = df.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s")).first()
-        penalty = self.alpha * (row["s"] or 1.0) / row["n"]
-        return LinearRegression(featuresCol=self.features, solver="normal", elasticNetParam=0.0,
-                                regParam=penalty, standardization=False).fit(df)
+    def fit(self, df: DataFrame) -> RidgeModel:
+        row = df.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s"),
+                     Summarizer.variance(F.col(self.features)).alias("v")).first()
+        size = len(row["v"])
+        varying = [i for i, v in enumerate(row["v"]) if v > 0]
+        cut = None
+        if len(varying) < size:
+            cut = VectorSlicer(inputCol=self.features, outputCol="_varying", indices=varying)
+        learner = LinearRegression(
+            featuresCol="_varying" if cut else self.features, solver="normal", elasticNetParam=0.0,
+            standardization=False, regParam=self.alpha * (row["s"] or 1.0) / row["n"])
+        return RidgeModel(cut, learner.fit(cut.transform(df) if cut else df), varying, size)
+
+
+class RidgeModel:
+    """A fitted ridge. Constant features are left out of the fit, where they would make
+    the normal equations singular, and have coefficient 0."""
+
+    def __init__(self, cut: VectorSlicer | None, linear: Model, varying: list[int], size: int) -> None:
+        self.cut, self.linear = cut, linear
+        self.intercept = float(linear.intercept)
+        self.coefficients = np.zeros(size)
+        self.coefficients[varying] = linear.coefficients.toArray()
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.cut is None:
+            return self.linear.transform(df)
+        return self.linear.transform(self.cut.transform(df)).drop("_varying")
 
 
 class FourierFeatures:
@@ -106,26 +130,28 @@ class FourierFeatures:
         weights = rng.normal(0.0, math.sqrt(2 * gamma), (size, len(inputs)))
         shift = rng.uniform(0.0, 2 * math.pi, (size, 1))
         self.inputs, self.size = inputs, size
-        self.rows = np.hstack([weights, shift]).tolist()
+        rows = np.hstack([weights, shift]).tolist()
+        self.rows = "array(" + ", ".join(
+            "array(" + ", ".join(f"{v!r}D" for v in row) + ")" for row in rows) + ")"
 
     def column(self, inputs: list[Column] | None = None) -> Column:
         columns = inputs or [F.col(c) for c in self.inputs]
         x = F.array(*[c.cast("double") for c in columns], F.lit(1.0))
-        rows = F.array(*[F.array(*[F.lit(v) for v in row]) for row in self.rows])
         dot = lambda w: F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0),
                                     lambda s, v: s + v)
         return array_to_vector(F.transform(
-            rows, lambda w: F.cos(dot(w)) * math.sqrt(2.0 / self.size)))
+            F.expr(self.rows), lambda w: F.cos(dot(w)) * math.sqrt(2.0 / self.size)))
 
 
 class KernelRegression:
-    """Robust regression on random cosine features; stands in for an RBF support vector fit."""
+    """Ridge on random cosine features; stands in for an RBF support vector fit.
 
-    def __init__(self, inputs: list[str], size: int = 64, penalty: float = 1e-3,
-                 seed: int = 42) -> None:
+    ``cost`` weighs the errors against the penalty. The normal equations need one pass.
+    """
+
+    def __init__(self, inputs: list[str], size: int = 64, cost: float = 10.0, seed: int = 42) -> None:
         self.map = FourierFeatures(inputs, size, seed=seed)
-        self.linear = LinearRegression(featuresCol="kernel", loss="huber", epsilon=1.35,
-                                       regParam=penalty, maxIter=100)
+        self.linear = Ridge(1.0 / cost, "kernel")
 
     def fit(self, df: DataFrame) -> KernelModel:
         return KernelModel(self.map, self.linear.fit(df.withColumn("kernel", self.map.column())))
@@ -278,8 +304,8 @@ def permutation_importance(df: DataFrame, model: Model, features: list[str], rep
         swapped = pairs.select("label", "feature", array_to_vector(mixed).alias("features"))
         part = scores(model.transform(swapped), "label", "prediction", ["feature"])
         drops = part if drops is None else drops.unionByName(part)
-    return drops.groupBy("feature").agg(
-        F.avg(intact - F.col("r2")).alias("importance"))
+    means = drops.groupBy("feature").agg(F.avg("r2").alias("_shuffled"))
+    return means.select("feature", (intact - F.col("_shuffled")).alias("importance"))
 
 
 def align_importances(vectors: dict[str, DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import UNKNOWN
+from ..session import settle
 from .ranking import with_group_position
 
 
@@ -91,8 +92,11 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, columns: list[str], codes: DataFrame | None = None) -> DataFrame:
-    """Add ``<name>_enc`` for each column. Code tables join by size: broadcast when small."""
-    codes = label_codes(df, columns) if codes is None else codes
+    """Add ``<name>_enc`` for each column. Code tables join by size: broadcast when small.
+
+    The codes are settled once, since every column reads them.
+    """
+    codes = settle(label_codes(df, columns)) if codes is None else codes
     for name in columns:
         mine = codes.filter(F.col("column") == name).select(
             F.col("value").alias(f"_v_{name}"), F.col("code").alias(f"{name}_enc"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -135,11 +138,10 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     at its exact quantiles. One contingency grouping covers all features.
     """
     cuts = {f"c{i}": i / bins for i in range(1, bins)}
-    edges = quantiles(df, [], target, cuts)
-    edge_array = edges.select(F.array(*cuts)).scalar()
+    edges = quantiles(df, [], target, cuts).select(F.array(*cuts)).scalar()
     y = F.col(target).cast("double")
-    bin_no = F.size(F.filter(edge_array, lambda e: e < y))
-    labelled = df.withColumn("_y", bin_no)
+    below = [(F.get("_edges", F.lit(i)) < y).cast("int") for i in range(bins - 1)]
+    labelled = df.withColumn("_edges", edges).withColumn("_y", reduce(add, below))
     text = labelled.select("_y", *[F.col(c).cast("string").alias(c) for c in features])
     cells = (text.unpivot(["_y"], features, "feature", "_x").groupBy("feature", "_x", "_y")
              .agg(F.count("*").alias("_n")))
