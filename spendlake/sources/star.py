@@ -23,6 +23,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows over all cores when the files give fewer splits than there are cores.
+
+    A table of many files already has enough splits and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _expressions() -> dict[str, F.Column]:
     """Fact column -> expression over the joined star tables."""
     key = F.col("o_custkey")
@@ -69,7 +78,7 @@ def spend_fact(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The spend fact with the given columns (all when none is named)."""
     wanted = list(columns) or FACT_COLUMNS
     need = set(wanted)
-    df = table(spark, folder, "lineitem")
+    df = spread(table(spark, folder, "lineitem"), "l_orderkey")
     if need & _ORDER:
         df = df.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if need & _CUSTOMER:
