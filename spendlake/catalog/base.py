@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import rollup
 from ..plans import marts
+from ..session import settle
 from ..sources import star
 
 # The given tables run from 1995-01 to 2001-08.
@@ -76,6 +77,22 @@ def state_totals(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.key_stats(fact(spark, folder, "state", "spend"), "state")
 
 
+def state_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """State-month spend as a settled mart, for queries that read it several times."""
+    return settle(state_month(spark, folder))
+
+
+def segment_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Segment-month spend as a settled mart."""
+    return settle(segment_month(spark, folder))
+
+
+def mix_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Segment-category spend as a settled mart: both mix levels are sums of it."""
+    return settle(fact(spark, folder, "segment", "cat_l1", "spend").groupBy("segment", "cat_l1").agg(
+        F.sum("spend").alias("spend")))
+
+
 def full_segment_month(spark: SparkSession, folder: str) -> DataFrame:
     return marts.segment_month(detail(spark, folder))
 

@@ -8,7 +8,7 @@ from ..functions import rounded
 from ..operators import events as ev, growth, rollup, trend
 from ..sources import star
 from .base import (
-    BEFORE, CUTOFF, HORIZON, NOW, month_total, query, r, segment_month, sql, state_month,
+    BEFORE, CUTOFF, HORIZON, NOW, month_total, query, r, segment_panel, sql, state_month, state_panel,
 )
 
 
@@ -27,7 +27,7 @@ SELECT g.state, {r('now_spend - before_spend')} AS yoy_lift, {r('coalesce(e.s, 0
 FROM growth g LEFT JOIN (SELECT state, sum(event_score) AS s FROM ev_score
   WHERE year_month BETWEEN {NOW[0]} AND {NOW[1]} GROUP BY ALL) e USING (state)""", "growth", "ev_score"))
 def lift(spark, folder):
-    df = growth.lift_and_events(state_month(spark, folder), star.event_calendar(spark, folder), NOW, BEFORE)
+    df = growth.lift_and_events(state_panel(spark, folder), star.event_calendar(spark, folder), NOW, BEFORE)
     return df.select("state", rounded(F.col("yoy_lift"), 4).alias("yoy_lift"),
                      rounded(F.col("event_score"), 4).alias("event_score"))
 
@@ -44,7 +44,7 @@ JOIN (SELECT segment, sum(spend) AS h1 FROM seg_month WHERE year_month BETWEEN {
 
 @query("G03_half_year", sql(_HALVES, "seg_month"))
 def half_year(spark, folder):
-    panel = segment_month(spark, folder)
+    panel = segment_panel(spark, folder)
     df = growth.half_year_growth(panel.filter(F.col("year_month").between(200001, CUTOFF)),
                                  panel.filter(F.col("year_month").between(HORIZON[0], HORIZON[-1])), ["segment"])
     return df.select("segment", rounded(F.col("prior_h2"), 4).alias("prior_h2"), rounded(F.col("h1"), 4).alias("h1"),
@@ -56,7 +56,7 @@ SELECT segment, {r('CAST(sum(spend) AS DOUBLE) / count(*)', 2)} AS avg_monthly,
   arg_max(year_month, (spend, -year_month)) AS peak_month, {r('max(spend)')} AS peak_value
 FROM seg_month WHERE year_month <= {CUTOFF} GROUP BY ALL""", "seg_month"))
 def panel_stats(spark, folder):
-    history = segment_month(spark, folder).filter(F.col("year_month") <= CUTOFF)
+    history = segment_panel(spark, folder).filter(F.col("year_month") <= CUTOFF)
     means = history.groupBy("segment").agg((F.sum("spend").cast("double") / F.count("*")).alias("avg_monthly"))
     return means.join(rollup.extremes(history, ["segment"]), "segment").select(
         "segment", rounded(F.col("avg_monthly"), 2).alias("avg_monthly"), "peak_month",
@@ -84,8 +84,8 @@ LEFT JOIN ev_score e USING (state, year_month) LEFT JOIN uplift u USING (state,
 LEFT JOIN state_month p USING (state, year_month) LEFT JOIN ev v USING (state, year_month)
 """, "state_month", "month_total", "ev_score", "uplift", "ev"))
 def event_spend(spark, folder):
-    panel = state_month(spark, folder)
-    ahead = month_total(spark, folder).filter(F.col("year_month").between(HORIZON[0], HORIZON[-1]))
+    panel = state_panel(spark, folder)
+    ahead = panel.filter(F.col("year_month").between(HORIZON[0], HORIZON[-1]))
     spine = ev.state_month_spine(panel, trend.known_months(ahead))
     df = ev.event_detail(spine, star.event_calendar(spark, folder), star.event_uplift(spark, folder), panel)
     return df.select("state", "year_month", "event_score", rounded(F.col("uplift_m"), 4).alias("uplift_m"),
@@ -98,7 +98,7 @@ SELECT state, {r('now_spend')} AS now_spend, {r('growth_pct', 6)} AS growth_pct,
 FROM growth_pct LEFT JOIN (SELECT state, name FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY score DESC, name) AS rn
   FROM ev WHERE year_month BETWEEN {NOW[0]} AND {NOW[1]}) WHERE rn = 1) e USING (state)""", "growth_pct", "ev"))
 def rankings(spark, folder):
-    df = growth.rankings(state_month(spark, folder), star.event_calendar(spark, folder), NOW, BEFORE)
+    df = growth.rankings(state_panel(spark, folder), star.event_calendar(spark, folder), NOW, BEFORE)
     return df.select("state", rounded(F.col("now_spend"), 4).alias("now_spend"),
                      rounded(F.col("growth_pct"), 6).alias("growth_pct"), "top_event", "rank")
 
@@ -112,6 +112,6 @@ WHERE segment IN (SELECT segment FROM (SELECT segment, sum(spend) AS q FROM seg_
   GROUP BY segment, ((year_month // 100) * 12 + year_month % 100 - 1) // 3) WHERE q > 50000)
 WINDOW w AS (PARTITION BY segment ORDER BY quarter_no)""", "seg_month", "labels"))
 def quarter_table(spark, folder):
-    df = growth.quarter_table(segment_month(spark, folder), star.segment_labels(spark, folder))
+    df = growth.quarter_table(segment_panel(spark, folder), star.segment_labels(spark, folder))
     return df.select("segment", "label", "quarter_no", rounded(F.col("spend"), 4).alias("spend"),
                      rounded(F.col("qoq_pct"), 6).alias("qoq_pct"))

@@ -22,7 +22,7 @@ from ..schema import ENCODED
 from ..session import settle
 from ..sources import star
 from .base import (
-    BEFORE, CUTOFF, HORIZON, NOW, fact, query, r, segment_month, sql, state_month,
+    BEFORE, CUTOFF, HORIZON, NOW, fact, query, r, segment_month, sql, state_panel,
 )
 
 SEED = 42
@@ -87,7 +87,7 @@ def event_features(spark, folder):
 
 
 def _features(spark, folder, cutoff=CUTOFF):
-    panel = state_month(spark, folder)
+    panel = state_panel(spark, folder)
     history = panel if cutoff is None else panel.filter(F.col("year_month") <= cutoff)
     return ev.feature_frame(history, star.state_reference(spark, folder),
                             star.event_calendar(spark, folder), star.event_uplift(spark, folder))
@@ -189,7 +189,7 @@ def metrics(spark, folder):
 
 def _naive(spark, folder):
     """Three predictors without a fit: last month, mean of three, same month a year ago."""
-    panel = ev.prior_year(state_month(spark, folder), ["state"])
+    panel = ev.prior_year(state_panel(spark, folder), ["state"])
     w = W.partitionBy("state").orderBy("year_month")
     back = [F.lag(F.col("spend").cast("double"), k).over(w) for k in (1, 2, 3)]
     wide = panel.select("state", "year_month", F.col("spend").cast("double").alias("actual"), back[0].alias("last"),
@@ -285,7 +285,7 @@ def weights(spark, folder):
 
 
 def _outlook(spark, folder):
-    return outlook.run(state_month(spark, folder), star.state_reference(spark, folder),
+    return outlook.run(state_panel(spark, folder), settle(star.state_reference(spark, folder)),
                        star.event_calendar(spark, folder), star.event_uplift(spark, folder),
                        CUTOFF, HORIZON, fc.state_learners(rounds=8, trees=8), folds=2)
 
@@ -314,7 +314,7 @@ FROM (SELECT *, CASE WHEN prior > 0 AND ab >= 3 THEN greatest(c0, prior + ab * 1
 
 def _corridor(spark, folder):
     """Corridor of each state and horizon month; the month's actual spend is bounded by it."""
-    panel = state_month(spark, folder)
+    panel = state_panel(spark, folder)
     history = panel.filter((F.col("year_month") <= CUTOFF) & (F.col("spend") > 0))
     base = history.groupBy("state").agg(F.avg(F.col("spend").cast("double")).alias("base"))
     keys = ["state", "year_month"]
@@ -384,5 +384,5 @@ def actual_and_forecast(spark, folder):
 @query("A30_portfolio_figures")
 def portfolio_figures(spark, folder):
     ahead, _ = _outlook(spark, folder)
-    return outlook.portfolio(state_month(spark, folder), settle(ahead), star.event_calendar(spark, folder),
+    return outlook.portfolio(state_panel(spark, folder), settle(ahead), star.event_calendar(spark, folder),
                              CUTOFF // 100, NOW, BEFORE)

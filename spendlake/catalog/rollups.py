@@ -11,10 +11,9 @@ from ..operators import clean, growth, mix, ranking, rollup, stats, trend
 from ..operators.ranking import top_rows
 from ..plans import marts
 from ..session import settle
-from ..sources import star
 from .base import (
-    CATEGORIES, CUTOFF, QUARTERS, STATES, YEAR, customer_spend, detail, fact, full_segment_month,
-    month_total, query, r, segment_month, sql, state_month,
+    CATEGORIES, CUTOFF, QUARTERS, STATES, customer_spend, detail, fact, full_segment_month,
+    month_total, query, r, segment_month, segment_panel, sql, state_panel,
 )
 
 _PRICES = f"{r('sum(spend)')} AS spend, {r('sum(list_price)')} AS list_price, {r('sum(savings)')} AS savings"
@@ -274,7 +273,7 @@ FROM (SELECT segment, year_month, coalesce(a.spend, f.spend, 0) AS spend
              WHERE year_month BETWEEN 200001 AND 200006) f USING (segment, year_month))
 WHERE year_month BETWEEN 200001 AND 200106 GROUP BY ALL""", "seg_month"))
 def quarters(spark, folder):
-    panel = segment_month(spark, folder)
+    panel = segment_panel(spark, folder)
     ahead = panel.filter(F.col("year_month").between(200001, 200006)).withColumn(
         "year_month", F.col("year_month") + 100)
     merged = growth.actual_or_forecast(panel.filter(F.col("year_month") <= CUTOFF), ahead, ["segment"])
@@ -290,7 +289,7 @@ _RESIDUAL = """(SELECT CAST(spend AS DOUBLE) / 1000 - avg(CAST(spend AS DOUBLE)
 SELECT CAST(count(e) AS DOUBLE) AS n, {r('avg(e)', 6)} AS mean, {r('stddev_samp(e)')} AS std, {r('min(e)')} AS min,
   {r('max(e)')} AS max, {r('skewness(e)', 6)} AS skew, {r('kurtosis(e)', 6)} AS kurtosis FROM {_RESIDUAL}""", "state_month"))
 def residual_moments(spark, folder):
-    panel = state_month(spark, folder).withColumn("y", F.col("spend").cast("double") / 1000)
+    panel = state_panel(spark, folder).withColumn("y", F.col("spend").cast("double") / 1000)
     means = panel.groupBy("state").agg(F.avg("y").alias("m"))
     out = stats.residual_moments(panel.join(means, "state").withColumn("e", F.col("y") - F.col("m")), "e")
     return out.select("n", rounded(F.col("mean"), 6).alias("mean"),
@@ -304,7 +303,7 @@ FROM (SELECT ln(1 + CAST(total_spend AS DOUBLE)) AS x FROM customers),
   (SELECT min(ln(1 + CAST(total_spend AS DOUBLE))) AS lo, max(ln(1 + CAST(total_spend AS DOUBLE))) AS hi FROM customers)
 GROUP BY ALL""", "customers"))
 def histogram(spark, folder):
-    df = customer_spend(spark, folder).withColumn("x", F.log1p(F.col("total_spend").cast("double")))
+    df = settle(customer_spend(spark, folder)).withColumn("x", F.log1p(F.col("total_spend").cast("double")))
     return stats.histogram(df, "x", 50)
 
 
@@ -343,7 +342,7 @@ def peaks(spark, folder):
 SELECT segment, {r('stddev_pop(CAST(spend AS DOUBLE)) / avg(CAST(spend AS DOUBLE))', 6)} AS monthly_cv
 FROM dense GROUP BY ALL""", "dense"))
 def variation(spark, folder):
-    dense = trend.densify(segment_month(spark, folder), ["segment"])
+    dense = trend.densify(segment_panel(spark, folder), ["segment"])
     return rollup.variation(dense, "segment").withColumn("monthly_cv", rounded(F.col("monthly_cv"), 6))
 
 

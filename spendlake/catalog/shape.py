@@ -14,10 +14,11 @@ from ..operators import clean, events as ev, growth, mix, rollup, trend
 from ..operators.ranking import top_rows
 from ..plans import marts
 from ..schema import DEFAULT_REFERENCE
+from ..session import settle
 from ..sources import star
 from .base import (
-    CUTOFF, STATES, YEAR, customer_spend, fact, full_segment_month, month_total, query, r,
-    segment_month, sql, state_month, state_totals,
+    CUTOFF, STATES, YEAR, customer_spend, fact, full_segment_month, mix_cells, month_total, query, r,
+    segment_panel, sql, state_month, state_panel, state_totals,
 )
 
 # Projections, filters, predicates -----------------------------------------------------
@@ -147,7 +148,7 @@ FROM (SELECT segment, CAST(sum(spend) AS DOUBLE) AS total_spend FROM fact GROUP
 
 @query("P12_strategic_class", sql(_CLASS, "fact", "trend"))
 def strategic(spark, folder):
-    return marts.segment_features(full_segment_month(spark, folder)).select(
+    return marts.segment_features(settle(full_segment_month(spark, folder))).select(
         "segment", rounded(F.col("total_spend"), 2).alias("total_spend"),
         rounded(F.col("momentum"), 6).alias("momentum"), "strategic_class", "growth_signal")
 
@@ -186,7 +187,7 @@ def _risk(spark, folder):
     clients = fact(spark, folder, "segment", "client_id", "spend").groupBy("segment", "client_id").agg(
         F.sum("spend").cast("double").alias("c"))
     held = clients.groupBy("segment").agg((F.max("c") / F.sum("c")).alias("concentration"))
-    dense = trend.densify(segment_month(spark, folder), ["segment"])
+    dense = trend.densify(segment_panel(spark, folder), ["segment"])
     return trend.trend_features(dense, ["segment"]).join(held, "segment")
 
 
@@ -263,7 +264,7 @@ SELECT a.state, a.year_month, {r('a.spend')} AS spend, {r('b.spend')} AS prior_y
 FROM state_month a LEFT JOIN state_month b ON b.state = a.state AND b.year_month = a.year_month - 100
 """, "state_month"))
 def prior_year(spark, folder):
-    return ev.prior_year(state_month(spark, folder), ["state"]).select(
+    return ev.prior_year(state_panel(spark, folder), ["state"]).select(
         "state", "year_month", rounded(F.col("spend"), 4).alias("spend"),
         rounded(F.col("prior_year"), 4).alias("prior_year"))
 
@@ -285,8 +286,7 @@ _ALIGN = """FROM (SELECT DISTINCT segment FROM mix) s CROSS JOIN (SELECT DISTINC
 
 
 def _aligned(spark, folder):
-    """Segments without one category each, so that missing shares occur."""
-    df = fact(spark, folder, "segment", "cat_l1", "spend")
+    df = mix_cells(spark, folder)
     return mix.mix_against_national(mix.category_mix(df), mix.national_mix(df))
 
 
@@ -307,7 +307,7 @@ FULL JOIN (SELECT state, year_month + 100 AS year_month, spend FROM state_month
            WHERE year_month BETWEEN 200001 AND 200006) f USING (state, year_month)""", "state_month"))
 def actual_forecast(spark, folder):
     """Last year's months stand in for the forecast of the horizon."""
-    panel = state_month(spark, folder)
+    panel = state_panel(spark, folder)
     actual = panel.filter(F.col("year_month") <= CUTOFF)
     ahead = panel.filter(F.col("year_month").between(200001, 200006)).withColumn(
         "year_month", F.col("year_month") + 100)
@@ -368,7 +368,7 @@ FROM (SELECT DISTINCT segment, state FROM fact) s CROSS JOIN (SELECT DISTINCT ye
 LEFT JOIN (SELECT segment, state, year_month, sum(spend) AS spend FROM fact GROUP BY ALL) f
   USING (segment, state, year_month)""", "fact"))
 def densify(spark, folder):
-    df = marts.segment_state_month(fact(spark, folder, "segment", "state", "year_month", "spend"))
+    df = settle(marts.segment_state_month(fact(spark, folder, "segment", "state", "year_month", "spend")))
     return trend.densify(df, ["segment", "state"]).select(
         "segment", "state", "year_month", rounded(F.col("spend"), 4).alias("spend"))
 
@@ -437,7 +437,7 @@ def clamped(spark, folder):
 SELECT state, {r('(x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ())', 8)} AS scaled
 FROM (SELECT state, CAST(total_spend AS DOUBLE) AS x FROM state_tot)""", "state_tot"))
 def scaled(spark, folder):
-    df = unit_scale(state_totals(spark, folder), ["total_spend"])
+    df = unit_scale(settle(state_totals(spark, folder)), ["total_spend"])
     return df.select("state", rounded(F.col("total_spend_scaled"), 8).alias("scaled"))
 
 
@@ -445,7 +445,7 @@ def scaled(spark, folder):
 SELECT state, {r('(x - avg(x) OVER ()) / (stddev_pop(x) OVER () + 1e-9)')} AS z
 FROM (SELECT state, CAST(total_spend AS DOUBLE) AS x FROM state_tot)""", "state_tot"))
 def z_score(spark, folder):
-    df = standard_score(state_totals(spark, folder), ["total_spend"])
+    df = standard_score(settle(state_totals(spark, folder)), ["total_spend"])
     return df.select("state", rounded(F.col("total_spend_z"), 4).alias("z"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import mix, ranking, stats, trend
+from ..session import settle
 from ..sources import star
-from .base import fact, query, r, segment_month, sql, state_totals
+from .base import fact, mix_cells, query, r, segment_panel, sql, state_totals
 
 FACTORS = ["population_m", "gdp_b", "tourism_b", "hotel_count", "hotel_rooms_k", "event_count"]
 
@@ -17,7 +18,7 @@ SELECT segment, n, {r('slope', 2)} AS slope, {r('slope_norm', 6)} AS slope_norm,
   {r('momentum', 6)} AS momentum, {r('volatility', 6)} AS volatility, {r('q1_avg', 2)} AS q1_avg,
   {r('q4_avg', 2)} AS q4_avg, best_month, worst_month FROM trend""", "trend"))
 def trend_features(spark, folder):
-    dense = trend.densify(segment_month(spark, folder), ["segment"])
+    dense = trend.densify(segment_panel(spark, folder), ["segment"])
     df = trend.trend_features(dense, ["segment"])
     return df.select("segment", "n", *[rounded(F.col(c), 2).alias(c) for c in ("slope", "q1_avg", "q4_avg")],
                      *[rounded(F.col(c), 6).alias(c) for c in ("slope_norm", "r2", "momentum", "volatility")],
@@ -28,7 +29,7 @@ _STATES = "(SELECT s.state, CAST(total_spend AS DOUBLE) AS y, ref.* EXCLUDE (sta
 
 
 def _states(spark, folder):
-    return state_totals(spark, folder).join(star.state_reference(spark, folder), "state")
+    return settle(state_totals(spark, folder).join(star.state_reference(spark, folder), "state"))
 
 
 @query("Q02_factor_correlation", sql(" UNION ALL ".join(
@@ -66,7 +67,7 @@ def regression(spark, folder):
 SELECT segment, {r('regr_slope(x, m)', 2)} AS slope, {r('regr_intercept(x, m)', 2)} AS intercept
 FROM (SELECT segment, CAST(spend AS DOUBLE) AS x, month_no AS m FROM dense) GROUP BY ALL""", "dense"))
 def fit_line(spark, folder):
-    dense = trend.densify(segment_month(spark, folder), ["segment"])
+    dense = trend.densify(segment_panel(spark, folder), ["segment"])
     df = stats.fit_line(dense, "month_no", "spend", ["segment"])
     return df.select("segment", rounded(F.col("slope"), 2).alias("slope"),
                      rounded(F.col("intercept"), 2).alias("intercept"))
@@ -78,7 +79,7 @@ FROM (SELECT DISTINCT segment FROM mix) s CROSS JOIN (SELECT DISTINCT cat_l1 FRO
 LEFT JOIN mix m ON m.segment = s.segment AND m.cat_l1 = c.cat_l1 LEFT JOIN natmix n ON n.cat_l1 = c.cat_l1
 """, "mix", "natmix"))
 def over_index(spark, folder):
-    df = fact(spark, folder, "segment", "cat_l1", "spend")
+    df = mix_cells(spark, folder)
     out = mix.mix_against_national(mix.category_mix(df), mix.national_mix(df))
     return out.select("segment", "cat_l1", rounded(F.col("delta_pp"), 6).alias("delta_pp")).orderBy("segment", "delta_pp")
 
@@ -87,7 +88,7 @@ def over_index(spark, folder):
 SELECT segment, cat_l1, {r('total_spend')} AS total_spend, {r('pct', 6)} AS pct FROM mix
 UNION ALL SELECT 'National', cat_l1, {r('total_spend')}, {r('pct', 6)} FROM natmix""", "mix", "natmix"))
 def category_mix(spark, folder):
-    df = fact(spark, folder, "segment", "cat_l1", "spend")
+    df = mix_cells(spark, folder)
     whole = mix.national_mix(df).withColumn("segment", F.lit("National"))
     return mix.category_mix(df).unionByName(whole).select(
         "segment", "cat_l1", rounded(F.col("total_spend"), 4).alias("total_spend"), rounded(F.col("pct"), 6).alias("pct"))
@@ -97,7 +98,7 @@ def category_mix(spark, folder):
 SELECT {r('CAST(sum(total_spend) FILTER (rn <= 3) * 100 AS DOUBLE) / CAST(sum(total_spend) AS DOUBLE)', 6)} AS top_3_share_pct
 FROM (SELECT *, row_number() OVER (ORDER BY total_spend DESC, state) AS rn FROM state_tot)""", "state_tot"))
 def top_three(spark, folder):
-    totals = state_totals(spark, folder)
+    totals = settle(state_totals(spark, folder))
     whole = totals.select(F.sum("total_spend")).scalar()
     best = ranking.top_rows(totals, 3, "total_spend", "state").agg(F.sum("total_spend").alias("s"))
     share = (F.col("s") * 100).cast("double") / whole.cast("double")

@@ -8,8 +8,8 @@ from ..functions import rounded
 from ..operators import events as ev, growth, mix, ranking, rollup, trend
 from ..sources import star
 from .base import (
-    HORIZON, NOW, BEFORE, customer_spend, fact, month_total, query, r, segment_month, sql,
-    state_month, state_totals,
+    HORIZON, NOW, BEFORE, customer_spend, fact, month_total, query, r, segment_panel, sql,
+    state_month, state_panel, state_totals,
 )
 
 
@@ -132,7 +132,7 @@ SELECT segment, {r('avg(CASE WHEN x > med THEN 1.0 ELSE 0.0 END)', 6)} AS active
 FROM (SELECT segment, CAST(spend AS DOUBLE) AS x, median(CAST(spend AS DOUBLE)) OVER (PARTITION BY segment) AS med
   FROM dense WHERE month_no > (SELECT max(month_no) FROM dense) - 12) GROUP BY ALL""", "dense"))
 def active_rate(spark, folder):
-    dense = trend.densify(segment_month(spark, folder), ["segment"])
+    dense = trend.densify(segment_panel(spark, folder), ["segment"])
     return trend.active_rate(dense, ["segment"]).withColumn("active_rate", rounded(F.col("active_rate"), 6))
 
 
@@ -201,7 +201,7 @@ FROM (SELECT *, row_number() OVER (ORDER BY growth_pct DESC, state) AS rn FROM g
 UNION ALL SELECT state, 'bottom', rn, {r('growth_pct', 6)}
 FROM (SELECT *, row_number() OVER (ORDER BY growth_pct, state DESC) AS rn FROM growth_pct) WHERE rn <= 10""", "growth_pct"))
 def top_bottom(spark, folder):
-    df = growth.period_growth(state_month(spark, folder), ["state"], NOW, BEFORE)
+    df = growth.period_growth(state_panel(spark, folder), ["state"], NOW, BEFORE)
     return ranking.top_and_bottom(df, 10, "growth_pct", "state").select(
         "state", "side", "rank", rounded(F.col("growth_pct"), 6).alias("growth_pct"))
 
@@ -214,8 +214,8 @@ _GRID = """FROM (SELECT DISTINCT state FROM state_tot) s CROSS JOIN (SELECT DIST
 SELECT state, {r('sum(coalesce(event_score, 0))')} AS total_score {_GRID} GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 10
 """, "ev_score", "state_tot", "month_total"))
 def busiest(spark, folder):
-    months = trend.known_months(month_total(spark, folder))
-    return ev.busiest_states(star.event_calendar(spark, folder), state_totals(spark, folder), months, 10)
+    panel = state_panel(spark, folder)
+    return ev.busiest_states(star.event_calendar(spark, folder), panel, trend.known_months(panel), 10)
 
 
 @query("T07_best_event", sql(f"""

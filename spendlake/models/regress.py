@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
