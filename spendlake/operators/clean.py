@@ -85,3 +85,9 @@ def per_unit(df: DataFrame, spend: str = "total_spend") -> DataFrame:
 def far_above_mean(df: DataFrame, value: str, times: float = 2.0) -> DataFrame:
     """Rows whose value exceeds a multiple of the column's mean."""
     return df.filter(F.col(value) > df.select(F.avg(value)).scalar() * times)
+
+
+def with_event_list(df: DataFrame, events: str = "events") -> DataFrame:
+    """An array column as display text and as a count."""
+    return df.withColumns({"major_events": F.concat_ws("; ", events),
+                           "event_count": F.coalesce(F.size(events), F.lit(0))})

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import month_index, quarter_label
 from .clean import with_label
 from .events import best_event, event_scores
+from .ranking import with_position
 from .trend import growth_pct, quarter_change
 
 
@@ -77,7 +78,7 @@ def quarter_table(series: DataFrame, labels: DataFrame, threshold: float = 50_00
 
 def rankings(series: DataFrame, events: DataFrame, now: tuple[int, int],
              before: tuple[int, int]) -> DataFrame:
-    """Growth per state with its best event of the period, ranked."""
+    """Growth per state with its best event of the period, ranked. Runs one job."""
     growth = period_growth(series, ["state"], now, before)
     named = growth.join(best_event(events, growth, *now), "state")
-    return named.withColumn("rank", F.row_number().over(W.orderBy(F.desc("growth_pct"), "state")))
+    return with_position(named, [F.desc("growth_pct"), "state"], "rank")

@@ -22,28 +22,31 @@ def with_position(df: DataFrame, order: list[Column | str], position: str = "pos
                   running: dict[str, str] | None = None) -> DataFrame:
     """1-based position in a total order, and running sums ``{output: column}``.
 
-    Runs one job: the range-partitioned rows are written to the checkpoint folder.
+    Runs one job: the range-partitioned and sorted rows are written to the checkpoint
+    folder with their number in the slice. Positions then need no second shuffle; running
+    sums take one, by slice.
     """
     running = running or {}
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settle(df.repartitionByRange(slices, *order)
-                    .withColumn("_slice", F.spark_partition_id()))
+    ranged = settle(df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+                    .withColumns({"_slice": F.spark_partition_id(),
+                                  "_row": F.monotonically_increasing_id()}))
     sizes = ranged.groupBy("_slice").agg(
-        F.count("*").alias("_rows"),
+        F.count("*").alias("_rows"), F.min("_row").alias("_zero"),
         *[F.sum(column).alias(f"_sum_{out}") for out, column in running.items()])
     earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # one row per slice
     offsets = sizes.select(
-        "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        "_slice", "_zero", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_before_{out}")
           for out in running])
-    inside = W.partitionBy("_slice").orderBy(*order)
-    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = ranged.join(offsets, "_slice").select(
+    upto = (W.partitionBy("_slice").orderBy("_row")
+            .rowsBetween(W.unboundedPreceding, W.currentRow))
+    # At most one row per shuffle partition, so its size is known.
+    return ranged.join(F.broadcast(offsets), "_slice").select(
         *df.columns,
-        (F.col("_before") + F.row_number().over(inside)).alias(position),
+        (F.col("_before") + F.col("_row") - F.col("_zero") + 1).alias(position),
         *[(F.col(f"_before_{out}") + F.sum(column).over(upto)).alias(out)
           for out, column in running.items()])
-    return out
 
 
 def with_group_position(df: DataFrame, groups: list[str], order: list[Column | str],
@@ -51,7 +54,7 @@ def with_group_position(df: DataFrame, groups: list[str], order: list[Column | s
     """1-based position inside each group, also for a group too large for one task."""
     placed = with_position(df, [*groups, *order], "_global")
     starts = placed.groupBy(*groups).agg((F.min("_global") - 1).alias("_start"))
-    return (placed.join(starts, groups)
+    return (join_checked(placed, settle(starts), groups)
             .withColumn(position, F.col("_global") - F.col("_start"))
             .drop("_global", "_start"))
 
@@ -117,7 +120,7 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, flo
             for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     brackets = settle(source.groupBy(*grouped).agg(F.percentile_approx(
         value, F.array(*[F.lit(e) for e in ends]), accuracy).alias("_edge")))
-    placed = _join_checked(source, brackets, grouped)
+    placed = join_checked(source, brackets, grouped)
     inside = reduce(or_, [F.col(value).between(F.get("_edge", F.lit(i)), F.get("_edge", F.lit(i + 1)))
                           for i in range(0, len(ends), 2)])
     passed = reduce(add, [(F.col(value) > F.get("_edge", F.lit(i))).cast("int")
@@ -152,10 +155,16 @@ def _value_at(rank: Column) -> Column:
 BROADCAST_ROWS = 100_000
 
 
-def _join_checked(df: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
-    """Join a settled side; broadcast only when it is counted to be small."""
-    small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(side) if small else side, keys)
+def join_checked(df: DataFrame, side: DataFrame, on, how: str = "inner",
+                 rows: int | None = None) -> DataFrame:
+    """Join a settled side; broadcast it only when its rows are counted to be few.
+
+    A settled frame has no size estimate, so without this the large side would always be
+    shuffled by its keys. Beyond the limit that is what happens.
+    """
+    if rows is None:
+        rows = side.limit(BROADCAST_ROWS + 1).count()
+    return df.join(F.broadcast(side) if rows <= BROADCAST_ROWS else side, on, how)
 
 
 def summary(df: DataFrame, groups: list[str], value: str = "spend") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import UNKNOWN
 from ..session import settle
-from .ranking import with_group_position
+from .ranking import join_checked, with_group_position
 
 
 def draw(row_id: str, seed: int) -> Column:
@@ -41,15 +41,18 @@ def stratified_sample(df: DataFrame, stratum: str, row_id: str, size: int, seed:
     upto = W.partitionBy(stratum).orderBy("_bucket")  # at most 65,536 rows per stratum
     plan = (counts.withColumn("_end", F.sum("_n").over(upto)).join(shares, stratum)
             .withColumn("_open", F.col("_need") - (F.col("_end") - F.col("_n")))
-            .filter(F.col("_open") > 0).select(stratum, "_bucket", "_n", "_open"))
-    marked = known.join(plan, [stratum, "_bucket"])
-    whole = marked.filter(F.col("_open") >= F.col("_n"))
+            .filter(F.col("_open") > 0).groupBy(stratum).agg(
+                F.max("_bucket").alias("_last"), F.max_by("_n", "_bucket").alias("_n"),
+                F.max_by("_open", "_bucket").alias("_open")))
+    marked = join_checked(known, settle(plan), [stratum]).filter(F.col("_bucket") <= F.col("_last"))
+    at_cut = (F.col("_bucket") == F.col("_last")) & (F.col("_open") < F.col("_n"))
+    whole = marked.filter(~at_cut)
     place = W.partitionBy(stratum, "_bucket").orderBy("_draw", row_id)
-    cut = (marked.filter(F.col("_open") < F.col("_n"))
+    cut = (marked.filter(at_cut)
            .withColumn("_place", F.row_number().over(place))
            .filter(F.col("_place") <= F.col("_open")).drop("_place"))
     chosen = whole.unionByName(cut)
-    return chosen.drop("_draw", "_bucket", "_n", "_open")
+    return chosen.drop("_draw", "_bucket", "_last", "_n", "_open")
 
 
 def with_split(df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
@@ -92,14 +95,17 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def encode_labels(df: DataFrame, columns: list[str], codes: DataFrame | None = None) -> DataFrame:
-    """Add ``<name>_enc`` for each column. Code tables join by size: broadcast when small.
+    """Add ``<name>_enc`` for each column.
 
-    The codes are settled once, since every column reads them.
+    The codes are settled once and counted per column: a short dictionary is broadcast, so
+    the rows are not shuffled by a key of few values; a long one is joined by key.
     """
     codes = settle(label_codes(df, columns)) if codes is None else codes
+    sizes = {r["column"]: r["count"] for r in codes.groupBy("column").count().collect()}
     for name in columns:
         mine = codes.filter(F.col("column") == name).select(
             F.col("value").alias(f"_v_{name}"), F.col("code").alias(f"{name}_enc"))
         filled = F.coalesce(F.col(name).cast("string"), F.lit(UNKNOWN))
-        df = df.join(mine, filled == F.col(f"_v_{name}"), "left").drop(f"_v_{name}")
+        df = join_checked(df, mine, filled == F.col(f"_v_{name}"), "left", sizes.get(name, 0))
+        df = df.drop(f"_v_{name}")
     return df

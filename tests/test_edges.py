@@ -179,3 +179,13 @@ def test_histogram_closes_the_last_bin(spark):
     assert {r.bin: r.n for r in stats.histogram(df, "v", 5).collect()} == {0: 2, 1: 2, 2: 2, 3: 2, 4: 3}
     same = spark.createDataFrame([(3.0,)] * 4, "v double")
     assert [(r.bin, r.n) for r in stats.histogram(same, "v", 5).collect()] == [(0, 4)]
+
+
+def test_event_list_text_and_count(spark):
+    df = spark.createDataFrame([(["a", "b"],), ([],)], "events array<string>")
+    assert [(r.major_events, r.event_count) for r in clean.with_event_list(df).collect()] == [("a; b", 2), ("", 0)]
+
+
+def test_snake_case(spark):
+    from spendlake.sources import files
+    assert files.snake_case(spark.createDataFrame([(1, 2)], "`Year Month` int, State int")).columns == ["year_month", "state"]

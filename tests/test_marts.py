@@ -11,7 +11,7 @@ from spendlake.sources import files, star
 
 
 def fact(spark, folder):
-    return star.spend_fact(spark, folder)
+    return star.spend_fact(spark, folder).filter(F.col("year_month").between(200001, 200006))
 
 
 def test_build_keeps_totals(spark, folder, tmp_path):
@@ -64,3 +64,16 @@ def test_raw_csv_types_and_bad_cells(spark, tmp_path):
 def test_fact_joins_only_what_it_needs(spark, folder):
     plan = star.spend_fact(spark, folder, "cat_l1", "spend")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "o_orderdate" not in plan
+
+
+def test_fixed_dimensions(spark, tmp_path):
+    from spendlake.operators import events as ev
+    from spendlake.sources import dims
+    sizes = {name: dims.read_dimension(spark, name).count() for name in dims.SCHEMAS}
+    assert sizes == {"state_reference": 52, "event_calendar": 137, "event_uplift": 70, "segment_labels": 28}
+    scores = ev.event_scores(dims.read_dimension(spark, "event_calendar"))
+    assert scores.agg(F.min("event_score")).first()[0] > 0
+    assert dims.read_dimension(spark, "event_uplift").groupBy("state", "year_month").count().filter("count > 1").count() == 0
+    own = tmp_path / "labels.csv"
+    own.write_text("# mine\nsegment,label\nX,Ex\n")
+    assert dims.read_dimension(spark, "segment_labels", str(own)).collect() == [("X", "Ex")]
