@@ -179,16 +179,17 @@ def high_average(spark, folder):
 
 
 # Concentration of a segment: share of its spend with its largest client.
-_RISK = """(SELECT segment, max(c) / sum(c) AS held FROM
-  (SELECT segment, client_id, CAST(sum(spend) AS DOUBLE) AS c FROM fact GROUP BY ALL) GROUP BY segment)"""
+_RISK = """(SELECT segment, CAST(max(c) AS DOUBLE) / CAST(sum(c) AS DOUBLE) AS held FROM
+  (SELECT segment, client_id, sum(spend) AS c FROM fact GROUP BY ALL) GROUP BY segment)"""
 
 
 def _risk(spark, folder):
     clients = fact(spark, folder, "segment", "client_id", "spend").groupBy("segment", "client_id").agg(
-        F.sum("spend").cast("double").alias("c"))
-    held = clients.groupBy("segment").agg((F.max("c") / F.sum("c")).alias("concentration"))
+        F.sum("spend").alias("c"))
+    held = clients.groupBy("segment").agg(
+        (F.max("c").cast("double") / F.sum("c").cast("double")).alias("concentration"))
     dense = trend.densify(segment_panel(spark, folder), ["segment"])
-    return trend.trend_features(dense, ["segment"]).join(held, "segment")
+    return settle(trend.trend_features(dense, ["segment"]).join(held, "segment"))
 
 
 @query("P15_risk_quadrant", sql(f"""

@@ -24,11 +24,11 @@ def with_position(df: DataFrame, order: list[Column | str], position: str = "pos
 
     Runs one job: the range-partitioned and sorted rows are written to the checkpoint
     folder with their number in the slice. Positions then need no second shuffle; running
-    sums take one, by slice.
+    sums take one, by slice. The number of slices is left to adaptive execution, which
+    merges neighbouring small ones.
     """
     running = running or {}
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settle(df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+    ranged = settle(df.repartitionByRange(*order).sortWithinPartitions(*order)
                     .withColumns({"_slice": F.spark_partition_id(),
                                   "_row": F.monotonically_increasing_id()}))
     sizes = ranged.groupBy("_slice").agg(

@@ -163,8 +163,9 @@ def basket_similarity(fact: DataFrame, key: str = "customer_id", group: str = "s
 
     A centroid holds the items bought by at least ``support`` of a group's keys. Baskets
     stay rows: |A n C| is counted by an equi-join on the item, never by a set per key.
+    The distinct rows are settled, since four branches read them.
     """
-    items = known_keys(fact, [key, group, item]).select(key, group, item).distinct()
+    items = settle(known_keys(fact, [key, group, item]).select(key, group, item).distinct())
     members = items.groupBy(group).agg(F.count_distinct(key).alias("_keys"))
     centroid = (items.groupBy(group, item).agg(F.count("*").alias("_buyers"))
                 .join(members, group).filter(F.col("_buyers") >= F.col("_keys") * support)

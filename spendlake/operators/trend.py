@@ -62,7 +62,11 @@ def trend_features(dense: DataFrame, keys: list[str], value: str = "spend",
 
 def strategic_class(df: DataFrame, total: str = "total_spend",
                     momentum: str = "momentum") -> DataFrame:
-    """Two-by-two class: spend against the median, momentum against zero."""
+    """Two-by-two class: spend against the median, momentum against zero.
+
+    The total must not depend on summing order (a decimal, or a settled frame): the row
+    that is the median has to equal it.
+    """
     middle = df.select(F.median(total)).scalar()
     big = F.col(total).cast("double") >= middle
     grows = F.col(momentum) > 0
@@ -77,7 +81,7 @@ def growth_signal(momentum: str = "momentum", band: float = 0.05) -> Column:
 
 
 def risk_quadrant(df: DataFrame, slope: str = "slope", held: str = "concentration") -> DataFrame:
-    """Quadrant by trend sign and concentration above the median."""
+    """Quadrant by trend sign and concentration above the median of a settled frame."""
     dense = F.col(held) >= df.select(F.median(held)).scalar()
     falls = F.col(slope) < 0
     label = (F.when(dense & falls, "High risk").when(dense, "Star")

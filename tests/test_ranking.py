@@ -12,10 +12,15 @@ from spendlake.operators import ranking, sampling
 
 @pytest.fixture(params=[1, 8])
 def slices(spark, request):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    """One slice, and eight that adaptive execution must not merge."""
+    settings = {"spark.sql.shuffle.partitions": str(request.param),
+                "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     yield request.param
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for key, value in before.items():
+        spark.conf.set(key, value)
 
 
 def skewed(spark, n=3000):
@@ -37,6 +42,12 @@ def test_position_and_running_sum(spark, slices):
     assert got["c"].tolist() == want["v"].cumsum().tolist()
 
 
+def test_eight_slices_are_used(spark, slices):
+    _, df = skewed(spark)
+    parts = df.repartitionByRange("v", "k").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts == slices
+
+
 def test_group_position(spark, slices):
     pdf, df = skewed(spark)
     got = ranking.with_group_position(df, ["g"], ["v", "k"], "p").toPandas().set_index("k")["p"]
