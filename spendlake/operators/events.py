@@ -64,10 +64,10 @@ def best_event(events: DataFrame, states: DataFrame, first: int, last: int,
                default: str = "—") -> DataFrame:
     """The highest-scoring event of each state in a period; ties go to the first name."""
     inside = events.filter(F.col("year_month").between(first, last))
-    top = inside.groupBy("state").agg(F.max("score").alias("top_score"))
-    first_name = (inside.join(top, "state").filter(F.col("score") == F.col("top_score"))
-                  .groupBy("state", "top_score").agg(F.min("name").alias("top_event")))
-    return (states.select("state").distinct().join(first_name, "state", "left")
+    best = inside.groupBy("state").agg(
+        F.min_by("name", F.struct(-F.col("score"), F.col("name"))).alias("top_event"),
+        F.max("score").alias("top_score"))
+    return (states.select("state").distinct().join(best, "state", "left")
             .fillna({"top_event": default, "top_score": 0.0}))
 
 

@@ -189,7 +189,7 @@ def top_with_other(df: DataFrame, n: int, key: str, value: str = "spend") -> Dat
     """The n largest keys, all others in one row ``Other``."""
     leaders = top_rows(df.groupBy(key).agg(F.sum(value).alias(value)), n, value, key).select(
         F.col(key).alias("_leader"))
-    named = df.join(leaders, F.col(key) == F.col("_leader"), "left")
+    named = df.join(F.broadcast(leaders), F.col(key) == F.col("_leader"), "left")  # n rows
     label = F.coalesce("_leader", F.lit("Other"))
     return named.groupBy(label.alias(key)).agg(F.sum(value).alias(value))
 
