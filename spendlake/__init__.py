@@ -1 +1,8 @@
-"""Spend analytics on Spark: marts, rankings, trends, events, models, forecasts."""
+"""Spend analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so that jobs run from any folder.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
