@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, license_scan
+from . import bpe, exact_dedup, language_id, license_scan, mix_sources, permute, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,7 +39,88 @@ def op4(spark, folder):
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+@query("op5_exact_dedup", r"""
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
+WINDOW same AS (PARTITION BY norm)""")
+def op5(spark, folder):
+    return exact_dedup.mark_copies(table(spark, folder, "documents"))
+
+
+# The checksum runs over bytes with a table of 256 values; the walk repeats the network.
+_SHARDS = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+doc AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+    xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'),
+      lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295)) AS text_crc32
+  FROM documents, crc),
+n AS (SELECT count(*) AS n, CAST(floor(sqrt(greatest(count(*) - 1, 0))) AS BIGINT) + 1 AS a FROM documents),
+s AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM n),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS x FROM doc),
+walk AS (
+  SELECT x, {permute.network_sql('x', 'a', 'b', shards.SEED)} AS p FROM numbered, s
+  UNION ALL
+  SELECT x, {permute.network_sql('p', 'a', 'b', shards.SEED)} FROM walk, s WHERE p >= n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % {shards.SHARDS} AS INTEGER) AS shard,
+  p // {shards.SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM numbered JOIN walk USING (x), s WHERE p < n"""
+
+
+@query("op7_sharding", _SHARDS)
+def op7(spark, folder):
+    return shards.assign(table(spark, folder, "documents"))
+
+
+_A, _B = permute.halves(mix_sources.BLOCKS)
+_P = permute.P
+_MIX = rf"""
+WITH doc AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+put AS (
+  SELECT *, {permute.mixed_sql(f'(((coalesce(doc_id, size) % {_P}) + {_P}) % {_P})', permute.keys(mix_sources.SEED, 1)[0])} % {mix_sources.BLOCKS} AS block
+  FROM doc),
+blocks AS (SELECT source, block, CAST(sum(size) AS BIGINT) AS words FROM put GROUP BY ALL),
+src AS (
+  SELECT source, CAST(sum(words) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nr
+  FROM blocks GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][nr % 3 + 1] AS w, 2 * source_size AS cap FROM src),
+total AS (SELECT sum(source_size) * 1.5::DOUBLE AS t, sum(w) AS all_w FROM weighed),
+tried AS (
+  SELECT weighed.*, (t - (sum(cap) OVER o - cap)) / (all_w - (sum(w) OVER o - w)) * w > cap AS capped
+  FROM weighed, total WINDOW o AS (ORDER BY cap / w::DOUBLE, nr)),
+rate AS (
+  SELECT coalesce((any_value(t) - coalesce(sum(cap) FILTER (capped), 0))
+    / nullif(any_value(all_w) - coalesce(sum(w) FILTER (capped), 0), 0), 0) AS rate FROM tried, total),
+target AS (
+  SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE rate * w END AS target FROM tried, rate),
+placed AS (
+  SELECT b.*, source_size, target, floor(target / source_size) AS passes,
+    sum(words) OVER (PARTITION BY b.source ORDER BY {permute.network_sql('block', str(_A), str(_B), mix_sources.SEED + 1)}) - words AS before
+  FROM blocks b JOIN target t ON b.source IS NOT DISTINCT FROM t.source WHERE words > 0),
+drawn AS (
+  SELECT source, block, CAST(passes AS INTEGER) + CASE WHEN 2 * before + words <= 2 * (target - passes * source_size)
+    THEN 1 ELSE 0 END AS copies FROM placed)
+SELECT doc_id, size, source_size, target, size * coalesce(copies, 0) AS taken, coalesce(copies, 0) AS copies
+FROM put p JOIN target t ON p.source IS NOT DISTINCT FROM t.source
+  LEFT JOIN drawn d ON p.source IS NOT DISTINCT FROM d.source AND p.block = d.block"""
+
+
+@query("op8_mix_sources", _MIX)
+def op8(spark, folder):
+    copies = F.size("draws")
+    return mix_sources.plan(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"),
+        copies.cast("int").alias("copies"))
+
+
+@query("op10_language_id")
+def op10(spark, folder):
+    return language_id.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
 @query("op9_license_scan")
