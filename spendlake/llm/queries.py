@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, language_id, license_scan, mix_sources, permute, shards
+from . import bpe, exact_dedup, language_id, license_scan, line_dedup, mix_sources, permute, shards, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,75 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
         return file.read()
 
 
+@query("op1_line_dedup", r"""
+WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+win AS (
+  SELECT doc_id, text, i AS pos, lines[i + 1] || chr(10) || lines[i + 2] || chr(10) || lines[i + 3] AS w
+  FROM (SELECT *, unnest(range(len(lines) - 2)) AS i FROM doc WHERE len(lines) > 2)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS nth FROM win),
+gone AS (
+  SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS gone FROM ranked WHERE nth > 1 GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[i + 1] FOR i IN range(len(lines)) IF NOT list_contains(gone, i)], chr(10)) END AS text
+FROM doc d LEFT JOIN gone g ON d.doc_id = g.doc_id""")
+def op1(spark, folder):
+    return line_dedup.remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+# The given tables hold no dated list, so the query makes one from them: every third page puts
+# its host, the domain above it or its address on a list, every fifth takes it off, on a day
+# that follows from the page's number. A page is fetched on a day that follows from it too.
+DAYS = 365
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    host = url_filter.host_of(F.col("url"))
+    kind = F.when(F.col("page_id") % 7 == 0, "url").otherwise("domain")
+    above = F.when(F.col("page_id") % 2 == 0, F.regexp_replace(host, r"^[^.]*\.", "")).otherwise(host)
+    return pages.where("page_id % 3 = 0").select(
+        F.when(F.col("page_id") % 4 == 0, "allow").otherwise("block").alias("list"), kind.alias("kind"),
+        F.when(kind == "url", url_filter.address_of(F.col("url"), host)).otherwise(above).alias("key"),
+        (F.col("page_id") * 37 % DAYS).alias("day"), (F.col("page_id") % 5 != 0).alias("active"))
+
+
+_HOST = r"""nullif(regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(url,
+    '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '\.+$', ''), '')"""
+
+
+@query("op2_url_filter", rf"""
+WITH page AS (SELECT page_id, url, page_id * 53 % {DAYS} AS d, {_HOST} AS host FROM pages),
+addressed AS (SELECT *, host || regexp_extract(url, '^[^:]*://[^/?#]*([^#]*)', 1) AS address FROM page),
+entry AS (
+  SELECT CASE WHEN page_id % 4 = 0 THEN 'allow' ELSE 'block' END AS list,
+    CASE WHEN page_id % 7 = 0 THEN 'url' ELSE 'domain' END AS kind,
+    CASE WHEN page_id % 7 = 0 THEN address WHEN page_id % 2 = 0 THEN regexp_replace(host, '^[^.]*\.', '') ELSE host END AS key,
+    page_id * 37 % {DAYS} AS day, page_id % 5 <> 0 AS active
+  FROM addressed WHERE page_id % 3 = 0),
+daily AS (
+  SELECT list, kind, key, day, bool_and(active) AS active FROM entry
+  WHERE key IS NOT NULL AND day IS NOT NULL GROUP BY ALL),
+valid AS (
+  SELECT * FROM (SELECT *, lead(day) OVER (PARTITION BY list, kind, key ORDER BY day) AS until FROM daily) WHERE active),
+asked AS (
+  SELECT page_id, d, 'url' AS kind, address AS key, 1048576 AS depth FROM addressed WHERE host IS NOT NULL
+  UNION ALL
+  SELECT page_id, d, 'domain', array_to_string(parts[i:], '.'), len(parts) - i + 1
+  FROM (SELECT page_id, d, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT page_id, d, string_split(host, '.') AS parts FROM addressed WHERE host IS NOT NULL))),
+met AS (
+  SELECT a.page_id, v.list, v.key, v.day, row_number() OVER (
+    PARTITION BY a.page_id ORDER BY a.depth DESC, v.list DESC, v.key DESC, v.day DESC) AS nth
+  FROM asked a JOIN valid v ON a.kind = v.kind AND a.key = v.key AND v.day <= a.d AND (v.until IS NULL OR a.d < v.until))
+SELECT p.page_id, p.url, d AS fetched, host,
+  CASE WHEN host IS NULL OR d IS NULL THEN 'unknown' ELSE coalesce(m.list, 'pass') END AS verdict,
+  m.key AS rule, m.day AS rule_since
+FROM page p LEFT JOIN met m ON p.page_id = m.page_id AND m.nth = 1""")
+def op2(spark, folder):
+    pages = table(spark, folder, "pages")
+    captures = pages.select("page_id", "url", (F.col("page_id") * 53 % DAYS).alias("fetched"))
+    return url_filter.judge(captures, url_list(pages))
+
+
 @query("op4_bpe")
 def op4(spark, folder):
     return bpe.encode_texts(table(spark, folder, "documents"), vocabulary_file()).select(
@@ -80,7 +149,8 @@ _A, _B = permute.halves(mix_sources.BLOCKS)
 _P = permute.P
 _MIX = rf"""
 WITH doc AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size FROM documents),
 put AS (
   SELECT *, {permute.mixed_sql(f'(((coalesce(doc_id, size) % {_P}) + {_P}) % {_P})', permute.keys(mix_sources.SEED, 1)[0])} % {mix_sources.BLOCKS} AS block
   FROM doc),
