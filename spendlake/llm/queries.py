@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, language_id, license_scan, line_dedup, mix_sources, permute, shards, url_filter
+from . import bpe, exact_dedup, language_id, license_scan, line_dedup, mix_sources, near_dedup, permute, shards, \
+    top_k, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,6 +103,11 @@ def op2(spark, folder):
     return url_filter.judge(captures, url_list(pages))
 
 
+@query("op3_minhash_dedup")
+def op3(spark, folder):
+    return near_dedup.mark(table(spark, folder, "documents"))
+
+
 @query("op4_bpe")
 def op4(spark, folder):
     return bpe.encode_texts(table(spark, folder, "documents"), vocabulary_file()).select(
@@ -117,6 +123,21 @@ def op5(spark, folder):
     return exact_dedup.mark_copies(table(spark, folder, "documents"))
 
 
+@query("op6_top_k", r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.x, v.x) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM scored)
+WHERE nth <= 5""")
+def op6(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return top_k.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 # The checksum runs over bytes with a table of 256 values; the walk repeats the network.
 _SHARDS = f"""
 WITH RECURSIVE crc AS (
