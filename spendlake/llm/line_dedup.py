@@ -26,6 +26,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import free
+
 LINES = 3
 MADE = ("n_lines", "n_removed")
 
@@ -65,19 +67,19 @@ def covered(docs: DataFrame, lines: int = LINES) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                    lines: int = LINES) -> DataFrame:
     """All columns of ``docs``, the text without covered lines, ``n_lines`` and ``n_removed``."""
-    plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    marked = covered(plain, lines).select(
-        F.col("doc.id").alias("_id"), F.col("doc.text").alias("_text"),
-        F.array_distinct(F.flatten(F.transform("starts", lambda at: F.sequence(at, at + (lines - 1))))).alias("_gone"))
+    _id, _text, _gone, _digest = free(docs, "_id", "_text", "_gone", "_digest")
+    text, doc_id = F.col(f"`{text_column}`"), F.col(f"`{id_column}`").cast("long")
+    marked = covered(docs.select(doc_id.alias("id"), text.alias("text")), lines).select(
+        F.col("doc.id").alias(_id), F.col("doc.text").alias(_text),
+        F.array_distinct(F.flatten(F.transform("starts", lambda at: F.sequence(at, at + (lines - 1))))).alias(_gone))
     kept = [c for c in docs.columns if c not in MADE]
-    text = F.col(f"`{text_column}`")
-    both = docs.select(*[F.col(f"`{c}`") for c in kept], digest(text.cast("binary")).alias("_digest")).join(
-        marked, F.col(id_column).cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_text")), "left")
+    both = docs.select(*[F.col(f"`{c}`") for c in kept], digest(text.cast("binary")).alias(_digest)).join(
+        marked, doc_id.eqNullSafe(F.col(_id)) & (F.col(_digest) == F.col(_text)), "left")
     split = F.split(text, "\n")
     # Positions as a map, so that a long text is not searched once for each of its lines.
-    gone = F.map_from_arrays(F.col("_gone"), F.transform("_gone", lambda _: F.lit(True)))
+    gone = F.map_from_arrays(F.col(_gone), F.transform(_gone, lambda _: F.lit(True)))
     rest = F.array_join(F.filter(split, lambda line, at: ~F.coalesce(F.element_at(gone, at), F.lit(False))), "\n")
-    out = [F.when(F.col("_gone").isNull(), text).otherwise(rest).alias(text_column) if c == text_column
+    out = [F.when(F.col(_gone).isNull(), text).otherwise(rest).alias(text_column) if c == text_column
            else F.col(f"`{c}`") for c in kept]
     return both.select(*out, F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-                       F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
+                       F.when(F.col(_gone).isNull(), 0).otherwise(F.size(_gone)).cast("long").alias("n_removed"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..operators.ranking import with_position
 from .permute import P, Q, inline, keys, mixed
-from .shared import written
+from .shared import free, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
@@ -186,17 +186,17 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
         "shard", F.filter("ranges", lambda r: F.col("number") < r["to"])[0]["shard"])
     of_block = dealt.groupBy("source_rank", "block").agg(
         F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("draws"))  # at most ``most`` copies
-    by_block = wanted.select("source_rank", F.col("source").alias("_source"), "source_size", "target").join(
-        sizes.select(F.col("source").alias("_s"), F.col("block").alias("_block")),
-        F.col("_source").eqNullSafe(F.col("_s"))).join(
-        of_block.select("source_rank", F.col("block").alias("_block"), "draws"), ["source_rank", "_block"], "left").select(
-        "_source", "_block", "source_size", "target",
+    mine, own_block, of_source = free(docs, "_b", "_block", "_source")
+    by_block = wanted.select("source_rank", "source", "source_size", "target").join(
+        sizes.select(F.col("source").alias("s"), "block"), F.col("source").eqNullSafe(F.col("s"))).join(
+        of_block, ["source_rank", "block"], "left").select(
+        F.col("source").alias(of_source), F.col("block").alias(own_block), "source_size", "target",
         F.coalesce("draws", F.array().cast("array<struct<copy:int,shard:int>>")).alias("draws"))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in MADE]
     return docs.select(*kept, size.alias("size")).withColumn(
-        "_b", block_of(F.col(id_column), F.col("size"), blocks, seed)).join(
-        by_block, (F.col("_b") == F.col("_block")) & F.col(source_column).eqNullSafe(F.col("_source"))).drop(
-        "_b", "_block", "_source")
+        mine, block_of(F.col(id_column), F.col("size"), blocks, seed)).join(
+        by_block, (F.col(mine) == F.col(own_block)) & F.col(source_column).eqNullSafe(F.col(of_source))).drop(
+        mine, own_block, of_source)
 
 
 def mix(docs: DataFrame, seed: int = SEED, id_column: str = "doc_id", **options) -> DataFrame:

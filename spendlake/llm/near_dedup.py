@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import stars
-from .shared import written
+from .shared import free, written
 
 WORDS, THRESHOLD = 5, 75
 HASHES, BANDS = 128, 32
@@ -292,8 +292,9 @@ def mark(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 threshold: int = THRESHOLD) -> DataFrame:
     """The documents that stay: one of each component, with all columns."""
-    doc_id, text = F.col(id_column).cast("long"), F.col(text_column)
+    doc_id, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`")
+    digest, component = free(docs, "_digest", "_component")
     found = classes_of(docs.select(doc_id.alias("doc_id"), text.alias("text")), threshold).select(
-        F.col("digest").alias("_digest"), F.col("component_id").alias("_component"))
-    return docs.join(found, digest_of(text) == F.col("_digest"), "left").where(
-        F.col("_digest").isNull() | doc_id.eqNullSafe(F.col("_component"))).drop("_digest", "_component")
+        F.col("digest").alias(digest), F.col("component_id").alias(component))
+    return docs.join(found, digest_of(text) == F.col(digest), "left").where(
+        F.col(digest).isNull() | doc_id.eqNullSafe(F.col(component))).drop(digest, component)

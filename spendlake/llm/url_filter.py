@@ -25,6 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .shared import free
+
 MADE = ("host", "verdict", "rule", "rule_since")
 
 
@@ -73,12 +75,14 @@ def judge(captures: DataFrame, entries: DataFrame, url_column: str = "url", day_
     valid = intervals(entries).select("list", F.col("kind").alias("k"), F.col("key").alias("of"), "since", "until")
     met = keys.join(valid, (F.col("kind") == F.col("k")) & (F.col("key") == F.col("of")) & (F.col("since") <= F.col("d"))
                     & (F.col("until").isNull() | (F.col("d") < F.col("until"))))
-    best = met.groupBy("u", "d").agg(F.max(F.struct("depth", "list", "key", "since")).alias("best"))
+    address, at, best = free(captures, "u", "d", "best")
+    verdicts = met.groupBy(F.col("u").alias(address), F.col("d").alias(at)).agg(
+        F.max(F.struct("depth", "list", "key", "since")).alias(best))
     kept = [F.col(f"`{c}`") for c in captures.columns if c not in MADE]
     url, day = F.col(f"`{url_column}`"), F.col(f"`{day_column}`")
     host = host_of(url)
     return captures.select(*kept).join(
-        best, url.eqNullSafe(F.col("u")) & day.eqNullSafe(F.col("d")), "left").select(
+        verdicts, (url == F.col(address)) & (day == F.col(at)), "left").select(
         *kept, host.alias("host"),
-        F.when(host.isNull() | day.isNull(), "unknown").otherwise(F.coalesce("best.list", F.lit("pass"))).alias("verdict"),
-        F.col("best.key").alias("rule"), F.col("best.since").alias("rule_since"))
+        F.when(host.isNull() | day.isNull(), "unknown").otherwise(F.coalesce(f"{best}.list", F.lit("pass"))).alias("verdict"),
+        F.col(f"{best}.key").alias("rule"), F.col(f"{best}.since").alias("rule_since"))
