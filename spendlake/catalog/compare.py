@@ -32,12 +32,14 @@ def lift(spark, folder):
                      rounded(F.col("event_score"), 4).alias("event_score"))
 
 
+HALF = (200007, CUTOFF)
+
 _HALVES = f"""
 SELECT segment, {r('prior_h2')} AS prior_h2, {r('h1')} AS h1,
   {r('CAST((h1 - prior_h2) * 100 AS DOUBLE) / nullif(CAST(prior_h2 AS DOUBLE), 0)', 6)} AS h1_vs_prior_h2
-FROM (SELECT segment, sum(spend) FILTER (n < 12 OR i > 6) AS prior_h2
-  FROM (SELECT segment, spend, row_number() OVER (PARTITION BY segment ORDER BY year_month) AS i,
-    count(*) OVER (PARTITION BY segment) AS n FROM seg_month WHERE year_month BETWEEN 200001 AND {CUTOFF}) GROUP BY ALL)
+FROM (SELECT segment, CASE WHEN count(*) < 12 THEN sum(spend)
+    ELSE sum(spend) FILTER (year_month BETWEEN {HALF[0]} AND {HALF[1]}) END AS prior_h2
+  FROM seg_month WHERE year_month <= {CUTOFF} GROUP BY ALL)
 JOIN (SELECT segment, sum(spend) AS h1 FROM seg_month WHERE year_month BETWEEN {HORIZON[0]} AND {HORIZON[-1]} GROUP BY ALL)
   USING (segment)"""
 
@@ -45,8 +47,8 @@ JOIN (SELECT segment, sum(spend) AS h1 FROM seg_month WHERE year_month BETWEEN {
 @query("G03_half_year", sql(_HALVES, "seg_month"))
 def half_year(spark, folder):
     panel = segment_panel(spark, folder)
-    df = growth.half_year_growth(panel.filter(F.col("year_month").between(200001, CUTOFF)),
-                                 panel.filter(F.col("year_month").between(HORIZON[0], HORIZON[-1])), ["segment"])
+    df = growth.half_year_growth(panel.filter(F.col("year_month") <= CUTOFF),
+                                 panel.filter(F.col("year_month").between(HORIZON[0], HORIZON[-1])), ["segment"], HALF)
     return df.select("segment", rounded(F.col("prior_h2"), 4).alias("prior_h2"), rounded(F.col("h1"), 4).alias("h1"),
                      rounded(F.col("h1_vs_prior_h2"), 6).alias("h1_vs_prior_h2"))
 

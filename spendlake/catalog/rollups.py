@@ -74,18 +74,19 @@ _STATS = f"""{r('sum(spend)')} AS total_spend, {r('CAST(sum(spend) AS DOUBLE) /
 
 
 @query("A06_key_stats", sql(" UNION ALL ".join(
-    f"SELECT '{k}' AS dimension, {k} AS value, {_STATS} FROM fact GROUP BY ALL"
+    f"SELECT '{k}' AS dimension, {k} AS value, {_STATS} FROM fact WHERE {k} IS NOT NULL GROUP BY ALL"
     for k in ("segment", "cat_l1", "entity_type", "state")), "fact"))
 def key_stats(spark, folder):
     """Four dimensions from one scan: the groupings are sets of one aggregation."""
     keys = ["segment", "cat_l1", "entity_type", "state"]
     df = fact(spark, folder, *keys, "spend")
+    own = {k: F.grouping(k).alias(f"_{k}") for k in keys}  # 0 where the set groups by this key
     grouped = df.groupingSets([[k] for k in keys], *keys).agg(
         F.sum("spend").alias("total_spend"), F.avg("spend").alias("avg_spend"),
-        F.count("spend").alias("transactions"))
-    name = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in keys])
-    return grouped.select(
-        name.alias("dimension"), F.coalesce(*keys).alias("value"),
+        F.count("spend").alias("transactions"), *own.values())
+    name = F.coalesce(*[F.when(F.col(f"_{k}") == 0, F.lit(k)) for k in keys])
+    return grouped.withColumns({"dimension": name, "value": F.coalesce(*keys)}).where("value IS NOT NULL").select(
+        "dimension", "value",
         rounded(F.col("total_spend"), 4).alias("total_spend"),
         rounded(F.col("avg_spend"), 2).alias("avg_spend"), "transactions")
 
@@ -183,7 +184,9 @@ def savings(spark, folder):
 @query("A16_ecomm_penetration", sql(f"""
 SELECT segment, count(*) FILTER (upper(ecomm_status) = 'ACTIVE') AS ecomm_active, count(customer_id) AS total_locations,
   {r("count(*) FILTER (upper(ecomm_status) = 'ACTIVE') / CAST(count(customer_id) AS DOUBLE)", 6)} AS ecomm_penetration
-FROM (SELECT customer_id, segment, ecomm_status, sum(spend) FROM fact GROUP BY ALL) GROUP BY ALL""", "fact"))
+FROM (SELECT customer_id, min(segment) AS segment,
+    CASE WHEN bool_or(upper(ecomm_status) = 'ACTIVE') THEN 'ACTIVE' ELSE max(ecomm_status) END AS ecomm_status
+  FROM fact GROUP BY customer_id) GROUP BY segment""", "fact"))
 def penetration(spark, folder):
     customers = marts.customer_summary(fact(spark, folder, "customer_id", "segment", "ecomm_status", "spend"))
     return rollup.ecomm_penetration(customers).withColumn(

@@ -17,7 +17,7 @@ from ..schema import DEFAULT_REFERENCE
 from ..session import settle
 from ..sources import star
 from .base import (
-    CUTOFF, STATES, YEAR, customer_spend, fact, full_segment_month, mix_cells, month_total, query, r,
+    CATEGORIES, CUTOFF, STATES, YEAR, customer_spend, fact, full_segment_month, mix_cells, month_total, query, r,
     segment_panel, sql, state_month, state_panel, state_totals,
 )
 
@@ -110,18 +110,17 @@ def drop_missing(spark, folder):
 
 
 _CELLS = ", ".join(f"coalesce(sum(spend) FILTER (cat_l1 = '{c}'), 0) AS {c}" for c in
-                   ["ECONOMY", "LARGE", "PROMO"])
+                   CATEGORIES)
 
 
 @query("P10_row_max_filter", sql(f"""
-SELECT customer_id, {r('ECONOMY')} AS ECONOMY, {r('LARGE')} AS LARGE, {r('PROMO')} AS PROMO
+SELECT customer_id, {", ".join(f"{r(c)} AS {c}" for c in CATEGORIES)}
 FROM (SELECT customer_id, {_CELLS} FROM fact GROUP BY ALL)
-WHERE greatest(ECONOMY, LARGE, PROMO) > 200000""", "fact"))
+WHERE greatest({", ".join(CATEGORIES)}) > 200000""", "fact"))
 def row_max(spark, folder):
-    names = ["ECONOMY", "LARGE", "PROMO"]
-    wide = rollup.pivot_sum(fact(spark, folder, "customer_id", "cat_l1", "spend"), ["customer_id"], "cat_l1", names)
-    return clean.above_row_max(wide, names, 200_000.0).select(
-        "customer_id", *[rounded(F.col(c), 4).alias(c) for c in names])
+    wide = rollup.pivot_sum(fact(spark, folder, "customer_id", "cat_l1", "spend"), ["customer_id"], "cat_l1", CATEGORIES)
+    return clean.above_row_max(wide, CATEGORIES, 200_000.0).select(
+        "customer_id", *[rounded(F.col(c), 4).alias(c) for c in CATEGORIES])
 
 
 @query("P11_per_unit", sql(f"""
@@ -316,31 +315,36 @@ def actual_forecast(spark, folder):
         "state", "year_month", rounded(F.col("spend"), 4).alias("spend"), "is_forecast")
 
 
+def _leaders(df):
+    """The 15 brands of most spend, and of most lines: two methods' leading features."""
+    whole = settle(df.groupBy(F.col("cat_l2").alias("feature")).agg(
+        F.sum("spend").alias("spend"), F.count("*").alias("lines")))
+    return [top_rows(whole.select("feature", F.col(by).alias("v")), 15, "v", "feature") for by in ("spend", "lines")]
+
+
 @query("J08_importance_alignment", sql(f"""
 SELECT coalesce(a.feature, b.feature) AS feature, {r('coalesce(a.v, 0)')} AS by_spend, {r('coalesce(b.v, 0)')} AS by_lines
-FROM (SELECT cat_l2 AS feature, sum(spend) AS v FROM fact WHERE cat_l1 = 'PROMO' AND cat_l3 = '5' GROUP BY ALL) a
-FULL JOIN (SELECT cat_l2 AS feature, count(*) AS v FROM fact WHERE cat_l1 = 'SMALL' AND cat_l3 = '5' GROUP BY ALL) b
+FROM (SELECT cat_l2 AS feature, sum(spend) AS v FROM fact GROUP BY ALL ORDER BY v DESC, feature LIMIT 15) a
+FULL JOIN (SELECT cat_l2 AS feature, count(*) AS v FROM fact GROUP BY ALL ORDER BY v DESC, feature LIMIT 15) b
   ON a.feature = b.feature""", "fact"))
 def importance_alignment(spark, folder):
-    df = fact(spark, folder, "cat_l1", "cat_l2", "cat_l3", "spend").filter("cat_l3 = '5'")
-    key = F.col("cat_l2").alias("feature")
+    spend, lines = _leaders(fact(spark, folder, "cat_l2", "spend"))
     return align_importances({
-        "by_spend": df.filter("cat_l1 = 'PROMO'").groupBy(key).agg(
-            rounded(F.sum("spend"), 4).alias("importance")),
-        "by_lines": df.filter("cat_l1 = 'SMALL'").groupBy(key).agg(
-            F.count("*").cast("double").alias("importance"))})
+        "by_spend": spend.select("feature", rounded(F.col("v"), 4).alias("importance")),
+        "by_lines": lines.select("feature", F.col("v").cast("double").alias("importance"))})
 
 
 @query("J09_listed_rows_in_order", sql(f"""
-SELECT t.place, f.state, {r("coalesce(sum(f.spend) FILTER (f.cat_l1 = 'PROMO'), 0)")} AS promo
+SELECT t.place, f.state, {", ".join(r(f"coalesce(sum(f.spend) FILTER (f.cat_l1 = '{c}'), 0)") + f" AS {c.lower()}" for c in CATEGORIES)}
 FROM fact f JOIN (SELECT state, row_number() OVER (ORDER BY total_spend DESC, state) AS place FROM state_tot) t
   ON t.state = f.state AND t.place <= 10 GROUP BY ALL""", "fact", "state_tot"))
 def listed_rows(spark, folder):
     df = fact(spark, folder, "state", "cat_l1", "spend")
     top = top_rows(rollup.key_stats(df, "state"), 10, "total_spend", "state")
     placed = top.select("state", F.row_number().over(W.orderBy(F.desc("total_spend"), "state")).alias("place"))
-    wide = rollup.pivot_sum(df, ["state"], "cat_l1", ["PROMO"])
-    return wide.join(placed, "state").select("place", "state", rounded(F.col("PROMO"), 4).alias("promo"))
+    wide = rollup.pivot_sum(df, ["state"], "cat_l1", CATEGORIES)
+    return wide.join(placed, "state").select(
+        "place", "state", *[rounded(F.col(c), 4).alias(c.lower()) for c in CATEGORIES])
 
 
 # Set operations and reshaping ------------------------------------------------------------
@@ -355,12 +359,11 @@ def append_rows(spark, folder):
 
 
 @query("U02_set_union", sql("""
-SELECT cat_l2 AS feature FROM fact WHERE cat_l1 = 'PROMO' AND cat_l3 = '5'
-UNION SELECT cat_l2 FROM fact WHERE cat_l1 = 'LARGE'""", "fact"))
+SELECT feature FROM (SELECT cat_l2 AS feature, sum(spend) AS v FROM fact GROUP BY ALL ORDER BY v DESC, feature LIMIT 15)
+UNION SELECT feature FROM (SELECT cat_l2 AS feature, count(*) AS v FROM fact GROUP BY ALL ORDER BY v DESC, feature LIMIT 15)""", "fact"))
 def set_union(spark, folder):
-    df = fact(spark, folder, "cat_l1", "cat_l2", "cat_l3").withColumnRenamed("cat_l2", "feature")
-    return (df.filter("cat_l1 = 'PROMO' AND cat_l3 = '5'").select("feature")
-            .union(df.filter("cat_l1 = 'LARGE'").select("feature")).distinct())
+    spend, lines = _leaders(fact(spark, folder, "cat_l2", "spend"))
+    return spend.select("feature").union(lines.select("feature")).distinct()
 
 
 @query("U03_densify", sql(f"""

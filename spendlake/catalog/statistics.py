@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rounded
+from ..operators.clean import category_depth
 from ..operators import mix, ranking, stats, trend
 from ..session import settle
 from ..sources import star
@@ -49,12 +50,13 @@ def significance(spark, folder):
     return df.select("factor", rounded(F.col("p_value"), 6).alias("p_value"), "significant").orderBy("factor")
 
 
-@query("Q02_top_states_correlation", sql(f"""
-SELECT 'gdp_b' AS factor, {r('corr(y, gdp_b)', 6)} AS pearson_r
-FROM (SELECT * FROM {_STATES} ORDER BY y DESC, state LIMIT 15)""", "state_tot", "ref"))
+@query("Q02_top_states_correlation", sql(" UNION ALL ".join(f"""
+SELECT '{c}' AS factor, {r(f'corr(y, coalesce({c}, 0))', 6)} AS pearson_r
+FROM (SELECT * FROM {_STATES} ORDER BY y DESC, state LIMIT 30)""" for c in ("gdp_b", "tourism_b")), "state_tot", "ref"))
 def top_states(spark, folder):
-    top = ranking.top_rows(_states(spark, folder), 15, "total_spend", "state")
-    return stats.factor_correlation(top, ["gdp_b"]).select("factor", rounded(F.col("pearson_r"), 6).alias("pearson_r"))
+    """The 30 states of most spend, as the report shows them."""
+    top = ranking.top_rows(_states(spark, folder), 30, "total_spend", "state")
+    return stats.factor_correlation(top, ["gdp_b", "tourism_b"]).select("factor", rounded(F.col("pearson_r"), 6).alias("pearson_r"))
 
 
 @query("Q03_standardised_regression")
@@ -105,7 +107,8 @@ def top_three(spark, folder):
     return best.select(rounded(share, 6).alias("top_3_share_pct"))
 
 
-_MI_FEATURES = ["segment", "cat_l1", "cat_l2", "state", "ecomm_status", "cat_l4"]
+_MI_FEATURES = ["segment", "cat_l1", "cat_l2", "cat_l3", "cat_l4", "state", "ecomm_status", "entity_type",
+                "distributor_group", "has_rooms", "room_band", "category_depth", "month"]
 _EDGES = ", ".join(f"quantile_cont(CAST(spend AS DOUBLE), {i / 10})" for i in range(1, 10))
 _BINS = " + ".join(f"(e[{i}] < y)::INT" for i in range(1, 10))
 
@@ -116,11 +119,17 @@ FROM (SELECT *, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTIT
     sum(n) OVER (PARTITION BY feature) AS total
   FROM (SELECT feature, x, b, count(*) AS n FROM (
       SELECT unnest({_MI_FEATURES!r}) AS feature,
-        unnest([segment, cat_l1, cat_l2, state, ecomm_status, coalesce(cat_l4, '?')]) AS x, b
+        unnest([segment, cat_l1, cat_l2, cat_l3, coalesce(cat_l4, '?'), state, ecomm_status, entity_type,
+          distributor_group, CAST(CAST(rooms IS NOT NULL AS INTEGER) AS VARCHAR),
+          CAST(CAST(coalesce(rooms, 0) AS INTEGER) // 100 AS VARCHAR),
+          CAST(3 + CAST(cat_l4 IS NOT NULL AS INTEGER) AS VARCHAR), CAST(year_month % 100 AS VARCHAR)]) AS x, b
       FROM (SELECT *, {_BINS} AS b FROM (SELECT *, CAST(spend AS DOUBLE) AS y FROM fact), (SELECT [{_EDGES}] AS e FROM fact)))
     GROUP BY ALL)) GROUP BY ALL""", "fact"))
 def mutual_information(spark, folder):
-    df = fact(spark, folder, *_MI_FEATURES, "spend")
+    df = fact(spark, folder, *_MI_FEATURES[:9], "rooms", "year_month", "spend").withColumns({
+        "has_rooms": F.col("rooms").isNotNull().cast("int").cast("string"),
+        "room_band": F.floor(F.coalesce("rooms", F.lit(0)) / 100).cast("string"),
+        "category_depth": category_depth().cast("string"), "month": (F.col("year_month") % 100).cast("string")})
     return stats.mutual_information(df, _MI_FEATURES, "spend").select(
         "feature", rounded(F.col("mutual_information"), 6).alias("mutual_information"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import events as ev, growth, mix, ranking, rollup, trend
+from ..schema import ECOMM_STATUSES
 from ..sources import star
 from .base import (
     HORIZON, NOW, BEFORE, customer_spend, fact, month_total, query, r, segment_panel, sql,
@@ -78,15 +79,13 @@ def mean_rank(spark, folder):
 
 
 @query("W08_consensus_rank", sql(f"""
-SELECT feature, {r('(sum(CASE WHEN rn <= 15 THEN rn END) + 15 * (3 - count(*) FILTER (rn <= 15))) / 3.0', 6)} AS avg_rank
+SELECT feature, {r('(sum(CASE WHEN rn <= 15 THEN rn END) + 15 * (any_value(k) - count(*) FILTER (rn <= 15))) / any_value(k)::DOUBLE', 6)} AS avg_rank
 FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY v DESC, feature) AS rn
-  FROM (SELECT segment AS method, cat_l2 AS feature, sum(spend) AS v FROM fact
-        WHERE segment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') GROUP BY ALL))
+  FROM (SELECT segment AS method, cat_l2 AS feature, sum(spend) AS v FROM fact GROUP BY ALL)),
+  (SELECT count(DISTINCT segment) AS k FROM fact)
 GROUP BY feature HAVING count(*) FILTER (rn <= 15) > 0 ORDER BY 2, 1 LIMIT 10""", "fact"))
 def consensus(spark, folder):
-    df = fact(spark, folder, "segment", "cat_l2", "spend").filter(
-        F.col("segment").isin("AUTOMOBILE", "BUILDING", "FURNITURE"))
-    long = df.groupBy(F.col("segment").alias("method"), F.col("cat_l2").alias("feature")).agg(F.sum("spend").alias("v"))
+    long = fact(spark, folder, "segment", "cat_l2", "spend").groupBy(F.col("segment").alias("method"), F.col("cat_l2").alias("feature")).agg(F.sum("spend").alias("v"))
     return ranking.consensus_rank(long, "feature", "method", "v").withColumn(
         "avg_rank", rounded(F.col("avg_rank"), 6))
 
@@ -184,13 +183,14 @@ def top_other(spark, folder):
 
 @query("T04_top_pivot_rows", sql(f"""
 SELECT cat_l2, {r("coalesce(sum(spend) FILTER (ecomm_status = 'ACTIVE'), 0)")} AS "ACTIVE",
-  {r("coalesce(sum(spend) FILTER (ecomm_status = 'INACTIVE'), 0)")} AS "INACTIVE"
+  {r("coalesce(sum(spend) FILTER (ecomm_status = 'INACTIVE'), 0)")} AS "INACTIVE",
+  {r("coalesce(sum(spend) FILTER (ecomm_status = 'PENDING'), 0)")} AS "PENDING"
 FROM fact WHERE cat_l2 IN (SELECT cat_l2 FROM fact GROUP BY ALL ORDER BY sum(spend) DESC, cat_l2 LIMIT 10) GROUP BY ALL
 """, "fact"))
 def top_pivot(spark, folder):
     df = fact(spark, folder, "cat_l2", "ecomm_status", "spend")
     top = ranking.top_rows(rollup.key_stats(df, "cat_l2"), 10, "total_spend", "cat_l2").select("cat_l2")
-    names = ["ACTIVE", "INACTIVE"]
+    names = ECOMM_STATUSES
     wide = rollup.pivot_sum(df.join(top, "cat_l2", "left_semi"), ["cat_l2"], "ecomm_status", names)
     return wide.select("cat_l2", *[rounded(F.col(c), 4).alias(c) for c in names])
 
@@ -222,6 +222,6 @@ def busiest(spark, folder):
 SELECT s.state, coalesce(e.name, '—') AS top_event, coalesce(e.score, 0.0) AS top_score
 FROM (SELECT DISTINCT state FROM state_tot) s LEFT JOIN (
   SELECT state, name, score FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY score DESC, name) AS rn
-    FROM ev WHERE year_month BETWEEN {HORIZON[0]} AND {HORIZON[0]}) WHERE rn = 1) e USING (state)""", "ev", "state_tot"))
+    FROM ev WHERE year_month BETWEEN {HORIZON[0]} AND {HORIZON[-1]}) WHERE rn = 1) e USING (state)""", "ev", "state_tot"))
 def best_event(spark, folder):
-    return ev.best_event(star.event_calendar(spark, folder), state_totals(spark, folder), HORIZON[0], HORIZON[0])
+    return ev.best_event(star.event_calendar(spark, folder), state_totals(spark, folder), HORIZON[0], HORIZON[-1])

@@ -63,10 +63,10 @@ def fit_trees(df: DataFrame, features: list[str], trees: int = 100, seed: int =
         ordered = pdf.sort_values("_draw")[features].to_numpy(float)
         nodes = _grow(ordered, np.random.default_rng((seed, tree)))
         out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "left", "depth"])
-        return out.assign(tree=tree)
+        return out.assign(tree=tree, rows=len(ordered))
 
     return numbered.groupBy("tree").applyInPandas(
-        grow, "node int, feature int, cut double, left int, depth double, tree int")
+        grow, "node int, feature int, cut double, left int, depth double, tree int, rows int")
 
 
 def score(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
@@ -78,9 +78,9 @@ def score(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
     table = nodes.toPandas().sort_values(["tree", "node"])
     forest = [part.sort_values("node") for _, part in table.groupby("tree")]
     packed = [(t["feature"].to_numpy(), t["cut"].to_numpy(), t["left"].to_numpy(),
-               t["depth"].to_numpy()) for t in forest]
+               # Depth as a share of the mean depth of a tree grown on as many rows.
+               t["depth"].to_numpy() / _average_path(max(2, int(t["rows"].iloc[0])))) for t in forest]
     shared = df.sparkSession.sparkContext.broadcast(packed)
-    norm = _average_path(TREE_ROWS)
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -96,7 +96,7 @@ def score(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
                     at[rows] = left[spot] + goes_right
                     inner = feature[at] >= 0
                 depth += reached[at]
-            yield pdf.assign(anomaly_score=np.exp2(-depth / (len(shared.value) * norm)))
+            yield pdf.assign(anomaly_score=np.exp2(-depth / len(shared.value)))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInPandas(rate, f"{fields}, anomaly_score double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import month_index, quarter_label
 from .clean import with_label
@@ -42,17 +42,15 @@ def lift_and_events(series: DataFrame, events: DataFrame, now: tuple[int, int],
             .withColumn("yoy_lift", F.col("now_spend") - F.col("before_spend")))
 
 
-def half_year_growth(history: DataFrame, forecast: DataFrame, keys: list[str]) -> DataFrame:
-    """First-half forecast against the half before it (all history when short).
+def half_year_growth(history: DataFrame, forecast: DataFrame, keys: list[str],
+                     half: tuple[int, int]) -> DataFrame:
+    """First-half forecast against the half year before it, given by its first and last month.
 
-    The half before starts at the 7th known month of a series of 12 or more.
+    A series of fewer than 12 known months is compared with all of its history.
     """
-    order = W.partitionBy(*keys).orderBy("year_month")
-    placed = history.withColumns({
-        "_i": F.row_number().over(order), "_n": F.count("*").over(W.partitionBy(*keys))})
-    counts = (F.col("_n") < 12) | (F.col("_i") > 6)
-    base = placed.groupBy(*keys).agg(
-        F.sum(F.when(counts, F.col("spend"))).alias("prior_h2"),
+    inside = F.sum(F.when(F.col("year_month").between(*half), F.col("spend")))
+    base = history.groupBy(*keys).agg(
+        F.when(F.count("*") < 12, F.sum("spend")).otherwise(inside).alias("prior_h2"),
         F.avg("spend").alias("avg_monthly"))
     ahead = forecast.groupBy(*keys).agg(F.sum("spend").alias("h1"))
     return base.join(ahead, keys).withColumn(

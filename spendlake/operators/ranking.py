@@ -54,7 +54,7 @@ def with_group_position(df: DataFrame, groups: list[str], order: list[Column | s
     """1-based position inside each group, also for a group too large for one task."""
     placed = with_position(df, [*groups, *order], "_global")
     starts = placed.groupBy(*groups).agg((F.min("_global") - 1).alias("_start"))
-    return (join_checked(placed, settle(starts), groups)
+    return (placed.join(starts, groups)
             .withColumn(position, F.col("_global") - F.col("_start"))
             .drop("_global", "_start"))
 
@@ -120,7 +120,9 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, flo
             for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     brackets = settle(source.groupBy(*grouped).agg(F.percentile_approx(
         value, F.array(*[F.lit(e) for e in ends]), accuracy).alias("_edge")))
-    placed = join_checked(source, brackets, grouped)
+    # Without groups there is one row of brackets, which scalars bring in without a join.
+    placed = source.join(brackets, grouped) if groups else source.withColumn(
+        "_edge", brackets.select("_edge").scalar())
     inside = reduce(or_, [F.col(value).between(F.get("_edge", F.lit(i)), F.get("_edge", F.lit(i + 1)))
                           for i in range(0, len(ends), 2)])
     passed = reduce(add, [(F.col(value) > F.get("_edge", F.lit(i))).cast("int")
@@ -131,7 +133,9 @@ def quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, flo
     ordered = with_position(cells, [*grouped, "_low"], "_cell", running={"_end": "_n"})
     bounds = ordered.groupBy(*grouped).agg(
         F.min(F.col("_end") - F.col("_n")).alias("_first"), F.sum("_n").alias("_size"))
-    spots = ordered.join(bounds, grouped).withColumns({
+    sized = ordered.join(bounds, grouped) if groups else ordered.withColumns(
+        {name: bounds.select(name).scalar() for name in ("_first", "_size")})
+    spots = sized.withColumns({
         "_from": F.col("_end") - F.col("_n") - F.col("_first"),
         "_to": F.col("_end") - F.col("_first") - 1})
     picks, shape = [], []
@@ -152,21 +156,6 @@ def _value_at(rank: Column) -> Column:
     return F.when((F.col("_from") <= rank) & (F.col("_to") >= rank), value)
 
 
-BROADCAST_ROWS = 100_000
-
-
-def join_checked(df: DataFrame, side: DataFrame, on, how: str = "inner",
-                 rows: int | None = None) -> DataFrame:
-    """Join a settled side; broadcast it only when its rows are counted to be few.
-
-    A settled frame has no size estimate, so without this the large side would always be
-    shuffled by its keys. Beyond the limit that is what happens.
-    """
-    if rows is None:
-        rows = side.limit(BROADCAST_ROWS + 1).count()
-    return df.join(F.broadcast(side) if rows <= BROADCAST_ROWS else side, on, how)
-
-
 def summary(df: DataFrame, groups: list[str], value: str = "spend") -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum."""
     grouped = groups or ["_all"]
@@ -175,8 +164,12 @@ def summary(df: DataFrame, groups: list[str], value: str = "spend") -> DataFrame
         F.count(value).alias("n"), F.avg(value).cast("double").alias("mean"),
         F.stddev_samp(F.col(value).cast("double")).alias("std"),
         F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"))
-    quarters = quantiles(source, grouped, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    out = moments.join(quarters, grouped, "left")
+    names = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    if groups:
+        out = moments.join(quantiles(source, groups, value, names), groups, "left")
+    else:
+        quarters = settle(quantiles(df, [], value, names))  # one row
+        out = moments.withColumns({name: quarters.select(name).scalar() for name in names})
     return out.select(*groups, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 

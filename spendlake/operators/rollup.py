@@ -10,9 +10,13 @@ from .clean import known_keys
 
 
 def customer_month(fact: DataFrame) -> DataFrame:
-    """Purchase lines -> one row per customer, category and month."""
+    """Purchase lines -> one row per customer, category and month.
+
+    A missing key is a group of its own, so no spend is lost here; each rollup leaves out
+    only the rows that lack a key of its own.
+    """
     measures = [name for name in ("spend", "list_price", "savings") if name in fact.columns]
-    return (known_keys(fact, DETAIL_KEYS).groupBy(*DETAIL_KEYS)
+    return (fact.groupBy(*DETAIL_KEYS)
             .agg(*[F.sum(name).alias(name) for name in measures]))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import UNKNOWN
 from ..session import settle
-from .ranking import join_checked, with_group_position
+from .ranking import with_group_position
 
 
 def draw(row_id: str, seed: int) -> Column:
@@ -44,7 +44,7 @@ def stratified_sample(df: DataFrame, stratum: str, row_id: str, size: int, seed:
             .filter(F.col("_open") > 0).groupBy(stratum).agg(
                 F.max("_bucket").alias("_last"), F.max_by("_n", "_bucket").alias("_n"),
                 F.max_by("_open", "_bucket").alias("_open")))
-    marked = join_checked(known, settle(plan), [stratum]).filter(F.col("_bucket") <= F.col("_last"))
+    marked = known.join(settle(plan), [stratum]).filter(F.col("_bucket") <= F.col("_last"))
     at_cut = (F.col("_bucket") == F.col("_last")) & (F.col("_open") < F.col("_n"))
     whole = marked.filter(~at_cut)
     place = W.partitionBy(stratum, "_bucket").orderBy("_draw", row_id)
@@ -101,11 +101,10 @@ def encode_labels(df: DataFrame, columns: list[str], codes: DataFrame | None = N
     the rows are not shuffled by a key of few values; a long one is joined by key.
     """
     codes = settle(label_codes(df, columns)) if codes is None else codes
-    sizes = {r["column"]: r["count"] for r in codes.groupBy("column").count().collect()}
     for name in columns:
         mine = codes.filter(F.col("column") == name).select(
             F.col("value").alias(f"_v_{name}"), F.col("code").alias(f"{name}_enc"))
         filled = F.coalesce(F.col(name).cast("string"), F.lit(UNKNOWN))
-        df = join_checked(df, mine, filled == F.col(f"_v_{name}"), "left", sizes.get(name, 0))
+        df = df.join(mine, filled == F.col(f"_v_{name}"), "left")
         df = df.drop(f"_v_{name}")
     return df

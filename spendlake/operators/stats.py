@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions import standard_score
 from ..session import settle
 from .clean import known_keys
-from .ranking import join_checked, quantiles
+from .ranking import quantiles
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def box_numbers(df: DataFrame, key: str, value: str) -> DataFrame:
     quarter = quantiles(df, [key], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     spread = (F.col("q75") - F.col("q25")) * 1.5
     x = F.col(value).cast("double")
-    joined = join_checked(df, settle(quarter), key).withColumn(
+    joined = df.join(settle(quarter), key).withColumn(
         "_in", x.between(F.col("q25") - spread, F.col("q75") + spread))
     return joined.groupBy(key, "q25", "q50", "q75").agg(
         F.min(F.when(F.col("_in"), x)).alias("whisker_low"),
@@ -145,12 +145,14 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     labelled = df.withColumn("_edges", edges).withColumn("_y", reduce(add, below))
     text = labelled.select("_y", *[F.col(c).cast("string").alias(c) for c in features])
     long = text.unpivot(["_y"], features, "feature", "_x")
-    cells = settle(long.groupBy("feature", F.coalesce("_x", F.lit("∅")).alias("_x"), "_y")
+    cells = settle(long.groupBy("feature", "_x", "_y")
                    .agg(F.count("*").alias("_n")))
     per_x = cells.groupBy("feature", "_x").agg(F.sum("_n").alias("_nx"))
     per_y = cells.groupBy("feature", "_y").agg(F.sum("_n").alias("_ny"))
     n = cells.filter(F.col("feature") == features[0]).select(F.sum("_n")).scalar()
-    joined = cells.join(per_x, ["feature", "_x"]).join(per_y, ["feature", "_y"])
+    per_x = per_x.withColumnsRenamed({"feature": "_f", "_x": "_v"})
+    same = (F.col("feature") == F.col("_f")) & F.col("_x").eqNullSafe(F.col("_v"))  # a missing value is one too
+    joined = cells.join(per_x, same).join(per_y, ["feature", "_y"])
     p = F.col("_n") / n
     term = p * F.log(F.col("_n") * n / (F.col("_nx") * F.col("_ny")))
     return joined.groupBy("feature").agg(F.sum(term).alias("mutual_information")).withColumn(

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import ranking, rollup, trend
-from ..operators.clean import only_members
+from ..operators.clean import known_keys, only_members
 from ..sources import files
 
 PRICES = ["spend", "list_price", "savings"]
@@ -54,13 +54,16 @@ def segment_features(seg_month: DataFrame, customers: DataFrame | None = None) -
 
 
 def customer_summary(fact: DataFrame) -> DataFrame:
-    return fact.dropna(subset=["customer_id"]).groupBy(
-        "customer_id", "segment", F.col("ecomm_status").alias("ecomm")).agg(
+    """One row per customer; one active line makes the customer active."""
+    active = F.max((F.upper("ecomm_status") == "ACTIVE").cast("int"))
+    return fact.dropna(subset=["customer_id"]).groupBy("customer_id").agg(
+        F.min("segment").alias("segment"),
+        F.when(active == 1, "ACTIVE").otherwise(F.max("ecomm_status")).alias("ecomm"),
         F.sum("spend").alias("total_spend"))
 
 
 def client_concentration(detail: DataFrame) -> DataFrame:
-    clients = detail.groupBy("client_id").agg(F.sum("spend").alias("total_spend"))
+    clients = known_keys(detail, ["client_id"]).groupBy("client_id").agg(F.sum("spend").alias("total_spend"))
     return ranking.pareto(clients, "client_id")
 
 
@@ -73,13 +76,13 @@ def build(fact: DataFrame, folder: str, months: list[int] | None = None) -> None
     spark: SparkSession = fact.sparkSession
     source = fact if months is None else fact.filter(F.col("year_month").isin(months))
     detail_path = os.path.join(folder, "customer_month")
-    files.write_mart(rollup.customer_month(source), detail_path)
+    files.write_mart(rollup.customer_month(source), detail_path, months=months)
     detail = files.read_mart(spark, detail_path)
     fresh = detail if months is None else detail.filter(F.col("year_month").isin(months))
     for name, frame in (("portfolio_month", portfolio_month), ("segment_month", segment_month),
                         ("category_month", category_month), ("state_month", state_month),
                         ("segment_state_month", segment_state_month)):
-        files.write_mart(frame(fresh), os.path.join(folder, name))
+        files.write_mart(frame(fresh), os.path.join(folder, name), months=months)
     whole = files.read_mart(spark, os.path.join(folder, "segment_month"))
     files.write_mart(segment_features(whole), os.path.join(folder, "segment_features"), by_month=False)
     files.write_mart(client_concentration(detail), os.path.join(folder, "concentration"), by_month=False)

@@ -14,16 +14,22 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_to_fact(raw: DataFrame) -> DataFrame:
-    """Raw text columns -> typed fact columns; unreadable numbers become null."""
+    """Raw text columns -> typed fact columns; unreadable numbers become null.
+
+    The raw file has neither prices nor a row key. Prices are null, and the key is a digest of
+    the whole line, so lines equal in every column share it.
+    """
     typed = {
         "year_month": lambda c: parse_year_month(c),
         "rooms": lambda c: c.try_cast("double"),
         "spend": lambda c: c.try_cast(MONEY),
     }
     keep = typed.get
-    return raw.select(*[
+    line = F.to_json(F.struct(*[F.col(f"`{source}`") for source in raw.columns]))
+    return raw.select(F.sha2(line, 256).alias("row_id"), *[
         keep(name, lambda c: c)(F.col(f"`{source}`")).alias(name)
-        for source, name in RAW_TO_FACT.items()])
+        for source, name in RAW_TO_FACT.items()],
+        *[F.lit(None).cast(MONEY).alias(name) for name in ("list_price", "savings")])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
@@ -58,17 +64,30 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_mart(df: DataFrame, path: str, by_month: bool = True) -> None:
-    """A mart as parquet. With ``by_month`` only the months present in ``df`` are replaced.
+def write_mart(df: DataFrame, path: str, by_month: bool = True, months: list[int] | None = None) -> None:
+    """A mart as parquet, in place of the one that was there.
 
-    Rows of a month meet in a bounded number of tasks: the month alone would send a hot
-    month to one writer, so the rebalance may split it.
+    With ``months`` only these are replaced, and a month that has become empty goes. Rows of
+    a month meet in a bounded number of tasks: the month alone would send a hot month to one
+    writer, so the rebalance may split it.
     """
     if not by_month:
         df.write.mode("overwrite").parquet(path)
         return
+    mode = "static" if months is None else "dynamic"
     (df.hint("rebalance", "year_month").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(path))
+     .option("partitionOverwriteMode", mode).partitionBy("year_month").parquet(path))
+    if months is not None:
+        found = df.select("year_month").distinct().collect()  # at most the months asked for
+        _drop_months(df.sparkSession, path, set(months) - {row[0] for row in found})
+
+
+def _drop_months(spark: SparkSession, path: str, months: set[int]) -> None:
+    """Removes the partitions of a mart's months, by the file system that holds it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for month in months:
+        partition = hadoop(path, f"year_month={month}")
+        partition.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(partition, True)
 
 
 def read_mart(spark: SparkSession, path: str) -> DataFrame:
@@ -78,4 +97,4 @@ def read_mart(spark: SparkSession, path: str) -> DataFrame:
 def refresh_mart(fact: DataFrame, build, path: str, months: list[int]) -> None:
     """Rebuild only the given months of a month-grained mart."""
     changed = fact.filter(F.col("year_month").isin(months))
-    write_mart(build(changed), path)
+    write_mart(build(changed), path, months=months)

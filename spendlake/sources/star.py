@@ -1,6 +1,7 @@
 """Adapter: order-line star tables -> spend fact and its dimensions.
 
-Only the tables that the requested columns need are joined. Dimension joins carry no
+Only the tables that the requested columns need are joined, and a line without a match keeps
+its other columns, so the rows do not depend on the columns asked for. Dimension joins carry no
 broadcast hint: Spark broadcasts a side whose size it knows to be small and sorts and
 merges both sides beyond that.
 """
@@ -23,15 +24,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows over all cores when the files give fewer splits than there are cores.
-
-    A table of many files already has enough splits and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _expressions() -> dict[str, F.Column]:
     """Fact column -> expression over the joined star tables."""
     key = F.col("o_custkey")
@@ -78,17 +70,17 @@ def spend_fact(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The spend fact with the given columns (all when none is named)."""
     wanted = list(columns) or FACT_COLUMNS
     need = set(wanted)
-    df = spread(table(spark, folder, "lineitem"), "l_orderkey")
+    df = table(spark, folder, "lineitem")
     if need & _ORDER:
-        df = df.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        df = df.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if need & _CUSTOMER:
-        df = df.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        df = df.join(table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     if need & _NATION:
-        df = df.join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        df = df.join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     if need & _PART:
-        df = df.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        df = df.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     if need & _SUPPLIER:
-        df = df.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        df = df.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
     exprs = _expressions()
     return df.select(*[exprs[name].alias(name) for name in wanted])
 
