@@ -121,10 +121,18 @@ def test_growth_with_zero_base(spark):
 def test_half_year_of_long_and_short_series(spark):
     history = series(spark, long=list(range(1, 13)), short=[1, 2, 3])
     ahead = series(spark, long=[10] * 6, short=[1] * 6)
-    out = rows(growth.half_year_growth(history, ahead, ["segment"]), "segment")
+    out = rows(growth.half_year_growth(history, ahead, ["segment"], (200007, 200012)), "segment")
     assert out["long"].prior_h2 == sum(range(7, 13)) and out["short"].prior_h2 == 6.0
 
 
+def test_half_year_of_three_years(spark):
+    months = [y * 100 + m for y in (2000, 2001, 2002) for m in range(1, 13)]
+    history = spark.createDataFrame([("a", ym, float(i)) for i, ym in enumerate(months)], "segment string, year_month int, spend double")
+    ahead = spark.createDataFrame([("a", 200301, 1.0)], "segment string, year_month int, spend double")
+    out = growth.half_year_growth(history, ahead, ["segment"], (200207, 200212)).first()
+    assert out.prior_h2 == sum(range(30, 36))
+
+
 def test_unknown_label_and_default_row(spark):
     df = spark.createDataFrame([("a",), ("b",)], "segment string")
     labels = spark.createDataFrame([("a", "Alpha")], "segment string, label string")

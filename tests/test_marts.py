@@ -77,3 +77,74 @@ def test_fixed_dimensions(spark, tmp_path):
     own = tmp_path / "labels.csv"
     own.write_text("# mine\nsegment,label\nX,Ex\n")
     assert dims.read_dimension(spark, "segment_labels", str(own)).collect() == [("X", "Ex")]
+
+
+def test_no_spend_is_lost_to_a_missing_key(spark):
+    from decimal import Decimal
+
+    from spendlake.operators import rollup
+    from spendlake.schema import DETAIL_KEYS, MONEY
+    whole = {"segment": "S", "client_id": "1", "customer_id": "11", "state": "AL", "cat_l1": "C", "year_month": 202501}
+    lines = [whole] + [{**whole, key: None} for key in DETAIL_KEYS]
+    df = spark.createDataFrame([tuple(r[k] for k in DETAIL_KEYS) + (Decimal(10),) * 3 for r in lines],
+                               "segment string, client_id string, customer_id string, state string, cat_l1 string, "
+                               "year_month int, spend decimal(18,4), list_price decimal(18,4), savings decimal(18,4)")
+    detail = rollup.customer_month(df)
+    total = lambda frame: float(frame.agg(F.sum("spend")).first()[0])
+    assert total(detail) == 70.0
+    assert total(marts.portfolio_month(detail)) == 60.0  # all but the line without a month
+    for frame in (marts.segment_month, marts.category_month, marts.state_month):
+        assert total(frame(detail)) == 50.0  # nor the line without the key
+    assert marts.client_concentration(detail).where("client_id IS NULL").count() == 0
+
+
+def test_a_customer_counts_once(spark):
+    df = spark.createDataFrame([("c1", "S", "Active", 1.0), ("c1", "S", "INACTIVE", 1.0), ("c2", "S", "INACTIVE", 1.0)],
+                               "customer_id string, segment string, ecomm_status string, spend double")
+    from spendlake.operators import rollup
+    row = rollup.ecomm_penetration(marts.customer_summary(df)).first()
+    assert (row.ecomm_active, row.total_locations, row.ecomm_penetration) == (1, 2, 0.5)
+
+
+def test_emptied_months_go(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    build = lambda part: part.groupBy("year_month").agg(F.sum("spend").alias("spend"))
+    frame = lambda rows: spark.createDataFrame(rows, "year_month int, spend double")
+    months = lambda: {r.year_month: r.spend for r in files.read_mart(spark, path).collect()}
+    files.write_mart(build(frame([(202501, 1.0), (202502, 2.0), (202503, 3.0)])), path)
+    files.refresh_mart(frame([(202501, 5.0), (202503, 9.0)]), build, path, [202501, 202502])
+    assert months() == {202501: 5.0, 202503: 3.0}
+    files.write_mart(build(frame([(202503, 4.0)])), path)
+    assert months() == {202503: 4.0}
+
+
+def test_raw_csv_to_marts(spark, tmp_path):
+    from spendlake.schema import RAW_COLUMNS
+    lines = [",".join(RAW_COLUMNS)]
+    for i in range(40):
+        cells = {"Year Month": f"2025-{i % 12 + 1:02d}", "Customer Market Segment Id": f"S{i % 2}", "Client ID": str(i % 5),
+                 "Customer Id": str(i % 10), "State": "AL", "Category Level 1": "C", "Ecommerce Status": "ACTIVE",
+                 "Spend Random Factor": "12.50"}
+        lines.append(",".join(cells.get(c, "") for c in RAW_COLUMNS))
+    (tmp_path / "raw.csv").write_text("\n".join(lines) + "\n")
+    df = files.raw_to_fact(files.read_raw_csv(spark, str(tmp_path / "raw.csv")))
+    assert df.where("row_id IS NULL").count() == 0
+    folder = str(tmp_path / "marts")
+    marts.build(df, folder)
+    assert float(files.read_mart(spark, os.path.join(folder, "segment_month")).agg(F.sum("spend")).first()[0]) == 500.0
+    assert files.read_mart(spark, os.path.join(folder, "segment_features")).count() == 2
+
+
+def test_functions_run_on_workers_from_any_folder():
+    """The package travels by value: a worker that can't import it still runs its functions."""
+    import pickle
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from spendlake.models.anomaly import _average_path
+    code = f"import pickle; print(pickle.loads({cloudpickle.dumps(_average_path)!r})(2))"
+    assert pickle.loads(cloudpickle.dumps(_average_path))(2) == 1.0
+    said = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert said.stdout.strip() == "1.0", said.stderr

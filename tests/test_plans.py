@@ -16,7 +16,7 @@ def plan(df) -> str:
 
 
 @pytest.mark.parametrize("name", [
-    "A01_portfolio_month", "A05_two_levels", "A26_histogram", "F05_unit_scale", "G06_event_spend_detail",
+    "A01_portfolio_month", "A05_two_levels", "A09_summary", "A26_histogram", "F05_unit_scale", "G06_event_spend_detail",
     "J06_mix_alignment", "P12_strategic_class", "P14_high_average", "Q05_over_and_under_index",
     "U03_densify", "W03_pareto", "W09_share_of_total"])
 def test_no_cross_join(spark, folder, name):
