@@ -11,19 +11,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
+from .shared import Scratch
 
 
-def stars(pairs: DataFrame) -> DataFrame:
+def stars(pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node, root`` for every node of ``pairs`` (``a, b``): the smallest node of its component.
 
     The root itself has a row too. Pairs may repeat and come in any direction.
     """
-    edges = written(_ordered(pairs.select("a", "b").where("a <> b")), "links")
+    scratch = scratch or Scratch(pairs, "stars")
+    edges = scratch.write(_ordered(pairs.select("a", "b").where("a <> b")), "links")
     state = None
     while True:
         edges = _small(_large(edges))
-        edges = written(edges, "links")
+        edges = scratch.write(edges, "links")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import stars
-from .shared import free, written
+from .shared import Scratch, free, written
 
 WORDS, THRESHOLD = 5, 75
 HASHES, BANDS = 128, 32
@@ -221,12 +221,12 @@ def with_both(pairs: DataFrame, values: DataFrame, value: str, names: tuple[str,
 # Candidates and components -----------------------------------------------------------
 
 
-def candidates(members: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
+def candidates(members: DataFrame, pivots: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """One round over ``key, c, root``: pairs to compare, and members of large buckets that stay."""
     live = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(
         "lo <> hi").select(F.col("key").alias("k"), "n").join(members, F.col("k") == F.col("key")).select(
         "key", "c", "root", "n")
-    live = written(live, "buckets")
+    live = scratch.write(live, "buckets")
     large = live.where(F.col("n") > SMALL)
     chosen = large.groupBy("key", F.pmod(F.xxhash64("c"), F.lit(pivots)).alias("salt")).agg(F.min("c").alias("p"))
     roots = large.select(F.col("key").alias("k"), F.col("c").alias("q"), F.col("root").alias("r"))
@@ -247,27 +247,28 @@ def digest_of(text: Column) -> Column:
 
 def classes_of(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Per class of equal texts (``doc_id, text``): ``digest, n_shingles, component_id``."""
-    classes = written(sign_texts(rows).groupBy("digest").agg(
+    scratch = Scratch(rows, "near")
+    classes = scratch.write(sign_texts(rows).groupBy("digest").agg(
         F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"),
         F.first("sig").alias("sig")), "classes")
     keys = classes.select(F.explode("bands").alias("key"), F.col("digest").alias("c"))
     met = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"))
-    members = written(keys.join(met, F.col("key") == F.col("k")).select("key", "c", F.col("c").alias("root")), "members")
+    members = scratch.write(keys.join(met, F.col("key") == F.col("k")).select("key", "c", F.col("c").alias("root")), "members")
     one = classes.select("digest", "least_id").join(members.select(F.col("c").alias("digest")).distinct(), "digest")
     texts = rows.where("text IS NOT NULL").select("doc_id", "text", digest_of(F.col("text")).alias("_digest"))
-    sets = written(set_texts(texts.join(one, (F.col("_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(
+    sets = scratch.write(set_texts(texts.join(one, (F.col("_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(
         F.col("least_id"))).select("digest", "text")), "sets")
 
     links, roots, turn = None, None, 0
     while True:
-        pairs, rest = candidates(members, PIVOTS[min(turn, len(PIVOTS) - 1)])
-        likely = written(prune(with_both(pairs, classes, "sig", ("sig_a", "sig_b")), threshold), "likely")
-        sure = written(verify(with_both(likely, sets, "shingles", ("set_a", "set_b")), threshold).distinct(), "sure")
+        pairs, rest = candidates(members, PIVOTS[min(turn, len(PIVOTS) - 1)], scratch)
+        likely = scratch.write(prune(with_both(pairs, classes, "sig", ("sig_a", "sig_b")), threshold), "likely")
+        sure = scratch.write(verify(with_both(likely, sets, "shingles", ("set_a", "set_b")), threshold).distinct(), "sure")
         links = sure if links is None else links.unionByName(sure)
-        roots = written(stars(links), "roots")
+        roots = scratch.write(stars(links, scratch), "roots")
         rest = rest.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select(
             "key", "c", F.coalesce("root", "c").alias("root"))
-        members = written(rest, "members")
+        members = scratch.write(rest, "members")
         if members.isEmpty():
             break
         turn += 1
@@ -275,7 +276,9 @@ def classes_of(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn(
         "root", F.coalesce("root", "digest"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return written(rooted.join(named, "root").select("digest", "n_shingles", "component_id"), "components")
+    found = written(rooted.join(named, "root").select("digest", "n_shingles", "component_id"), "components")
+    scratch.clear()
+    return found
 
 
 def mark(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD) -> DataFrame:

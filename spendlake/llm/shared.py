@@ -18,6 +18,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job's inner steps, under one folder that goes when the job has its result."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.root, self.count = df.sparkSession, scratch_path(df.sparkSession, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes the folder, by the file system that holds it."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of ``df`` has."""
     used = {c.lower() for c in df.columns}
