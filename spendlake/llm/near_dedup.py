@@ -4,11 +4,13 @@
    values and ``BANDS`` band keys. Texts that are equal byte by byte form a class; from here on
    a class is one row, so thousands of copies cost no more than one.
 2. Classes that share a band key are candidates. A small bucket compares all of its members.
-   A large one is settled in rounds: a few members, its pivots, are compared with all others
-   and then leave; members already known to be of one component need no comparison. So a
-   group of near copies collapses in the first round, whatever its size, no round makes more
-   rows than members times pivots, and in the end every pair in a bucket has been compared or
-   is linked through others.
+   A large one first compares its least member with all others, so a group of near copies
+   mostly collapses into one component, whatever its size. Then what is left outside the
+   bucket's largest component meets the rest in cells: blocks of about ``BLOCK`` members
+   against each other, each in a task of its own, which compares signatures in place and gives
+   out only pairs that no batch rules out. Members of one component need no comparison, so in
+   the end every pair in a bucket has been compared or is linked through others, and rows are
+   made for members and likely pairs, never for all pairs.
 3. A candidate pair goes through its signatures batch by batch. With ``m`` of ``n`` values
    equal and a uniform prior, the posterior chance that the similarity reaches the threshold is
    that of at most ``m`` successes in ``n + 1`` trials at the threshold; a pair whose chance
@@ -45,8 +47,8 @@ HASHES, BANDS = 128, 32
 MISS, BATCH = 1e-6, 32
 #: Up to so many members, a bucket compares all of them at once.
 SMALL = 32
-#: Pivots of a large bucket in each round; the last number holds for all later rounds.
-PIVOTS = (1, 16, 64, 256)
+#: Members of a block of a large bucket, about.
+BLOCK = 256
 
 
 # Texts to sets and signatures --------------------------------------------------------
@@ -221,24 +223,84 @@ def with_both(pairs: DataFrame, values: DataFrame, value: str, names: tuple[str,
 # Candidates and components -----------------------------------------------------------
 
 
-def candidates(members: DataFrame, pivots: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """One round over ``key, c, root``: pairs to compare, and members of large buckets that stay."""
-    live = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where(
-        "lo <> hi").select(F.col("key").alias("k"), "n").join(members, F.col("k") == F.col("key")).select(
-        "key", "c", "root", "n")
-    live = scratch.write(live, "buckets")
-    large = live.where(F.col("n") > SMALL)
-    chosen = large.groupBy("key", F.pmod(F.xxhash64("c"), F.lit(pivots)).alias("salt")).agg(F.min("c").alias("p"))
-    roots = large.select(F.col("key").alias("k"), F.col("c").alias("q"), F.col("root").alias("r"))
-    ready = chosen.select("key", "p").join(roots, (F.col("key") == F.col("k")) & (F.col("p") == F.col("q"))).select("k", "p", "r")
-    small = live.where(F.col("n") <= SMALL)
-    others = small.select(F.col("key").alias("k"), F.col("c").alias("p"), F.col("root").alias("r"))
-    pairs = small.join(others, (F.col("key") == F.col("k")) & (F.col("c") < F.col("p")) & (F.col("root") != F.col("r"))).unionByName(
-        large.join(ready, (F.col("key") == F.col("k")) & (F.col("root") != F.col("r")))).select(
-        F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct()
-    rest = large.join(chosen.select(F.col("key").alias("k"), "p"),
-                      (F.col("key") == F.col("k")) & (F.col("c") == F.col("p")), "left_anti").select("key", "c")
-    return pairs, rest
+def live(members: DataFrame) -> DataFrame:
+    """``key, c, root, n``: members of buckets that hold more than one component, and the bucket's size."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    open_keys = sizes.where("lo <> hi").select(F.col("key").alias("k"), "n")
+    return open_keys.join(members, F.col("k") == F.col("key")).select("key", "c", "root", "n")
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of small buckets, and the least member of a large one with all others."""
+    small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+    others = small.select(F.col("key").alias("k"), F.col("c").alias("b"))
+    least = large.groupBy("key").agg(F.min("c").alias("a")).select(F.col("key").alias("k"), "a")
+    return small.join(others, (F.col("key") == F.col("k")) & (F.col("c") < F.col("b"))).select(
+        F.col("c").alias("a"), "b").unionByName(
+        large.join(least, (F.col("key") == F.col("k")) & (F.col("c") != F.col("a"))).select(
+            "a", F.col("c").alias("b"))).distinct()
+
+
+def cells(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of large buckets in cells: what is outside the largest component against it and itself.
+
+    A member comes once for each block that it meets.
+    """
+    held = members.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    held = held.select(F.col("key").alias("k"), "main", blocks(F.col("n_main")).alias("mains"),
+                       blocks(F.col("n") - F.col("n_main")).alias("rests"))
+    placed = members.join(held, F.col("key") == F.col("k")).withColumn("in_main", F.col("root") == F.col("main"))
+    own = F.pmod(F.xxhash64("c"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    placed = placed.withColumn("own", own)
+    cell = lambda main, i, j, side: F.struct(
+        F.lit(main).alias("main"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    mine = F.col("own")
+    met = F.when(F.col("in_main"), F.transform(upto(F.col("rests")), lambda j: cell(True, mine, j, 0))).otherwise(F.concat(
+        F.transform(upto(F.col("mains")), lambda i: cell(True, i, mine, 1)),
+        F.transform(upto(F.col("rests")), lambda j: F.when(mine <= j, cell(False, mine, j, 0)).otherwise(
+            cell(False, j, mine, 1)))))
+    return placed.select("key", "c", "root", F.inline(met)).join(
+        classes.select(F.col("digest").alias("c"), "n_shingles", "bands", "sig"), "c")
+
+
+def compare_cells(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs ``a, b`` of different components in each cell that no batch rules out.
+
+    A pair that meets in several buckets counts in the first of its bands only.
+    """
+    bounds = least_matches(threshold / 100)
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, j = table["side"].to_numpy(), table["j"].to_numpy()
+        c, root = np.array(table["c"].to_pylist(), object), np.array(table["root"].to_pylist(), object)
+        size = table["n_shingles"].to_numpy()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(len(c), -1)
+        bands = np.array(table["bands"].to_pylist(), np.int64)
+        band = int((bands[0] == table["key"][0].as_py()).argmax())
+        within = not table["main"][0].as_py() and bool((table["i"].to_numpy() == j).all())
+        left, right = (np.arange(len(c)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        found_a, found_b = [], []
+        for at in range(0, len(left), 64):
+            part = left[at:at + 64]
+            near = (100 * np.minimum.outer(size[part], size[right]) >= threshold * np.maximum.outer(size[part], size[right]))
+            near &= root[part][:, None] != root[right][None, :]
+            if within:
+                near &= part[:, None] < right[None, :]
+            x, y = np.nonzero(near)
+            x, y, equal, start = part[x], right[y], np.zeros(len(x), np.int64), 0
+            for n, least in bounds:
+                equal = equal + (sig[x, start:n] == sig[y, start:n]).sum(axis=1)
+                good = equal >= least
+                x, y, equal, start = x[good], y[good], equal[good], n
+            first = (bands[x] == bands[y]).argmax(axis=1) == band
+            found_a += [min(c[p], c[q]) for p, q in zip(x[first], y[first])]
+            found_b += [max(c[p], c[q]) for p, q in zip(x[first], y[first])]
+        return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
+
+    return rows.groupBy("key", "main", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def digest_of(text: Column) -> Column:
@@ -259,19 +321,20 @@ def classes_of(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     sets = scratch.write(set_texts(texts.join(one, (F.col("_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(
         F.col("least_id"))).select("digest", "text")), "sets")
 
-    links, roots, turn = None, None, 0
-    while True:
-        pairs, rest = candidates(members, PIVOTS[min(turn, len(PIVOTS) - 1)], scratch)
-        likely = scratch.write(prune(with_both(pairs, classes, "sig", ("sig_a", "sig_b")), threshold), "likely")
-        sure = scratch.write(verify(with_both(likely, sets, "shingles", ("set_a", "set_b")), threshold).distinct(), "sure")
-        links = sure if links is None else links.unionByName(sure)
-        roots = scratch.write(stars(links, scratch), "roots")
-        rest = rest.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select(
-            "key", "c", F.coalesce("root", "c").alias("root"))
-        members = scratch.write(rest, "members")
-        if members.isEmpty():
-            break
-        turn += 1
+    def verified(likely: DataFrame) -> DataFrame:
+        kept = scratch.write(likely, "likely")
+        return scratch.write(verify(with_both(kept, sets, "shingles", ("set_a", "set_b")), threshold).distinct(), "sure")
+
+    members = scratch.write(live(members), "buckets")
+    pairs = first_pairs(members)
+    links = verified(prune(with_both(pairs, classes, "sig", ("sig_a", "sig_b")), threshold))
+    roots = scratch.write(stars(links, scratch), "roots")
+    large = members.where(F.col("n") > SMALL).select("key", "c").join(
+        roots.select(F.col("node").alias("c"), "root"), "c", "left").select(
+        "key", "c", F.coalesce("root", "c").alias("root"))
+    large = scratch.write(live(large), "buckets")
+    links = links.unionByName(verified(compare_cells(cells(large, classes), threshold)))
+    roots = scratch.write(stars(links, scratch), "roots")
     rooted = classes.select("digest", "least_id", "n_shingles").join(
         roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn(
         "root", F.coalesce("root", "digest"))

@@ -99,9 +99,10 @@ def brute_components(rows):
     return {s: min((d for d in root[find(i)] if d is not None), default=None) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("small", [near_dedup.SMALL, 2])
-def test_near_dedup(messy, rows, small, monkeypatch):
+@pytest.mark.parametrize("small, block", [(near_dedup.SMALL, near_dedup.BLOCK), (2, 4)])
+def test_near_dedup(messy, rows, small, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     want = brute_components(rows)
     expected = Counter()
     for doc_id, text, *_ in rows:
