@@ -7,10 +7,11 @@
    A large one first compares its least member with all others, so a group of near copies
    mostly collapses into one component, whatever its size. Then what is left outside the
    bucket's largest component meets the rest in cells: blocks of about ``BLOCK`` members
-   against each other, each in a task of its own, which compares signatures in place and gives
-   out only pairs that no batch rules out. Members of one component need no comparison, so in
-   the end every pair in a bucket has been compared or is linked through others, and rows are
-   made for members and likely pairs, never for all pairs.
+   against each other, each in a group of its own. It compares signatures in place and packs
+   the pairs that no batch rules out into one row; then only members of such pairs bring their
+   sets, and the cell gives out links that join components. Members of one component need no
+   comparison, so in the end every pair in a bucket has been compared or is linked through
+   others, and rows are made for members, never for all pairs.
 3. A candidate pair goes through its signatures batch by batch. With ``m`` of ``n`` values
    equal and a uniform prior, the posterior chance that the similarity reaches the threshold is
    that of at most ``m`` successes in ``n + 1`` trials at the threshold; a pair whose chance
@@ -195,19 +196,21 @@ def prune(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return pairs.mapInArrow(batches, "a binary, b binary")
 
 
+def similar(x: bytes, y: bytes, threshold: int) -> bool:
+    """Whether two full sets reach the threshold."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= threshold * (len(x) + len(y) - shared)
+
+
 def verify(pairs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs ``a, b, set_a, set_b`` whose full sets reach the threshold: ``a, b``."""
-    def similar(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
-            return False
-        both = np.sort(np.concatenate([x, y]), kind="stable")
-        shared = int((both[1:] == both[:-1]).sum())
-        return 100 * shared >= threshold * (len(x) + len(y) - shared)
-
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            good = [i for i, (x, y) in enumerate(zip(part.column(2), part.column(3))) if similar(x.as_py(), y.as_py())]
+            good = [i for i, (x, y) in enumerate(zip(part.column(2), part.column(3))) if similar(x.as_py(), y.as_py(), threshold)]
             yield part.select([0, 1]).take(pa.array(good, pa.int64()))
 
     return pairs.mapInArrow(batches, "a binary, b binary")
@@ -266,10 +269,14 @@ def cells(members: DataFrame, classes: DataFrame) -> DataFrame:
         classes.select(F.col("digest").alias("c"), "n_shingles", "bands", "sig"), "c")
 
 
+CELL = ["key", "main", "i", "j"]
+
+
 def compare_cells(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs ``a, b`` of different components in each cell that no batch rules out.
+    """A row for each cell with pairs of different components that no batch rules out.
 
-    A pair that meets in several buckets counts in the first of its bands only.
+    ``members`` and ``roots`` are those of such pairs, ``pairs`` their positions, two and two. A
+    pair that meets in several buckets counts in the first of its bands only.
     """
     bounds = least_matches(threshold / 100)
 
@@ -282,7 +289,7 @@ def compare_cells(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         band = int((bands[0] == table["key"][0].as_py()).argmax())
         within = not table["main"][0].as_py() and bool((table["i"].to_numpy() == j).all())
         left, right = (np.arange(len(c)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        found_a, found_b = [], []
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(left), 64):
             part = left[at:at + 64]
             near = (100 * np.minimum.outer(size[part], size[right]) >= threshold * np.maximum.outer(size[part], size[right]))
@@ -296,11 +303,49 @@ def compare_cells(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 good = equal >= least
                 x, y, equal, start = x[good], y[good], equal[good], n
             first = (bands[x] == bands[y]).argmax(axis=1) == band
-            found_a += [min(c[p], c[q]) for p, q in zip(x[first], y[first])]
-            found_b += [max(c[p], c[q]) for p, q in zip(x[first], y[first])]
-        return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
+            found_a.append(x[first])
+            found_b.append(y[first])
+        used, at = np.unique(np.column_stack([np.concatenate(found_a), np.concatenate(found_b)]), return_inverse=True)
+        n = min(1, len(used))  # a cell without such pairs gives no row
+        names = pa.list_(pa.binary())
+        return table.slice(0, n).select(CELL).append_column("members", pa.array([c[used].tolist()] * n, names)).append_column(
+            "roots", pa.array([root[used].tolist()] * n, names)).append_column(
+            "pairs", pa.array([at.astype("<i4").tobytes()] * n, pa.binary()))
+
+    return rows.groupBy(*CELL).applyInArrow(
+        compare, "key long, main boolean, i int, j int, members array<binary>, roots array<binary>, pairs binary")
+
 
-    return rows.groupBy("key", "main", "i", "j").applyInArrow(compare, "a binary, b binary")
+def verify_cells(packed: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Links ``a, b`` between components of each cell, on full sets.
+
+    Pairs whose components the cell has linked already are passed over, so a cell gives out
+    fewer links than it has members.
+    """
+    own = [f"{c}_of" for c in CELL]
+    brought = packed.withColumnsRenamed(dict(zip(CELL, own))).select(
+        *own, F.posexplode("members").alias("at", "digest")).join(sets, "digest")
+
+    def check(cell: pa.Table, held: pa.Table) -> pa.Table:
+        members, roots = cell["members"][0].as_py(), cell["roots"][0].as_py()
+        found = dict(zip(held["at"].to_pylist(), held["shingles"]))
+        parent = {root: root for root in roots}
+
+        def top(root: bytes) -> bytes:
+            while parent[root] != root:
+                parent[root] = parent[parent[root]]
+                root = parent[root]
+            return root
+
+        links = []
+        for x, y in np.frombuffer(cell["pairs"][0].as_py(), "<i4").reshape(-1, 2).tolist():
+            p, q = top(roots[x]), top(roots[y])
+            if p != q and similar(found[x].as_py(), found[y].as_py(), threshold):
+                parent[p] = q
+                links.append((members[x], members[y]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return packed.groupBy(*CELL).cogroup(brought.groupBy(*own)).applyInArrow(check, "a binary, b binary")
 
 
 def digest_of(text: Column) -> Column:
@@ -321,19 +366,17 @@ def classes_of(rows: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     sets = scratch.write(set_texts(texts.join(one, (F.col("_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(
         F.col("least_id"))).select("digest", "text")), "sets")
 
-    def verified(likely: DataFrame) -> DataFrame:
-        kept = scratch.write(likely, "likely")
-        return scratch.write(verify(with_both(kept, sets, "shingles", ("set_a", "set_b")), threshold).distinct(), "sure")
-
     members = scratch.write(live(members), "buckets")
     pairs = first_pairs(members)
-    links = verified(prune(with_both(pairs, classes, "sig", ("sig_a", "sig_b")), threshold))
+    likely = scratch.write(prune(with_both(pairs, classes, "sig", ("sig_a", "sig_b")), threshold), "likely")
+    links = scratch.write(verify(with_both(likely, sets, "shingles", ("set_a", "set_b")), threshold).distinct(), "sure")
     roots = scratch.write(stars(links, scratch), "roots")
     large = members.where(F.col("n") > SMALL).select("key", "c").join(
         roots.select(F.col("node").alias("c"), "root"), "c", "left").select(
         "key", "c", F.coalesce("root", "c").alias("root"))
     large = scratch.write(live(large), "buckets")
-    links = links.unionByName(verified(compare_cells(cells(large, classes), threshold)))
+    packed = scratch.write(compare_cells(cells(large, classes), threshold), "packed")
+    links = links.unionByName(scratch.write(verify_cells(packed, sets, threshold), "sure"))
     roots = scratch.write(stars(links, scratch), "roots")
     rooted = classes.select("digest", "least_id", "n_shingles").join(
         roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn(
