@@ -89,7 +89,9 @@ def event_spend(spark, folder):
     panel = state_panel(spark, folder)
     ahead = panel.filter(F.col("year_month").between(HORIZON[0], HORIZON[-1]))
     spine = ev.state_month_spine(panel, trend.known_months(ahead))
-    df = ev.event_detail(spine, star.event_calendar(spark, folder), star.event_uplift(spark, folder), panel)
+    inside = F.col("year_month").between(HORIZON[0], HORIZON[-1])  # before anything is shuffled
+    df = ev.event_detail(spine, star.event_calendar(spark, folder).filter(inside),
+                         star.event_uplift(spark, folder).filter(inside), panel)
     return df.select("state", "year_month", "event_score", rounded(F.col("uplift_m"), 4).alias("uplift_m"),
                      rounded(F.col("spend"), 4).alias("spend"), "severity", "name", "score")
 

@@ -237,6 +237,17 @@ def comparison(spark, folder):
     return compare(out)
 
 
+@query("M16_naive_comparison", sql(f"""
+SELECT model, {r('r2', 6)} AS r2, CAST(r2 = max(r2) OVER () AS INTEGER) AS is_best,
+  {r('r2 - first_value(r2) OVER (ORDER BY model)', 6)} AS gain
+FROM (SELECT model, 1 - sum(pow(actual - prediction, 2)) / (var_pop(actual) * count(*)) AS r2 FROM naive GROUP BY ALL)
+""", "naive"))
+def naive_comparison(spark, folder):
+    """The comparison table over the predictors that need no fit."""
+    table = compare(settle(stats.scores(_naive(spark, folder), "actual", "prediction", ["model"])))
+    return table.select("model", rounded(F.col("r2"), 6).alias("r2"), "is_best", rounded(F.col("gain"), 6).alias("gain"))
+
+
 # Clusters and anomalies -------------------------------------------------------------------
 
 def _customers(spark, folder):
@@ -246,7 +257,7 @@ def _customers(spark, folder):
 
 @query("M17_kmeans_elbow")
 def elbow(spark, folder):
-    return cluster.elbow(_customers(spark, folder), range(2, 6), seeds=(42,))
+    return cluster.elbow(_customers(spark, folder), range(2, 9))
 
 
 @query("M18_bisecting_kmeans")
@@ -255,23 +266,18 @@ def bisecting(spark, folder):
     return cluster.cluster_profile(cluster.assign(df, cluster.fit_bisecting(df, 7)), ["total_spend", "transactions"])
 
 
-def _anomalies(spark, folder):
-    df = purchase_features(fact(spark, folder))
-    nodes = settle(anomaly.fit_trees(df, PURCHASE_FEATURES, trees=50))
-    return anomaly.flag(settle(anomaly.score(df, nodes, PURCHASE_FEATURES)))
-
-
 @query("M19_isolation_forest")
 def isolation(spark, folder):
-    return _anomalies(spark, folder).select(
+    return anomaly.flagged(purchase_features(fact(spark, folder)), PURCHASE_FEATURES).select(
         "row_id", rounded(F.col("anomaly_score"), 6).alias("anomaly_score"), "is_anomaly")
 
 
 @query("M20_top_anomaly_categories")
 def anomaly_categories(spark, folder):
-    flagged = _anomalies(spark, folder).filter("is_anomaly = 1").select("row_id")
-    named = fact(spark, folder, "row_id", "cat_l1").join(flagged, "row_id", "left_semi")
-    return ranking.top_rows(rollup.value_counts(named, "cat_l1"), 10, "n", "cat_l1")
+    """The category goes through the scoring with its line, so nothing is joined back."""
+    flagged = anomaly.flagged(purchase_features(fact(spark, folder), "cat_l1"), PURCHASE_FEATURES)
+    return ranking.top_rows(rollup.value_counts(flagged.filter("is_anomaly = 1"), "category"), 10, "n", "category").select(
+        F.col("category").alias("cat_l1"), "n")
 
 
 # Forecasts --------------------------------------------------------------------------------
@@ -381,6 +387,22 @@ def actual_and_forecast(spark, folder):
     return fc.actual_and_forecast(history, _segment_outlook(spark, folder), ["segment"])
 
 
+@query("U06_actual_and_stand_in", sql(f"""
+SELECT segment, year_month, {r('spend', 2)} AS spend, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high, 'actual' AS kind
+FROM seg_month WHERE year_month <= {CUTOFF}
+UNION ALL SELECT segment, year_month + 100, {r('spend', 2)}, {r('CAST(spend AS DOUBLE) * 0.85', 2)}, {r('CAST(spend AS DOUBLE) * 1.15', 2)}, 'forecast'
+FROM seg_month WHERE year_month + 100 BETWEEN {HORIZON[0]} AND {HORIZON[-1]}""", "seg_month"))
+def actual_and_stand_in(spark, folder):
+    """The same union with last year's months in place of a forecast."""
+    panel = settle(segment_month(spark, folder))
+    spend = F.col("spend").cast("double")
+    ahead = panel.select("segment", (F.col("year_month") + 100).alias("year_month"), spend.alias("spend"),
+                         (spend * fc.LOW_STRETCH).alias("low"), (spend * fc.HIGH_STRETCH).alias("high")).filter(
+        F.col("year_month").between(HORIZON[0], HORIZON[-1]))
+    both = fc.actual_and_forecast(panel.filter(F.col("year_month") <= CUTOFF), ahead, ["segment"])
+    return both.select("segment", "year_month", *[rounded(F.col(c), 2).alias(c) for c in ("spend", "low", "high")], "kind")
+
+
 @query("A30_portfolio_figures")
 def portfolio_figures(spark, folder):
     ahead, _ = _outlook(spark, folder)

@@ -126,15 +126,10 @@ def summary(spark, folder):
     return _round_summary(ranking.summary(fact(spark, folder, "spend"), []))
 
 
-def _flagged(spark, folder):
-    df = purchase_features(fact(spark, folder))
-    nodes = settle(anomaly.fit_trees(df, PURCHASE_FEATURES, trees=50))
-    return anomaly.flag(settle(anomaly.score(df, nodes, PURCHASE_FEATURES)))
-
-
 @query("A10_summary_by_anomaly")
 def summary_by_anomaly(spark, folder):
-    return _round_summary(ranking.summary(_flagged(spark, folder), ["is_anomaly"]), "is_anomaly")
+    return _round_summary(ranking.summary(
+        anomaly.flagged(purchase_features(fact(spark, folder)), PURCHASE_FEATURES), ["is_anomaly"]), "is_anomaly")
 
 
 @query("A11_value_counts", sql("SELECT cat_l4, count(*) AS n FROM fact WHERE cat_l4 IS NOT NULL GROUP BY ALL", "fact"))
@@ -159,6 +154,19 @@ def cluster_profile(spark, folder):
     return cluster.cluster_profile(cluster.assign(ready, model), ["total_spend", *cluster.CLUSTER_FEATURES])
 
 
+@query("A13_profile_by_residue", sql(f"""
+SELECT CAST(customer_id AS BIGINT) % 5 AS cluster, count(*) AS size, {r('avg(CAST(total_spend AS DOUBLE))', 2)} AS total_spend,
+  {r('avg(transactions)', 6)} AS transactions, {r('avg(unique_categories)', 6)} AS unique_categories
+FROM profile GROUP BY ALL""", "profile"))
+def profile_by_residue(spark, folder):
+    """The profile of given clusters, here by the customer's number."""
+    df = rollup.customer_profile(fact(spark, folder, "customer_id", "cat_l1", "distributor_id", "rooms", "spend"))
+    placed = df.withColumn("cluster", F.col("customer_id").cast("long") % 5)
+    out = cluster.cluster_profile(placed, ["total_spend", "transactions", "unique_categories"])
+    return out.select("cluster", "size", rounded(F.col("total_spend"), 2).alias("total_spend"),
+                      *[rounded(F.col(c), 6).alias(c) for c in ("transactions", "unique_categories")])
+
+
 _SEG = """(SELECT segment, sum(spend) AS total_spend, sum(list_price) AS total_list_price, sum(savings) AS total_savings,
   avg(locations) AS avg_locations, max(locations) AS max_locations, max(categories) AS category_breadth
   FROM seg_month GROUP BY ALL)"""

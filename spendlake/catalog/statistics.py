@@ -50,6 +50,19 @@ def significance(spark, folder):
     return df.select("factor", rounded(F.col("p_value"), 6).alias("p_value"), "significant").orderBy("factor")
 
 
+#: |r| from which a correlation over 25 states is significant at 5 %: t / sqrt(t² + 23) with t = 2.068658.
+CRITICAL_R = 0.396070
+
+
+@query("Q02_significant_factors", sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS factor, CAST(abs(corr(y, coalesce({c}, 0))) >= {CRITICAL_R} AS INTEGER) AS significant FROM {_STATES}"
+    for c in FACTORS), "state_tot", "ref"))
+def significant_factors(spark, folder):
+    """Which factors pass the 5 % level, by their p-values; the SQL takes the critical r of the 25 states."""
+    df = stats.factor_correlation(_states(spark, folder), FACTORS)
+    return df.select("factor", F.col("significant").cast("int").alias("significant"))
+
+
 @query("Q02_top_states_correlation", sql(" UNION ALL ".join(f"""
 SELECT '{c}' AS factor, {r(f'corr(y, coalesce({c}, 0))', 6)} AS pearson_r
 FROM (SELECT * FROM {_STATES} ORDER BY y DESC, state LIMIT 30)""" for c in ("gdp_b", "tourism_b")), "state_tot", "ref"))

@@ -72,7 +72,9 @@ FROM (SELECT cat_l2, rank() OVER (ORDER BY a DESC) + (count(*) OVER (PARTITION B
   FROM (SELECT cat_l2, sum(spend) AS a, count(DISTINCT cat_l3) AS b, count(DISTINCT state) AS c FROM fact GROUP BY ALL))
 """, "fact"))
 def mean_rank(spark, folder):
-    df = fact(spark, folder, "cat_l2", "cat_l3", "state", "spend").groupBy("cat_l2").agg(
+    cells = fact(spark, folder, "cat_l2", "cat_l3", "state", "spend").groupBy("cat_l2", "cat_l3", "state").agg(
+        F.sum("spend").alias("spend"))  # distinct counts expand cells, not the fact
+    df = cells.groupBy("cat_l2").agg(
         F.sum("spend").alias("a"), F.count_distinct("cat_l3").alias("b"), F.count_distinct("state").alias("c"))
     return ranking.mean_rank(df, "cat_l2", ["a", "b", "c"]).select(
         "cat_l2", rounded(F.col("avg_rank"), 6).alias("avg_rank"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.ranking import quantiles
 from ..operators.sampling import draw
+from ..session import settle
 
 TREE_ROWS = 256  # fixed value: rows per tree
 
@@ -106,3 +107,9 @@ def flag(scored: DataFrame, contamination: float = 0.02) -> DataFrame:
     """``is_anomaly`` for scores above the exact quantile that leaves the contamination share."""
     cut = quantiles(scored, [], "anomaly_score", {"cut": 1.0 - contamination}).select("cut").scalar()
     return scored.withColumn("is_anomaly", (F.col("anomaly_score") > cut).cast("int"))
+
+
+def flagged(df: DataFrame, features: list[str], trees: int = 100) -> DataFrame:
+    """Fits, scores and flags the rows of one frame."""
+    nodes = settle(fit_trees(df, features, trees))
+    return flag(settle(score(df, nodes, features)))

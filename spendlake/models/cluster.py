@@ -26,15 +26,21 @@ def cluster_frame(profile: DataFrame) -> DataFrame:
     return assemble(scaled, names).drop(*names)
 
 
-def fit_kmeans(df: DataFrame, k: int = 5, seeds: tuple[int, ...] = (42, 43, 44)):
+#: Seeds of the restarts.
+RESTARTS = tuple(range(42, 52))
+
+
+def fit_kmeans(df: DataFrame, k: int = 5, seeds: tuple[int, ...] = RESTARTS):
     """The fit of least cost over several seeds."""
-    fits = [KMeans(k=k, seed=s, initMode="k-means||", initSteps=5).fit(df) for s in seeds]
+    fits = [KMeans(k=k, seed=s, initMode="k-means||").fit(df) for s in seeds]
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
-def elbow(df: DataFrame, ks: range = range(2, 9), seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+def elbow(df: DataFrame, ks: range = range(2, 9), seeds: tuple[int, ...] = RESTARTS) -> DataFrame:
     """Inertia per number of clusters."""
-    rows = [(k, float(fit_kmeans(df, k, seeds).summary.trainingCost)) for k in ks]
+    held = df.select("features").persist()
+    rows = [(k, float(fit_kmeans(held, k, seeds).summary.trainingCost)) for k in ks]
+    held.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 

@@ -27,12 +27,17 @@ PURCHASE_FEATURES = [f"{c}_enc" for c in ENCODED] + [
     "has_rooms", "room_count", "is_ecomm_active", "category_depth", "month"]
 
 
-def purchase_features(fact: DataFrame) -> DataFrame:
-    """Purchase lines -> ``row_id``, the model features (null as 0) and log1p spend."""
-    coded = encode_labels(purchase_flags(positive_spend(fact)), ENCODED)
+def purchase_features(fact: DataFrame, category: str | None = None) -> DataFrame:
+    """Purchase lines -> ``row_id``, the model features (null as 0) and log1p spend.
+
+    A named column comes along unencoded as ``category``.
+    """
+    named = [F.col(category).alias("category")] if category else []
+    kept = positive_spend(fact).select("*", *named)
+    coded = encode_labels(purchase_flags(kept), ENCODED)
     full = coded.withColumns({"category_depth": category_depth(), "month": month_of("year_month")})
     return full.select(
-        "row_id", "spend",
+        "row_id", "spend", *(["category"] if category else []),
         *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PURCHASE_FEATURES],
         F.log1p(F.col("spend").cast("double")).alias("label"))
 
@@ -217,7 +222,8 @@ def best_model(errors: DataFrame, model: str = "model", error: str = "rmse") ->
 def compare(metrics: DataFrame, score: str = "r2") -> DataFrame:
     """Metric table with a flag on the best row and the gain over the first model by name."""
     best = metrics.select(F.max(score)).scalar()
-    return metrics.withColumn("is_best", (F.col(score) == best).cast("int"))
+    first = metrics.select(F.min_by(score, "model")).scalar()
+    return metrics.withColumns({"is_best": (F.col(score) == best).cast("int"), "gain": F.col(score) - first})
 
 
 class Stack:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import month_of, season_cos, season_sin
 from ..schema import DEFAULT_REFERENCE
+from ..session import settle
 from .clean import known_keys
 
 #: Halving weights carry 16 digits, so the weight of rank 56 and beyond is exactly 0.
@@ -80,15 +81,23 @@ def event_detail(spine: DataFrame, events: DataFrame, uplift: DataFrame,
                  spend: DataFrame) -> DataFrame:
     """State-month detail, one row per event; a month without events keeps one row.
 
-    The events stay rows instead of a list per cell: a cell's list has no size bound.
+    The events stay rows instead of a list per cell: a cell's list has no size bound. They are
+    the side of the join that adaptive execution can split when a cell is hot; the settled
+    months have one row per cell.
     """
     keys = ["state", "year_month"]
     months = (spine.join(event_scores(events), keys, "left").join(uplift, keys, "left")
               .join(spend, keys, "left")
+              .withColumn("_quiet", F.col("event_score").isNull())
               .fillna({"event_score": 0.0, "uplift_m": 0.0})
               .withColumn("spend", F.coalesce("spend", F.lit(0)))
               .withColumn("severity", severity()))
-    return months.join(events.select(*keys, "name", "score"), keys, "left")
+    months = settle(months)
+    names = [*[c for c in months.columns if c != "_quiet"], "name", "score"]
+    busy = events.select(*keys, "name", "score").join(months.filter(~F.col("_quiet")), keys)
+    quiet = months.filter("_quiet").withColumns({
+        name: F.lit(None).cast(events.schema[name].dataType) for name in ("name", "score")})
+    return busy.select(names).unionByName(quiet.select(names))
 
 
 def with_lags(panel: DataFrame, keys: list[str], value: str = "spend") -> DataFrame:

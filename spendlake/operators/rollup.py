@@ -56,18 +56,26 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def customer_profile(fact: DataFrame) -> DataFrame:
-    """Spend, activity and breadth per customer."""
-    return known_keys(fact, ["customer_id"]).groupBy("customer_id").agg(
-        F.sum("spend").alias("total_spend"), F.avg("spend").alias("avg_spend"),
-        F.count("spend").alias("transactions"),
+    """Spend, activity and breadth per customer.
+
+    Lines are first summed per customer, category and distributor, so the two distinct
+    counts expand those cells and not the fact.
+    """
+    cells = known_keys(fact, ["customer_id"]).groupBy("customer_id", "cat_l1", "distributor_id").agg(
+        F.sum("spend").alias("spend"), F.count("spend").alias("n"),
+        F.max(F.col("rooms").isNotNull().cast("int")).alias("has_rooms"))
+    return cells.groupBy("customer_id").agg(
+        F.sum("spend").alias("total_spend"), F.try_divide(F.sum("spend"), F.sum("n")).alias("avg_spend"),
+        F.sum("n").alias("transactions"),
         F.count_distinct("cat_l1").alias("unique_categories"),
         F.count_distinct("distributor_id").alias("unique_distributors"),
-        F.max(F.col("rooms").isNotNull().cast("int")).alias("has_rooms"))
+        F.max("has_rooms").alias("has_rooms"))
 
 
 def customer_activity(fact: DataFrame) -> DataFrame:
-    """Months with purchases and category breadth per customer."""
-    return known_keys(fact, ["customer_id"]).groupBy("customer_id").agg(
+    """Months with purchases and category breadth per customer, counted over distinct cells."""
+    cells = known_keys(fact, ["customer_id"]).select("customer_id", "year_month", "cat_l1").distinct()
+    return cells.groupBy("customer_id").agg(
         F.count_distinct("year_month").alias("active_months"),
         F.count_distinct("cat_l1").alias("category_breadth"))
 

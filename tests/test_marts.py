@@ -83,7 +83,7 @@ def test_no_spend_is_lost_to_a_missing_key(spark):
     from decimal import Decimal
 
     from spendlake.operators import rollup
-    from spendlake.schema import DETAIL_KEYS, MONEY
+    from spendlake.schema import DETAIL_KEYS
     whole = {"segment": "S", "client_id": "1", "customer_id": "11", "state": "AL", "cat_l1": "C", "year_month": 202501}
     lines = [whole] + [{**whole, key: None} for key in DETAIL_KEYS]
     df = spark.createDataFrame([tuple(r[k] for k in DETAIL_KEYS) + (Decimal(10),) * 3 for r in lines],
