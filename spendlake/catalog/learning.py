@@ -1,7 +1,6 @@
 """Sampling, features, models and forecasts.
 
-Tree counts here are smaller than the library defaults, so that a run of all queries stays
-short; the rows are always all of them.
+Trees, rounds, depths, folds, trials and repeats are those of the reference, over all rows.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from ..models import forecast as fc
 from ..models.regress import (
     PURCHASE_FEATURES, Ridge, Scaler, Stack, assemble, best_model, boosted, compare,
     cross_validate, fold_summary, forest, importances, inverse_error_weights,
-    permutation_importance, purchase_features, search_grid, tune, KernelRegression,
+    permutation_importance, purchase_features, refit, search_grid, stopped, tune, KernelRegression,
 )
 from ..operators import events as ev, ranking, rollup, sampling, stats
 from ..plans import marts, outlook
@@ -139,15 +138,18 @@ def _scored(model, df):
 @query("M07_random_forest")
 def random_forest(spark, folder):
     df = _lines(spark, folder)
-    return importances(forest(20, 8).fit(_train(df)), PURCHASE_FEATURES, df)
+    return importances(forest(200, 12).fit(_train(df)), PURCHASE_FEATURES, df)
 
 
 @query("M08_boosted_trees")
 def boosted_trees(spark, folder):
     df = _lines(spark, folder)
-    known = _train(df).withColumn("is_validation", F.col("split") == "validation")
-    model = boosted(12, 5, 0.1, subsample=0.9, columns=0.9, validation="is_validation").fit(known)
-    return importances(model, PURCHASE_FEATURES, df)
+    return importances(_fit_stopped(boosted(300, 7, 0.05, subsample=0.9, columns=0.9), df), PURCHASE_FEATURES, df)
+
+
+def _fit_stopped(learner, df):
+    """All rounds on the training split, kept up to the best one on the validation split."""
+    return stopped(learner.fit(df.filter(F.col("split") == "train")), df.filter(F.col("split") == "validation"), 20)
 
 
 def _panel(spark, folder):
@@ -173,8 +175,7 @@ def kernel(spark, folder):
 
 @query("M11_cross_validation")
 def cross_validation(spark, folder):
-    learners = {"ridge": Ridge(1.0), "random_forest": forest(10, 6, 3)}
-    return fold_summary(cross_validate(_panel(spark, folder), learners))
+    return fold_summary(cross_validate(_panel(spark, folder), fc.state_learners()))
 
 
 @query("M12_metrics", sql(f"""
@@ -199,42 +200,73 @@ def _naive(spark, folder):
     return long.filter(F.col("prediction").isNotNull())
 
 
+#: Rows that a leaf of the reference's histogram boosters holds at least.
+LEAF = 20
+
+
 def _bases():
-    return {"boosted_a": boosted(4, 4, 0.3), "boosted_b": boosted(4, 3, 0.3), "forest": forest(8, 6),
-            "boosted_c": boosted(3, 5, 0.3)}
+    return {"boosted_a": boosted(100, 6, 0.05), "boosted_b": boosted(100, 6, 0.05, min_rows=LEAF),
+            "forest": forest(100, 10), "boosted_c": boosted(100, 5, 0.05)}
+
+
+def _stack(df):
+    return Stack(_bases(), folds=5).fit(_train(df))
 
 
 @query("M13_stacking")
 def stacking(spark, folder):
     df = _lines(spark, folder)
-    model = Stack(_bases(), folds=2).fit(_train(df).withColumn("fold", F.col("fold") % 2))
-    return _scored(model, df)
+    return _scored(_stack(df), df)
+
+
+def _search(df):
+    """Trials on the training lines in three folds, and the best setting fitted again."""
+    known = settle(sampling.with_fold(_train(df).drop("fold"), "row_id", 3))
+    _, table = tune(known, search_grid(30), rounds=100, folds=3, parallelism=4)
+    return refit(known, table, rounds=200), table
 
 
 @query("M14_hyper_parameter_search")
 def search(spark, folder):
-    df = _train(_lines(spark, folder)).withColumn("fold", F.col("fold") % 2)
-    _, table = tune(df, search_grid(3, depth=(4, 6)), rounds=4, folds=2, parallelism=3)
-    return table
+    """The trials; that of the best setting has the scores of its refit on the test lines."""
+    df = _lines(spark, folder)
+    (best_trial, model), table = _search(df)
+    s = _scored(model, df).first()
+    is_best = F.col("trial") == best_trial
+    return table.withColumns({"is_best": is_best.cast("int"), **{
+        f"refit_{c}": F.when(is_best, F.lit(s[c])) for c in ("r2", "mae", "rmse")}})
+
+
+def _histogram():
+    return boosted(200, 8, 0.1, min_rows=LEAF)
 
 
 @query("M15_permutation_importance")
 def permutation(spark, folder):
     df = _lines(spark, folder)
-    model = boosted(6, 4, 0.2).fit(_train(df))
-    out = permutation_importance(_test(df), model, PURCHASE_FEATURES, repeats=2)
+    model = _histogram().fit(_train(df))
+    out = permutation_importance(_test(df), model, PURCHASE_FEATURES, repeats=10)
     return out.withColumn("importance", rounded(F.col("importance"), 6))
 
 
 @query("M16_model_comparison")
 def comparison(spark, folder):
     df = _lines(spark, folder)
-    learners = {"random_forest": forest(8, 6), "boosted": boosted(8, 4, 0.2), "ridge": Ridge(1.0)}
+    fits = {
+        "random_forest": lambda: forest(200, 12).fit(_train(df)),
+        "histogram_boosted": lambda: _histogram().fit(_train(df)),
+        "boosted": lambda: _fit_stopped(boosted(300, 7, 0.05, subsample=0.9, columns=0.9), df),
+        "boosted_leaves": lambda: _fit_stopped(
+            boosted(300, 7, 0.05, subsample=0.9, columns=0.9, min_rows=LEAF), df),
+        "stacking": lambda: _stack(df),
+        "boosted_tuned": lambda: _search(df)[0][1],
+        "ridge": lambda: Ridge(1.0).fit(_train(df)),
+    }
     out = None
-    for name, learner in learners.items():
-        part = _scored(learner.fit(_train(df)), df).withColumn("model", F.lit(name))
+    for name, fit in fits.items():
+        part = _scored(fit(), df).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return compare(out)
+    return compare(settle(out))
 
 
 @query("M16_naive_comparison", sql(f"""
@@ -293,7 +325,7 @@ def weights(spark, folder):
 def _outlook(spark, folder):
     return outlook.run(state_panel(spark, folder), settle(star.state_reference(spark, folder)),
                        star.event_calendar(spark, folder), star.event_uplift(spark, folder),
-                       CUTOFF, HORIZON, fc.state_learners(rounds=8, trees=8), folds=2)
+                       CUTOFF, HORIZON)
 
 
 @query("M22_state_forecast")

@@ -11,7 +11,7 @@ from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import Column, DataFrame, functions as F
@@ -82,6 +82,40 @@ def boosted(rounds: int = 300, depth: int = 5, rate: float = 0.05, subsample: fl
     return model.setValidationIndicatorCol(validation) if validation else model
 
 
+def stopped(model: GBTRegressionModel, validation: DataFrame, patience: int) -> GBTRegressionModel:
+    """The model up to its best round on the validation rows before ``patience`` rounds without a better one.
+
+    Spark's own stop ends at the first round that gains less than a tolerance.
+    """
+    best = stop_round(model.evaluateEachIteration(validation, "squared"), patience)
+    if best == model.getNumTrees:
+        return model
+    old, gateway = model._java_obj, validation.sparkSession.sparkContext._gateway
+    java = gateway.jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(java.DecisionTreeRegressionModel, best)
+    weights = gateway.new_array(gateway.jvm.double, best)
+    for i in range(best):
+        trees[i], weights[i] = old.trees()[i], float(model.treeWeights[i])
+    cut = java.GBTRegressionModel(old.uid(), trees, weights)
+    return GBTRegressionModel(old.copyValues(cut, old.extractParamMap()))
+
+
+def stop_round(errors: list[float], patience: int) -> int:
+    """Number of rounds up to the least error before ``patience`` rounds without a lower one.
+
+    Without a row to judge by, errors are NaN and all rounds stay.
+    """
+    if math.isnan(errors[0]):
+        return len(errors)
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
 class Ridge:
     """Ridge with penalty ``alpha`` on the sum of squared errors, as an estimator to fit.
 
@@ -287,6 +321,13 @@ def tune(df: DataFrame, grid: list[dict], rounds: int = 100, folds: int = 3,
     return fitted, table
 
 
+def refit(df: DataFrame, trials: DataFrame, rounds: int = 200) -> tuple[int, Model]:
+    """The trial of greatest R squared (the first, if tied), and its setting fitted on all rows."""
+    best = trials.orderBy(F.desc("mean_r2"), "trial").first()  # a row a trial
+    learner = boosted(rounds, int(best["depth"]), best["rate"], best["subsample"], best["columns"])
+    return best["trial"], learner.fit(df)
+
+
 def permutation_importance(df: DataFrame, model: Model, features: list[str], repeats: int = 10,
                            seed: int = 42) -> DataFrame:
     """Mean loss of R squared when one feature is shuffled.
