@@ -19,13 +19,19 @@ from spendlake.llm.queries import vocabulary_file
 from spendlake.llm.shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Mean probability of the language found. Chance gives one over the number of languages.
-LEAST_SCORE = 0.3
+#: Mean probability of the language found, as a multiple of chance: one over the number of languages.
+LEAST_SCORE = 1.2
+
+
+def least_score(languages: int) -> float:
+    """With one language, all texts have score 1 and none is rejected by it."""
+    return LEAST_SCORE / languages if languages > 1 else 0.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs)
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    known = language_id.learn(docs)
+    found = language_id.identify(docs, known=known)
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least_score(len(known[0]))))
     return kept.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 

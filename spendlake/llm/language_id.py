@@ -153,12 +153,24 @@ def sample_windows(docs: DataFrame, id_column: str, text_column: str, lang_colum
     return languages, x, np.array([languages.index(lang) for lang, _ in got], np.int64)
 
 
-def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
-             sample: int = SAMPLE, take: int = TAKE, epochs: int = EPOCHS) -> DataFrame:
-    """All columns of ``docs``, and ``held_out``, ``lang_pred`` and ``score``; replaces columns of those names."""
+Learned = tuple[list[str], dict[str, np.ndarray] | None]
+
+
+def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
+          sample: int = SAMPLE, take: int = TAKE, epochs: int = EPOCHS) -> Learned:
+    """The languages and the network trained on a sample of ``docs``; none for fewer than two languages."""
     languages, x, y = sample_windows(docs, id_column, text_column, lang_column, sample, take)
-    model = train(x, y, len(languages), epochs) if len(languages) > 1 else None
-    learned = docs.sparkSession.sparkContext.broadcast((languages, model))  # tables of a few hundred KB
+    return languages, train(x, y, len(languages), epochs) if len(languages) > 1 else None
+
+
+def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",
+             sample: int = SAMPLE, take: int = TAKE, epochs: int = EPOCHS, known: Learned | None = None) -> DataFrame:
+    """All columns of ``docs``, and ``held_out``, ``lang_pred`` and ``score``; replaces columns of those names.
+
+    Without ``known``, it learns from ``docs``.
+    """
+    known = known or learn(docs, id_column, text_column, lang_column, sample, take, epochs)
+    learned = docs.sparkSession.sparkContext.broadcast(known)  # tables of a few hundred KB
     made = ("held_out", "lang_pred", "score")
     rest = [c for c in docs.columns if c not in made]
     inputs = docs.select(*[F.col(f"`{c}`") for c in rest],
