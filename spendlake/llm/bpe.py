@@ -8,9 +8,12 @@ shortest it steps back one token and never enters that position again. Each posi
 given up at most once, so the work is linear in the length of a piece, and the first
 sequence of compatible pairs that reaches the end is the one the merges give.
 
-Texts are first cut into special tokens and pieces, by the pattern of the vocabulary file.
-Pieces repeat a lot, so a task remembers what it has encoded, up to ``MEMO`` pieces, and
-then starts anew; this bounds memory and changes no result.
+Texts are first cut into special tokens and pieces, by the pattern of the vocabulary file; a
+file that asks for another normaliser, pattern or model than the plain byte-level one is an
+error. Pieces repeat a lot, so a worker remembers what it has encoded, up to ``MEMO`` bytes of
+pieces no longer than ``KEEP`` letters, and ``PAIRS`` pairs, and then starts anew; this bounds
+memory and changes no result. Rows go out in batches of about ``BATCH`` letters of text, and the
+decoded text only on request, as its digest is what most jobs need.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the
 empty text; rows with null or repeated ids, and equal rows, are encoded one by one; a table
@@ -24,13 +27,20 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-MEMO = 1 << 20
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
+#: Bytes of remembered pieces and their ids, with what Python adds to each; longest piece kept; pairs kept.
+MEMO, KEEP, PAIRS = 24 << 20, 64, 1 << 17
+#: Bytes that an entry of a table takes beside its key and its value.
+ENTRY = 104
+#: Letters of text whose rows go out together.
+BATCH = 2 << 20
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
+DECODED = ", decoded string"
 
 
 def byte_letters() -> list[str]:
@@ -75,17 +85,36 @@ def piece_pattern(last: int = 0x10FFFF) -> str:
             f"|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def packed(left: int, right: int) -> int:
+    return left << 32 | right
+
+
+def _plain(read: dict) -> None:
+    """Raises where the file asks for more than plain byte-level pairs."""
+    cut = read.get("pre_tokenizer") or {}
+    model = read["model"]
+    asked = [name for name in ("normalizer", "post_processor") if read.get(name)]
+    asked += [name for name in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+              if model.get(name)]
+    asked += [flag for token in read["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized") if token.get(flag)]
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        asked.append("pre_tokenizer")
+    if asked:
+        raise ValueError(f"not a plain byte-level vocabulary: {', '.join(sorted(set(asked)))}")
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a byte-level vocabulary file (its JSON text)."""
 
     def __init__(self, source: str):
         read = json.loads(source)
+        _plain(read)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         ids = read["model"]["vocab"]
         self.bytes_of: dict[int, bytes] = {i: bytes(byte_of[c] for c in t) for t, i in ids.items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in read["model"]["merges"]]
-        #: Two tokens that merge: the rank of the merge.
-        self.rank_of = {(ids[a], ids[b]): k for k, (a, b) in enumerate(pairs)}
+        #: Two tokens that merge, packed in one number: the rank of the merge.
+        self.rank_of = {packed(ids[a], ids[b]): k for k, (a, b) in enumerate(pairs)}
         #: Token: rank of the merge that makes it, and its two parts. Bytes have none.
         self.made_by = {ids[a + b]: (k, ids[a], ids[b]) for k, (a, b) in reversed(list(enumerate(pairs)))}
         self.special = {t["content"]: t["id"] for t in read["added_tokens"]}
@@ -113,7 +142,7 @@ class Encoder:
         self.matches = vocabulary.automaton().iter
         byte_ids = {b: i for i, b in vocabulary.bytes_of.items() if len(b) == 1}
         self.single = [(1, byte_ids[bytes([b])]) for b in range(256)]
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.cut_basic = re.compile(piece_pattern(0xFFFF)).findall
         self.cut_any = re.compile(piece_pattern()).findall
         self.beyond = re.compile("[\U00010000-\U0010ffff]").search
@@ -133,7 +162,7 @@ class Encoder:
         # gives way to one across it of the same rank, a merge on the left does not.
         a, b, before, fits = left, right, float("inf"), True
         while True:
-            across = rank_of.get((a, b))
+            across = rank_of.get(packed(a, b))
             if across is not None and across < before:
                 fits = False
                 break
@@ -144,9 +173,9 @@ class Encoder:
                 before, a = rank_a, made_by[a][2]
             else:
                 before, b = rank_b + 0.5, made_by[b][1]
-        if len(self.compatible) >= MEMO:
+        if len(self.compatible) >= PAIRS:
             self.compatible.clear()
-        self.compatible[left, right] = fits
+        self.compatible[packed(left, right)] = fits
         return fits
 
     def cut(self, text: str) -> list[str]:
@@ -167,7 +196,7 @@ class Encoder:
                 if at + length in dead:
                     continue
                 if taken:
-                    fits = known((taken[-1], token))
+                    fits = known(taken[-1] << 32 | token)
                     if fits is None:
                         fits = self.pair(taken[-1], token)
                 if not taken or fits:
@@ -183,8 +212,6 @@ class Encoder:
         return struct.pack(f"<{len(taken)}I", *taken)
 
     def plain(self, text: str) -> bytes:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         return b"".join(map(self.memo.__getitem__, self.cut(text)))
 
     def encode(self, text: str) -> bytes:
@@ -195,14 +222,21 @@ class Encoder:
 
 
 class _Memo(dict):
-    """Piece to its ids."""
+    """Piece to its ids, for pieces of up to ``KEEP`` letters, within ``MEMO`` bytes."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.held = encoder, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.encoder.piece(piece.encode())
+        ids = self.encoder.piece(piece.encode())
+        if len(piece) <= KEEP:
+            size = getsizeof(piece) + getsizeof(ids) + ENTRY
+            if self.held + size > MEMO:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[piece] = ids
         return ids
 
 
@@ -224,49 +258,53 @@ class Decoder:
         return self.bytes[where].tobytes().decode("utf-8", "replace")
 
 
-def encode_texts(docs: DataFrame, source: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: ids (little-endian unsigned 32-bit), their number, the decoded text, and digests.
+def encode_texts(docs: DataFrame, source: str, id_column: str = "doc_id", text_column: str = "text",
+                 with_decoded: bool = False) -> DataFrame:
+    """Per row: ids (little-endian unsigned 32-bit), their number, digests, and the decoded text on request.
 
     ``source`` is the JSON text of the vocabulary file, so that executors need not find it;
     its size is that of one vocabulary.
     """
     # A worker process holds a broadcast value as long as it lives, so the first of its tasks puts
-    # the tables built from the file beside it, and later tasks find them and what was remembered.
+    # the tables built from the file in its place, and later tasks find them and what was remembered.
     shared = docs.sparkSession.sparkContext.broadcast([source])
+    schema = SCHEMA + (DECODED if with_decoded else "")
+    names = [column.split()[0] for column in schema.split(", ")]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         if len(held) == 1:
-            vocabulary = Vocabulary(held[0])
+            vocabulary = Vocabulary(held.pop())
             held += [Encoder(vocabulary), Decoder(vocabulary)]
-        _, encoder, decoder = held
+        encoder, decoder = held
         for part in parts:
-            texts = (t.as_py() or "" for t in part.column(1))
-            for at, group in _groups(texts):
-                ids = [encoder.encode(t) for t in group]
-                decoded = [decoder.decode(i) for i in ids]
+            for at, end in _stretches(part.column(1)):
+                ids, digests, decoded = [], [], []
+                for text in part.column(1).slice(at, end - at):
+                    ids.append(encoder.encode(text.as_py() or ""))
+                    back = decoder.decode(ids[-1])
+                    digests.append(hashlib.sha256(back.encode()).hexdigest())
+                    if with_decoded:
+                        decoded.append(back)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).slice(at, len(ids)),
+                    part.column(0).slice(at, end - at),
                     pa.array([len(i) // 4 for i in ids], pa.int64()),
                     pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                    pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()),
-                    pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], SCHEMA_NAMES)
+                    pa.array(digests, pa.string()), pa.array(ids, pa.binary()),
+                    *([pa.array(decoded, pa.string())] if with_decoded else [])], names)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
-        batches, SCHEMA)
-
-
-SCHEMA_NAMES = [column.split()[0] for column in SCHEMA.split(", ")]
-
-
-def _groups(texts: Iterator[str], most: int = 8 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Texts in groups of about ``most`` characters, each with its first position."""
-    at, group, size = 0, [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= most:
-            yield at, group
-            at, group, size = at + len(group), [], 0
-    if group:
-        yield at, group
+        batches, schema)
+
+
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and last position of runs of texts with about ``BATCH`` letters, one text at least."""
+    at, size = 0, 0
+    for end, text in enumerate(texts, 1):
+        size += len(text.as_buffer()) if text.is_valid else 0
+        if size >= BATCH:
+            yield at, end
+            at, size = end, 0
+    if at < len(texts):
+        yield at, len(texts)

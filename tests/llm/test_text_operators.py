@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -51,12 +53,40 @@ def test_bpe_round_trip_and_random_pieces(source, library):
 
 
 def test_bpe_memory_bound_changes_nothing(source, library, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 3)
+    monkeypatch.setattr(bpe, "MEMO", 300)
+    monkeypatch.setattr(bpe, "PAIRS", 3)
     encoder = bpe.Encoder(bpe.Vocabulary(source))
     for text in ["unbelievable tokenisation of antidisestablishmentarianism", "aaaaaaaaaaaaaaaaaaa", "1234567 1234567"] * 2:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_holds_a_bounded_number_of_bytes(source, library, monkeypatch):
+    encoder = bpe.Encoder(bpe.Vocabulary(source))
+    long_word = "ab" * 100_000
+    assert encoder.encode(f"{long_word} x")[:4] and all(len(piece) <= bpe.KEEP for piece in encoder.memo)
+    monkeypatch.setattr(bpe, "MEMO", 100_000)
+    for i in range(3000):
+        encoder.encode(f"w{i}x{i * 7} other{i}")
+        assert encoder.memo.held <= bpe.MEMO
+    assert encoder.memo.held == sum(sys.getsizeof(k) + sys.getsizeof(v) + bpe.ENTRY for k, v in encoder.memo.items())
+
+
+def test_bpe_gives_the_decoded_text_on_request(messy, rows, source):
+    assert "decoded" not in bpe.encode_texts(messy, source).columns
+    got = Counter((r["doc_id"], r["decoded"]) for r in bpe.encode_texts(messy, source, with_decoded=True).collect())
+    assert got == Counter((r[0], r[1] or "") for r in rows)
+
+
+@pytest.mark.parametrize("part, key, value", [
+    (None, "normalizer", {"type": "NFC"}), ("pre_tokenizer", "add_prefix_space", True), ("model", "end_of_word_suffix", "</w>"),
+    ("pre_tokenizer", "type", "Whitespace"), ("model", "dropout", 0.1)])
+def test_bpe_refuses_files_of_another_kind(source, part, key, value):
+    read = json.loads(source)
+    (read[part] if part else read)[key] = value
+    with pytest.raises(ValueError, match=part if part == "pre_tokenizer" else key):
+        bpe.Vocabulary(json.dumps(read))
+
+
 def brute_licences(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     places = [(i, label) for notice, label in license_scan.NOTICES for i in range(len(words))
