@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, language_id, license_scan, line_dedup, mix_sources, near_dedup, permute, shards, \
-    top_k, url_filter
+from . import bpe, exact_dedup, filter_audit, language_id, license_scan, line_dedup, merkle, mix_sources, near_dedup, \
+    permute, shards, top_k, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,14 +139,21 @@ def op6(spark, folder):
 
 
 # The checksum runs over bytes with a table of 256 values; the walk repeats the network.
-_SHARDS = f"""
-WITH RECURSIVE crc AS (
+_CRC = """crc AS (
   SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
-    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t)"""
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned checksum of a text, beside the table ``crc``."""
+    return f"""xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex({text}), '..'),
+      lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295))"""
+
+
+_SHARDS = f"""
+WITH RECURSIVE {_CRC},
 doc AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
-    xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'),
-      lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295)) AS text_crc32
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {crc_sql("coalesce(text, '')")} AS text_crc32
   FROM documents, crc),
 n AS (SELECT count(*) AS n, CAST(floor(sqrt(greatest(count(*) - 1, 0))) AS BIGINT) + 1 AS a FROM documents),
 s AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM n),
@@ -217,3 +224,102 @@ def op10(spark, folder):
 @query("op9_license_scan")
 def op9(spark, folder):
     return license_scan.scan_texts(table(spark, folder, "documents")).drop("spans")
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"CAST({name} AS VARCHAR)" for name in merkle.FIELDS[:-1]] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _levels_sql(first: str, name: str, levels: int) -> str:
+    """Tables ``name0`` to ``name{levels}`` of a tree's nodes, and ``name_up``: what each first node passes on its way.
+
+    ``first`` has ``tree, pos, node``. Every level keeps ``n``, its number of nodes; a tree with one node left keeps it.
+    """
+    out = [f"{name}0 AS (SELECT tree, pos, node, count(*) OVER (PARTITION BY tree) AS n FROM ({first}))"]
+    for k in range(levels):
+        out.append(f"""{name}{k + 1} AS (
+  SELECT tree, pos // {merkle.FAN} AS pos, CASE WHEN n > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE min(node) END AS node,
+    (n + {merkle.FAN - 1}) // {merkle.FAN} AS n FROM {name}{k} GROUP BY tree, pos // {merkle.FAN}, n)""")
+        beside = lambda rows: f"coalesce(string_agg(node, '') OVER (PARTITION BY tree, pos // {merkle.FAN} ORDER BY pos ROWS BETWEEN {rows}), '')"
+        out.append(f"""{name}_by{k} AS (
+  SELECT tree, pos, n, {beside('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l,
+    {beside('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {name}{k})""")
+    joins = " ".join(f"JOIN {name}_by{k} b{k} ON a.tree = b{k}.tree AND a.pos // {merkle.FAN ** k} = b{k}.pos" for k in range(levels))
+    runs = ", ".join(f"CASE WHEN b{k}.n > 1 THEN [b{k}.l, b{k}.r] END" for k in range(levels))
+    out.append(f"""{name}_up AS (
+  SELECT a.tree, a.pos, t.node AS top, list_filter([{runs}], lambda x: x IS NOT NULL) AS path
+  FROM {name}0 a {joins} JOIN {name}{levels} t ON a.tree = t.tree)""")
+    return ",\n".join(out)
+
+
+#: Levels that the SQL of op13 can say: sources of up to 16 ** 5 rows, up to 16 ** 3 sources.
+_HEIGHTS = (5, 3)
+_MERKLE = f"""
+WITH {_CRC},
+row AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE 's' || source END AS tree, {_leaf_sql('text')} AS node,
+    {_leaf_sql(f"translate(text, '{merkle.UPPER}', '{merkle.UPPER.lower()}')")} AS changed,
+    coalesce({crc_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0, false) AS tampered
+  FROM documents, crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos FROM row),
+{_levels_sql('SELECT tree, pos, node FROM placed', 's', _HEIGHTS[0])},
+tops AS (SELECT tree AS source, row_number() OVER (ORDER BY tree) - 1 AS pos, node FROM s{_HEIGHTS[0]}),
+{_levels_sql("SELECT '' AS tree, pos, node FROM tops", 't', _HEIGHTS[1])},
+whole AS (
+  SELECT p.*, s.top AS subroot, t.top AS root, s.path || t.path AS path
+  FROM placed p JOIN s_up s ON p.tree = s.tree AND p.pos = s.pos JOIN tops ON tops.source = p.tree JOIN t_up t ON t.pos = tops.pos)
+SELECT doc_id, node AS leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x[1] || x[2]), '')) AS proof_sha256,
+  folded AS folded_root, folded = root AS verified
+FROM (SELECT *, list_reduce(list_transform(path, lambda x: x[1] || '|' || x[2]),
+    lambda acc, x: sha256(split_part(x, '|', 1) || acc || split_part(x, '|', 2)),
+    CASE WHEN tampered THEN changed ELSE node END) AS folded FROM whole)"""
+
+
+@query("op13_merkle_manifest", _MERKLE)
+def op13(spark, folder):
+    return merkle.prove(table(spark, folder, "documents"))
+
+
+_AUDIT = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+label AS (
+  SELECT doc_id AS id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+marked AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_extract_all(x, '[A-Z]')) > 10 * length(x) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 16 ELSE 0 END AS mask
+  FROM doc LEFT JOIN label ON doc_id = id),
+cell AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM marked GROUP BY ALL),
+orders AS (
+  SELECT '' AS o
+  UNION ALL
+  SELECT o || letter FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter) WHERE NOT contains(o, letter)),
+step AS (
+  SELECT o AS filter_order, step, CAST(1 << (ascii(o[step]) - 65) AS BIGINT) AS own,
+    CAST(list_sum([1 << (ascii(l) - 65) FOR l IN string_split(o[:step - 1], '') IF l <> '']) AS BIGINT) AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(o) = 5),
+played AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (own | coalesce(earlier, 0)) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(earlier, 0) = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(earlier, 0) <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(earlier, 0) = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & own <> 0 AND mask & coalesce(earlier, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cell, step GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM played"""
+
+
+@query("op12_filter_audit", _AUDIT)
+def op12(spark, folder):
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
