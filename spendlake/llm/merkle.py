@@ -67,9 +67,9 @@ def nest(nodes: DataFrame, digits: int = DIGITS, fan: int = FAN) -> DataFrame:
 
     A level that a tree doesn't have, because one node was left before it, keeps that node.
     """
-    size = fan ** digits
-    rows = nodes.select("tree", "n", F.floor(F.col("r") / size).alias("block"), "node", F.col("item").alias("kids"), *[
-        F.pmod(F.floor(F.col("r") / fan ** level), F.lit(fan)).cast("int").alias(f"d{level}") for level in range(digits)])
+    over = lambda by: F.call_function("div", F.col("r"), F.lit(by))
+    rows = nodes.select("tree", "n", over(fan ** digits).alias("block"), "node", F.col("item").alias("kids"), *[
+        (over(fan ** level) % fan).cast("int").alias(f"d{level}") for level in range(digits)])
     rows = rows.repartition("tree", "n", "block")  # all groupings below stay where the rows are
     for level in range(digits):
         rest = ["tree", "n", "block", *[f"d{upper}" for upper in range(level + 1, digits)]]
