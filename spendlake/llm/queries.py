@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, exact_dedup, filter_audit, language_id, license_scan, line_dedup, merkle, mix_sources, near_dedup, \
-    permute, shards, top_k, url_filter
+    permute, shards, substring_dedup, top_k, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -323,3 +323,25 @@ FROM played"""
 @query("op12_filter_audit", _AUDIT)
 def op12(spark, folder):
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_SUBSTRINGS = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS seq
+  FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)),
+later AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY seq) AS least FROM win) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM later)),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc d LEFT JOIN kept k ON d.doc_id = k.doc_id"""
+
+
+@query("op11_substring_dedup", _SUBSTRINGS)
+def op11(spark, folder):
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
