@@ -284,6 +284,8 @@ def with_source_words(spans: DataFrame, docs: DataFrame, edges: DataFrame, scrat
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW,
                    gram: int = GRAM, with_kept: bool = False) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_sha256``, and on request ``kept``, the words that stay."""
+    if not 1 <= gram < window <= gram + 14:
+        raise ValueError("a window takes 1 to 14 words more than an anchor")
     scratch = Scratch(docs, "substring", free_shuffles=True)
     doc_id, text = F.col(f"`{id_column}`").cast("long"), F.col(f"`{text_column}`").cast("string")
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("id"), F.xxhash64(text).alias("x"),
