@@ -120,6 +120,11 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
   JOIN supplier ON l_suppkey = s_suppkey"""),
+    # The digamma function at whole numbers, by its sum.
+    "psi": (("fact",), """
+SELECT i AS n, -0.57721566490153286061::DOUBLE + coalesce(sum(1 / CAST(i AS DOUBLE)) OVER (
+    ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h
+FROM (SELECT unnest(range(1, (SELECT count(*) FROM fact) + 1)) AS i)"""),
     "detail": (("fact",), """
 SELECT segment, client_id, customer_id, state, cat_l1, year_month,
   sum(spend) AS spend, sum(list_price) AS list_price, sum(savings) AS savings

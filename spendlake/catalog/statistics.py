@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators.clean import category_depth
-from ..operators import mix, ranking, stats, trend
+from ..operators import information, mix, ranking, stats, trend
 from ..session import settle
 from ..sources import star
 from .base import fact, mix_cells, query, r, segment_panel, sql, state_totals
@@ -139,11 +139,38 @@ FROM (SELECT *, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTIT
       FROM (SELECT *, {_BINS} AS b FROM (SELECT *, CAST(spend AS DOUBLE) AS y FROM fact), (SELECT [{_EDGES}] AS e FROM fact)))
     GROUP BY ALL)) GROUP BY ALL""", "fact"))
 def mutual_information(spark, folder):
-    df = fact(spark, folder, *_MI_FEATURES[:9], "rooms", "year_month", "spend").withColumns({
+    return stats.mutual_information(_features_of(spark, folder), _MI_FEATURES, "spend").select(
+        "feature", rounded(F.col("mutual_information"), 6).alias("mutual_information"))
+
+
+def _features_of(spark, folder):
+    return fact(spark, folder, *_MI_FEATURES[:9], "rooms", "year_month", "spend").withColumns({
         "has_rooms": F.col("rooms").isNotNull().cast("int").cast("string"),
         "room_band": F.floor(F.coalesce("rooms", F.lit(0)) / 100).cast("string"),
         "category_depth": category_depth().cast("string"), "month": (F.col("year_month") % 100).cast("string")})
-    return stats.mutual_information(df, _MI_FEATURES, "spend").select(
+
+
+_K = information.NEIGHBOURS
+_AROUND = ", ".join(f"greatest(y - lag(y, {j}) OVER o, lead(y, {_K - j}) OVER o - y) + CASE WHEN lag(y, {j}) OVER o IS NULL "
+                    f"OR lead(y, {_K - j}) OVER o IS NULL THEN NULL ELSE 0 END" for j in range(_K + 1))
+
+
+@query("Q08_knn_mutual_information", sql(f"""
+SELECT feature, {r("greatest(0, ps.h + avg(pk.h) - avg(px.h) - avg(pm.h))", 6)} AS mutual_information
+FROM (SELECT *, count(*) OVER (PARTITION BY feature) AS total, count(*) OVER (
+    PARTITION BY feature ORDER BY y RANGE BETWEEN d PRECEDING AND d FOLLOWING) AS m
+  FROM (SELECT *, greatest(CASE WHEN n > {_K} THEN near ELSE greatest(y - low, high - y) END, 1) - 1 AS d, least(n - 1, {_K}) AS kk
+    FROM (SELECT *, least({_AROUND}) AS near, count(*) OVER v AS n, min(y) OVER v AS low, max(y) OVER v AS high
+      FROM (SELECT CAST(round(ln(1 + CAST(spend AS DOUBLE)) / {information.GRID}) AS BIGINT) AS y, unnest({_MI_FEATURES!r}) AS feature,
+        unnest([segment, cat_l1, cat_l2, cat_l3, coalesce(cat_l4, '?'), state, ecomm_status, entity_type,
+          distributor_group, CAST(CAST(rooms IS NOT NULL AS INTEGER) AS VARCHAR),
+          CAST(CAST(coalesce(rooms, 0) AS INTEGER) // 100 AS VARCHAR),
+          CAST(3 + CAST(cat_l4 IS NOT NULL AS INTEGER) AS VARCHAR), CAST(year_month % 100 AS VARCHAR)]) AS x FROM fact)
+      WINDOW o AS (PARTITION BY feature, x ORDER BY y), v AS (PARTITION BY feature, x)) WHERE n > 1)) q
+  JOIN psi ps ON ps.n = total JOIN psi pk ON pk.n = kk JOIN psi px ON px.n = q.n JOIN psi pm ON pm.n = m
+GROUP BY feature, ps.h""", "fact", "psi"))
+def knn_mutual_information(spark, folder):
+    return information.knn_mutual_information(_features_of(spark, folder), _MI_FEATURES, F.log1p(F.col("spend").cast("double"))).select(
         "feature", rounded(F.col("mutual_information"), 6).alias("mutual_information"))
 
 
