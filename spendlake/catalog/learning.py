@@ -13,7 +13,7 @@ from ..models import forecast as fc
 from ..models.regress import (
     PURCHASE_FEATURES, Ridge, Scaler, Stack, assemble, best_model, boosted, compare,
     cross_validate, fold_summary, forest, importances, inverse_error_weights,
-    permutation_importance, purchase_features, refit, search_grid, stopped, tune, KernelRegression,
+    permutation_importance, purchase_features, refit, search_grid, stopped, training_partitions, tune, KernelRegression,
 )
 from ..operators import events as ev, ranking, rollup, sampling, stats
 from ..plans import marts, outlook
@@ -120,7 +120,8 @@ def scaling(spark, folder):
 def _lines(spark, folder):
     """All purchase lines with features, split and fold, read once per query."""
     df = sampling.with_fold(sampling.with_split(purchase_features(fact(spark, folder)), "row_id"), "row_id")
-    return settle(assemble(df, PURCHASE_FEATURES).select("row_id", "features", "label", "split", "fold"))
+    ready = assemble(df, PURCHASE_FEATURES).select("row_id", "features", "label", "split", "fold")
+    return settle(ready.repartition(training_partitions(spark), "row_id"))
 
 
 def _train(df):
@@ -153,10 +154,13 @@ def _fit_stopped(learner, df):
 
 
 def _panel(spark, folder):
-    """State-month features up to the cutoff, scaled, with block folds by state."""
+    """State-month features up to the cutoff, scaled, with block folds by state.
+
+    A row per state and month: one partition is enough for each of the many small fits.
+    """
     features = _features(spark, folder)
     ready = assemble(Scaler.fit(features, ev.FEATURES).transform(features), ev.FEATURES)
-    return settle(sampling.with_block_fold(ready.withColumnRenamed("target", "label"), "state"))
+    return settle(sampling.with_block_fold(ready.withColumnRenamed("target", "label"), "state").coalesce(1))
 
 
 @query("M09_ridge")

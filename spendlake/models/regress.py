@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Model
@@ -14,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import month_of
 from ..operators.clean import category_depth, positive_spend, purchase_flags
@@ -22,6 +23,7 @@ from ..operators.ranking import with_position
 from ..operators.sampling import draw, encode_labels
 from ..operators.stats import scores
 from ..schema import ENCODED
+from .pool import together
 
 PURCHASE_FEATURES = [f"{c}_enc" for c in ENCODED] + [
     "has_rooms", "room_count", "is_ecomm_active", "category_depth", "month"]
@@ -42,6 +44,14 @@ def purchase_features(fact: DataFrame, category: str | None = None) -> DataFrame
         F.log1p(F.col("spend").cast("double")).alias("label"))
 
 
+def training_partitions(spark: SparkSession) -> int:
+    """Partitions of a training frame: as many as a shuffle has, and a task for every core.
+
+    Given as a number, so that adaptive execution does not merge what many passes will read.
+    """
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def assemble(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=output).transform(df)
 
@@ -210,27 +220,34 @@ def importances(model: Model, features: list[str], df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def fold_fits(df: DataFrame, learners: dict[str, object], fold: str = "fold", folds: int = 5) -> dict[tuple, object]:
+    """What to fit for cross-validation: a task for each learner and fold, on the rows outside the fold."""
+    return {(name, i): lambda learner=learner, i=i: learner.fit(df.filter(F.col(fold) != i))
+            for name, learner in learners.items() for i in range(folds)}
+
+
+def held_out(df: DataFrame, fitted: dict[tuple, object], name: str, fold: str = "fold") -> DataFrame:
+    """Each row scored by the model of a learner that did not see its fold."""
+    return reduce(DataFrame.unionByName, [
+        model.transform(df.filter(F.col(fold) == i)) for (learner, i), model in fitted.items() if learner == name])
+
+
 def out_of_fold(df: DataFrame, learner, fold: str = "fold", folds: int = 5) -> DataFrame:
-    """Each row scored by a model that did not see its fold. Fits ``folds`` models."""
-    parts = []
-    for i in range(folds):
-        model = learner.fit(df.filter(F.col(fold) != i))
-        parts.append(model.transform(df.filter(F.col(fold) == i)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Each row scored by a model that did not see its fold. Fits ``folds`` models at once."""
+    return held_out(df, together(df.sparkSession, fold_fits(df, {"": learner}, fold, folds)), "", fold)
+
+
+def fold_scores(df: DataFrame, fitted: dict[tuple, object], fold: str = "fold") -> DataFrame:
+    """``model, fold, r2, mae, rmse`` of fits made by ``fold_fits``."""
+    return reduce(DataFrame.unionByName, [
+        scores(held_out(df, fitted, name, fold), "label", "prediction", [fold]).withColumn("model", F.lit(name))
+        for name in dict.fromkeys(name for name, _ in fitted)])
 
 
 def cross_validate(df: DataFrame, learners: dict[str, object], fold: str = "fold",
                    folds: int = 5) -> DataFrame:
-    """Fold scores per learner: ``model, fold, r2, mae, rmse``."""
-    out = None
-    for name, learner in learners.items():
-        scored = out_of_fold(df, learner, fold, folds)
-        part = scores(scored, "label", "prediction", [fold]).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Fold scores per learner: ``model, fold, r2, mae, rmse``. All learners and folds are fitted at once."""
+    return fold_scores(df, together(df.sparkSession, fold_fits(df, learners, fold, folds)), fold)
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:
@@ -268,13 +285,14 @@ class Stack:
 
     def fit(self, df: DataFrame) -> StackModel:
         base = df.select("row_id", "features", "label", "fold")
+        whole = {(n, None): lambda m=m: m.fit(base) for n, m in self.learners.items()}
+        fitted = together(df.sparkSession, fold_fits(base, self.learners, folds=self.folds) | whole)
+        bases = {n: fitted.pop((n, None)) for n in self.learners}
         meta = base.select("row_id", "label")
-        for name, learner in self.learners.items():
-            held_out = out_of_fold(base, learner, folds=self.folds)
-            meta = meta.join(held_out.select("row_id", F.col("prediction").alias(name)), "row_id")
+        for name in self.learners:
+            meta = meta.join(held_out(base, fitted, name).select("row_id", F.col("prediction").alias(name)), "row_id")
         ready = assemble(meta, list(self.learners), "meta")
-        top = Ridge(self.alpha, "meta").fit(ready)
-        return StackModel({n: m.fit(base) for n, m in self.learners.items()}, top)
+        return StackModel(bases, Ridge(self.alpha, "meta").fit(ready))
 
 
 class StackModel:

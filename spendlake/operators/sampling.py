@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schema import UNKNOWN
-from ..session import settle
+from ..session import scratch_path, settle
 from .ranking import with_group_position
 
 
@@ -94,16 +94,25 @@ def label_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     return placed.select("column", "value", (F.col("_at") - 1).cast("int").alias("code"))
 
 
-def encode_labels(df: DataFrame, columns: list[str], codes: DataFrame | None = None) -> DataFrame:
+def stored_codes(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """``value, code`` of each column, written as Parquet, so that Spark knows how large each is."""
+    path = scratch_path(df.sparkSession, "codes")
+    label_codes(df, columns).withColumn("part", F.col("column")).write.partitionBy("part").parquet(path)
+    every = df.sparkSession.read.schema("column string, value string, code int, part string").parquet(path)
+    there = {row["part"] for row in every.select("part").distinct().collect()}  # names of columns
+    return {name: df.sparkSession.read.schema("value string, code int").parquet(f"{path}/part={name}") if name in there
+            else every.filter("false").select("value", "code") for name in columns}
+
+
+def encode_labels(df: DataFrame, columns: list[str], codes: dict[str, DataFrame] | None = None) -> DataFrame:
     """Add ``<name>_enc`` for each column.
 
-    The codes are settled once and counted per column: a short dictionary is broadcast, so
-    the rows are not shuffled by a key of few values; a long one is joined by key.
+    Dictionaries are files of known size: Spark broadcasts the short ones, all in one pass over the
+    rows, and merges with a long one by key.
     """
-    codes = settle(label_codes(df, columns)) if codes is None else codes
+    codes = stored_codes(df, columns) if codes is None else codes
     for name in columns:
-        mine = codes.filter(F.col("column") == name).select(
-            F.col("value").alias(f"_v_{name}"), F.col("code").alias(f"{name}_enc"))
+        mine = codes[name].select(F.col("value").alias(f"_v_{name}"), F.col("code").alias(f"{name}_enc"))
         filled = F.coalesce(F.col(name).cast("string"), F.lit(UNKNOWN))
         df = df.join(mine, filled == F.col(f"_v_{name}"), "left")
         df = df.drop(f"_v_{name}")

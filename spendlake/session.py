@@ -17,6 +17,7 @@ def build_session(master: str | None = None, app: str = "spendlake", **conf: str
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.scheduler.mode": "FAIR",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         **conf,
