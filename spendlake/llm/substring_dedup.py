@@ -5,6 +5,10 @@ A window is ``WINDOW`` consecutive words of one document. Nodes of the graph are
 made of, so 128 bits tell windows apart. Only windows that occur in more than one document are
 edges.
 
+0. Copies. A document equal in all bytes (by a 128-bit digest) to an earlier one is covered whole if
+   it has a window at all, and takes no part in the steps below; neither side loses a
+   window by that, as the earlier one has them all. The others are numbered in order of id, so a word's
+   place anywhere is one whole number: the document's number and the position in it.
 1. Anchors. Of the ``WINDOW - GRAM + 1`` shingles of ``GRAM`` words in a window, the one with the
    least hash is its anchor, so equal windows have equal anchors, and neighbouring windows mostly
    share one: there are about a fifth as many anchors as windows. Anchors are counted with partial
@@ -12,7 +16,7 @@ edges.
 2. Runs. Documents that hold repeated anchors meet their positions, and give the nodes of each run
    of windows under them, as one array.
 3. Edges. Windows are grouped with partial results; those of more than one document keep their
-   source: the first document in order of id, and the position there.
+   source: the first place where they stand.
 4. Compaction. A node with more than one edge in or out is a branch. A join brings the branches
    to the edges of each source, and edges that follow each other there without a branch between
    them become one path, cut after ``PATH`` edges. A path has source coordinates.
@@ -44,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..operators.ranking import with_position
 from .near_dedup import Shingler, mix
 from .shared import Scratch
 
@@ -54,6 +59,8 @@ PATH = 256
 BATCH = 4 << 20
 LAST = (1 << 63) - 1
 DOC = ["id", "x"]
+#: Bits of a place for the position in a document; the rest are its number.
+BITS = 27
 _SPREAD = np.random.default_rng(5).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANKS = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 
@@ -111,67 +118,69 @@ def _stretches(part: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def find_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``id, x, anchors`` (hash) and ``spans`` (16 times the first window, plus the number of windows)."""
+    """``id, x, digest, anchors`` (hashes) and ``spans`` (16 times the first window, plus the number of windows)."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for whole in parts:
             for part in _stretches(whole, 2):
-                rows, hashes, spans = [], [], []
+                rows, digests, hashes, spans = [], [], [], []
                 for i, text in enumerate(part.column(2)):
-                    found, first, n = anchors_of(word_hashes(shingler, text.as_buffer().to_pybytes()), window, gram)
+                    data = text.as_buffer().to_pybytes()
+                    found, first, n = anchors_of(word_hashes(shingler, data), window, gram)
                     if len(found):
                         rows.append(i)
+                        digests.append(hashlib.md5(data).digest())
                         hashes.append(found.view(np.int64))
                         spans.append(first * 16 + n)
                 kind = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([
                     *(part.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)),
-                    pa.array(hashes, kind), pa.array(spans, kind)], ["id", "x", "anchors", "spans"])
+                    pa.array(digests, pa.binary()), pa.array(hashes, kind), pa.array(spans, kind)],
+                    ["id", "x", "digest", "anchors", "spans"])
 
-    return docs.where("text IS NOT NULL").mapInArrow(batches, "id long, x long, anchors array<long>, spans array<long>")
+    return docs.where("text IS NOT NULL").mapInArrow(
+        batches, "id long, x long, digest binary, anchors array<long>, spans array<long>")
 
 
 def find_runs(docs: DataFrame, window: int) -> DataFrame:
-    """``id, x, text, spans`` to ``id, x, start, nodes``: runs of windows, and the nodes that they go through."""
+    """``d, text, spans`` to ``place, nodes``: runs of windows, and the nodes that they go through."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for whole in parts:
-            for part in _stretches(whole, 2):
-                rows, starts, runs = [], [], []
-                for i, text in enumerate(part.column(2)):
+            for part in _stretches(whole, 1):
+                places, runs = [], []
+                for d, text, spans in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
                     nodes = grams(word_hashes(shingler, text.as_buffer().to_pybytes()), window - 1).view(np.int64)
-                    spans = np.array(part.column(3)[i].as_py(), np.int64)
+                    if len(nodes) >> BITS:
+                        raise ValueError(f"a text has more than {1 << BITS} words")
+                    spans = np.array(spans.as_py(), np.int64)
                     spans.sort()
                     first, end = spans >> 4, (spans >> 4) + (spans & 15)
                     new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
                     for a, z in zip(first[new], end[np.append(new[1:], len(first)) - 1]):
-                        rows.append(i)
-                        starts.append(a)
+                        places.append((d << BITS) + int(a))
                         runs.append(nodes[a:z + 1])
-                yield pa.RecordBatch.from_arrays([
-                    *(part.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)),
-                    pa.array(starts, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], ["id", "x", "start", "nodes"])
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(runs, pa.list_(pa.int64()))],
+                                                 ["place", "nodes"])
 
-    return docs.mapInArrow(batches, "id long, x long, start long, nodes array<long>")
+    return docs.mapInArrow(batches, "place long, nodes array<long>")
 
 
 def path_words(docs: DataFrame, window: int) -> DataFrame:
-    """``id, x, text, paths`` (start and edges) to ``id, x, start, words``, the path's words with blanks between."""
+    """``text, paths`` (start and edges) to ``start, words``, each path's words with blanks between."""
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
-            for part in _stretches(whole, 2):
-                rows, starts, found = [], [], []
-                for i, text in enumerate(part.column(2)):
+            for part in _stretches(whole, 0):
+                starts, found = [], []
+                for text, paths in zip(part.column(0), part.column(1)):
                     words = text.as_buffer().to_pybytes().split()  # at the six white-space bytes
-                    for path in part.column(3)[i].as_py():
-                        rows.append(i)
+                    for path in paths.as_py():
+                        at = path["start"] & ((1 << BITS) - 1)
                         starts.append(path["start"])
-                        found.append(b" ".join(words[path["start"]:path["start"] + path["edges"] + window - 1]).decode())
-                yield pa.RecordBatch.from_arrays([
-                    *(part.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)),
-                    pa.array(starts, pa.int64()), pa.array(found, pa.string())], ["id", "x", "start", "words"])
+                        found.append(b" ".join(words[at:at + path["edges"] + window - 1]).decode())
+                yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array(found, pa.string())], ["start", "words"])
 
-    return docs.mapInArrow(batches, "id long, x long, start long, words string")
+    return docs.mapInArrow(batches, "start long, words string")
 
 
 def covered(words: list[bytes], spans: list[dict], window: int) -> np.ndarray:
@@ -189,7 +198,7 @@ def covered(words: list[bytes], spans: list[dict], window: int) -> np.ndarray:
 
 
 def remove_words(docs: DataFrame, window: int, with_kept: bool) -> DataFrame:
-    """``doc_id, text, spans`` to the texts without the covered words: counts, digest, and the words on request."""
+    """``doc_id, text, spans, whole`` to the texts without the covered words: counts, digest, and the words on request."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_kept else "")
     names = [column.split()[0] for column in schema.split(", ")]
 
@@ -197,10 +206,12 @@ def remove_words(docs: DataFrame, window: int, with_kept: bool) -> DataFrame:
         for whole in parts:
             for part in _stretches(whole, 1):
                 sizes, removed, digests, kept = [], [], [], []
-                for text, spans in zip(part.column(1), part.column(2)):
+                for text, spans, copy in zip(part.column(1), part.column(2), part.column(3)):
                     words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                     sizes.append(len(words))
-                    if spans.is_valid:
+                    if copy.as_py():
+                        words = []
+                    elif spans.is_valid:
                         gone = covered(words, spans.as_py(), window)
                         words = [word for word, out in zip(words, gone) if not out]
                     removed.append(sizes[-1] - len(words))
@@ -217,19 +228,38 @@ def remove_words(docs: DataFrame, window: int, with_kept: bool) -> DataFrame:
 # The graph ---------------------------------------------------------------------------
 
 
+def doc_of(place: Column) -> Column:
+    return F.shiftright(place, BITS)
+
+
+def position_of(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << BITS) - 1))
+
+
+def numbered(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``id, x, d`` of the documents that are no copy of an earlier one, numbered by id, and ``id, x`` of the copies."""
+    rows = found.select(*DOC, "digest")
+    classes = rows.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select(
+        F.col("digest").alias("same"), "least")
+    marked = scratch.write(rows.join(classes, F.col("digest") == F.col("same"), "left").select(
+        *DOC, F.coalesce(F.col("id") > F.col("least"), F.lit(False)).alias("copy")).distinct(), "marked")
+    firsts = with_position(marked.where("NOT copy").select(*DOC), DOC, "d")
+    fits = F.when(F.col("d") < 1 << (63 - BITS), F.col("d")).otherwise(F.raise_error(F.lit("too many documents")).cast("long"))
+    return scratch.write(firsts.select(*DOC, fits.alias("d")), "numbered"), marked.where("copy").select(*DOC)
+
+
 def windows_of(runs: DataFrame) -> DataFrame:
-    """``id, x, pos, a, b``: an edge for each window of the runs."""
+    """``place, a, b``: an edge for each window of the runs."""
     n = F.size("nodes") - 1
     edges = F.arrays_zip(F.slice("nodes", F.lit(1), n).alias("a"), F.slice("nodes", F.lit(2), n).alias("b"))
-    return runs.select("id", "x", "start", F.posexplode(edges).alias("i", "edge")).select(
-        "id", "x", (F.col("start") + F.col("i")).alias("pos"), F.col("edge.a").alias("a"), F.col("edge.b").alias("b"))
+    return runs.select("place", F.posexplode(edges).alias("i", "edge")).select(
+        (F.col("place") + F.col("i")).alias("place"), F.col("edge.a").alias("a"), F.col("edge.b").alias("b"))
 
 
 def repeated_edges(runs: DataFrame) -> DataFrame:
-    """``a, b, id, x, pos``: windows of more than one document, with the coordinates of their source."""
-    return windows_of(runs).groupBy("a", "b").agg(
-        F.min(F.struct("id", "x", "pos")).alias("first"), F.max("id").alias("last")).where(
-        F.col("last") > F.col("first.id")).select("a", "b", "first.*")
+    """``a, b, source``: windows of more than one document, and the first place where they stand."""
+    return windows_of(runs).groupBy("a", "b").agg(F.min("place").alias("source"), F.max("place").alias("last")).where(
+        doc_of(F.col("last")) > doc_of(F.col("source"))).select("a", "b", "source")
 
 
 def branches(edges: DataFrame) -> DataFrame:
@@ -241,44 +271,50 @@ def branches(edges: DataFrame) -> DataFrame:
 
 
 def compact(edges: DataFrame, longest: int = PATH) -> DataFrame:
-    """Adds to each edge the path it lies on: its ``start`` in the source."""
+    """Adds to each edge the path it lies on: ``start``, the place in the source where the path begins."""
     forks = branches(edges).withColumn("fork", F.lit(True))
-    placed = edges.join(forks, F.col("a") == F.col("node"), "left").drop("node")
-    in_doc = W.partitionBy(*DOC).orderBy("pos")  # the edges of one source
-    follows = F.coalesce(F.lag("pos").over(in_doc) == F.col("pos") - 1, F.lit(False)) & F.col("fork").isNull()
+    placed = edges.join(forks, F.col("a") == F.col("node"), "left").drop("node").withColumn("doc", doc_of(F.col("source")))
+    in_doc = W.partitionBy("doc").orderBy("source")  # the edges of one source
+    follows = F.coalesce(F.lag("source").over(in_doc) == F.col("source") - 1, F.lit(False)) & F.col("fork").isNull()
     upto = in_doc.rowsBetween(W.unboundedPreceding, W.currentRow)
-    begun = F.max(F.when(F.col("follows"), None).otherwise(F.col("pos"))).over(upto)
-    cut = F.col("begun") + (F.col("pos") - F.col("begun")) - (F.col("pos") - F.col("begun")) % longest
-    return placed.withColumn("follows", follows).withColumn("begun", begun).select("a", "b", *DOC, "pos", cut.alias("start"))
+    begun = F.max(F.when(F.col("follows"), None).otherwise(F.col("source"))).over(upto)
+    cut = F.col("source") - (F.col("source") - F.col("begun")) % longest
+    return placed.withColumn("follows", follows).withColumn("begun", begun).select("a", "b", "source", cut.alias("start"))
 
 
-def later_spans(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per document, path and place: the windows of the path that the document repeats.
+def later_spans(runs: DataFrame, paths: DataFrame) -> DataFrame:
+    """Per document ``d``, path ``start`` and position ``at``: the windows of the path that the document repeats there.
 
-    ``id, x`` is the document, ``at`` the word of it that meets the path's first one, ``src, sx, start`` the path.
+    ``at`` is where the path's first word would be, before the document's beginning if it repeats a later part.
     """
-    mine = edges.select(F.col("a").alias("a_"), F.col("b").alias("b_"), F.col("id").alias("src"), F.col("x").alias("sx"), "start",
-                        (F.col("pos") - F.col("start")).alias("offset"))
-    met = windows_of(runs).join(mine, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")) & (F.col("id") > F.col("src")))
-    return met.groupBy(*DOC, "src", "sx", "start", (F.col("pos") - F.col("offset")).alias("at")).agg(
-        F.sort_array(F.collect_set(F.col("offset").cast("int"))).alias("windows"))  # at most the path's edges
+    mine = paths.select(F.col("a").alias("a_"), F.col("b").alias("b_"), "source", "start")
+    met = windows_of(runs).join(mine, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")) & (
+        doc_of(F.col("place")) > doc_of(F.col("source"))))
+    offset = F.col("source") - F.col("start")
+    return met.groupBy(doc_of(F.col("place")).alias("d"), "start", (position_of(F.col("place")) - offset).alias("at")).agg(
+        F.sort_array(F.collect_set(offset.cast("int"))).alias("windows"))  # at most the path's edges
 
 
-def with_source_words(spans: DataFrame, docs: DataFrame, edges: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+def with_source_words(spans: DataFrame, texts: DataFrame, paths: DataFrame, docs: DataFrame, scratch: Scratch,
+                      window: int) -> DataFrame:
     """Per document ``id, x, spans``: its places, the windows there and the words that the sources have there."""
-    used = spans.select(F.col("src").alias("id"), F.col("sx").alias("x"), "start").distinct()
-    lengths = edges.groupBy(*DOC, "start").agg((F.max("pos") - F.min("pos") + 1).alias("edges"))
-    wanted = lengths.join(used, [*DOC, "start"], "left_semi")
-    per_source = wanted.groupBy(*DOC).agg(F.collect_list(F.struct("start", "edges")).alias("paths"))
-    found = path_words(docs.where("text IS NOT NULL").join(per_source, DOC).select(*DOC, "text", "paths"), window)
+    ids = docs.select("d", "id")
+    source = ids.select(F.col("d").alias("source_d"), F.col("id").alias("source_id"))
+    # Documents that share an id are not before each other.
+    spans = scratch.write(spans.join(ids, "d").join(source, doc_of(F.col("start")) == F.col("source_d")).where(
+        "id > source_id").select("d", "start", "at", "windows"), "later")
+    wanted = paths.groupBy("start").agg(F.count("*").alias("edges")).join(spans.select("start").distinct(), "start")
+    per_source = wanted.withColumn("d", doc_of(F.col("start"))).groupBy("d").agg(
+        F.collect_list(F.struct("start", "edges")).alias("paths")).join(docs, "d").select(*DOC, "paths")
+    found = path_words(texts.where("text IS NOT NULL").join(per_source, DOC).select("text", "paths"), window)
     # Rows equal in id and text give the same words.
-    words = scratch.write(found.groupBy(*DOC, "start").agg(F.first("words").alias("words")).withColumnsRenamed(
-        {"id": "src", "x": "sx"}), "words")
+    words = scratch.write(found.groupBy("start").agg(F.first("words").alias("words")), "words")
     low, high = F.col("windows")[0], F.element_at("windows", -1)
     part = F.array_join(F.slice(F.split("words", " ", -1), low + 1, high - low + window), " ")
-    return spans.join(words, ["src", "sx", "start"]).select(*DOC, F.struct(
-        (F.col("at") + low).alias("at"), F.transform("windows", lambda w: w - low).alias("windows"), part.alias("words")).alias(
-        "span")).groupBy(*DOC).agg(F.collect_list("span").alias("spans"))
+    at = F.col("at") + low
+    return spans.join(words, "start").select("d", F.struct(
+        at.alias("at"), F.transform("windows", lambda w: w - low).alias("windows"), part.alias("words")).alias("span")).groupBy(
+        "d").agg(F.collect_list("span").alias("spans")).join(docs, "d").select(*DOC, "spans")
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW,
@@ -291,17 +327,22 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(LAST)).alias("id"), F.xxhash64(text).alias("x"),
                        text.alias("text"))
     texts = rows.select(*DOC, "text")
-    anchors = scratch.write(find_anchors(texts, window, gram), "anchors")
-    each = anchors.select(*DOC, F.inline(F.arrays_zip("anchors", "spans"))).withColumnRenamed("anchors", "anchor")
-    shared = scratch.write(each.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
+    found = scratch.write(find_anchors(texts, window, gram), "found")
+    firsts, copies = numbered(found, scratch)
+    anchors = scratch.write(found.join(firsts, DOC).select("d", "anchors", "spans"), "anchors")
+    scratch.drop(found)
+    each = anchors.select("d", F.inline(F.arrays_zip("anchors", "spans"))).withColumnRenamed("anchors", "anchor")
+    shared = scratch.write(each.groupBy("anchor").agg(F.min("d").alias("low"), F.max("d").alias("high")).where(
         "low <> high").select(F.col("anchor").alias("h")), "shared")
-    opened = scratch.write(each.join(shared, F.col("anchor") == F.col("h")).groupBy(*DOC).agg(
-        F.collect_set("spans").alias("spans")), "opened")
+    opened = scratch.write(each.join(shared, F.col("anchor") == F.col("h")).groupBy("d").agg(
+        F.collect_set("spans").alias("spans")).join(firsts, "d"), "opened")
     scratch.drop(anchors)
-    runs = scratch.write(find_runs(texts.where("text IS NOT NULL").join(opened, DOC).select(*DOC, "text", "spans"), window), "runs")
+    runs = scratch.write(find_runs(texts.where("text IS NOT NULL").join(opened, DOC).select("d", "text", "spans"), window), "runs")
     edges = scratch.write(repeated_edges(runs), "edges")
     paths = scratch.write(compact(edges), "paths")
+    scratch.drop(edges)
     spans = scratch.write(later_spans(runs, paths), "spans")
     scratch.drop(runs)
-    sure = scratch.write(with_source_words(spans, texts, paths, scratch, window), "sure")
-    return remove_words(rows.join(sure, DOC, "left").select("doc_id", "text", "spans"), window, with_kept)
+    sure = with_source_words(spans, texts, paths, firsts, scratch, window).withColumn("whole", F.lit(False))
+    sure = scratch.write(sure.unionByName(copies.withColumn("spans", F.lit(None)).withColumn("whole", F.lit(True))), "sure")
+    return remove_words(rows.join(sure, DOC, "left").select("doc_id", "text", "spans", "whole"), window, with_kept)
