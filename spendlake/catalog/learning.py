@@ -5,16 +5,20 @@ Trees, rounds, depths, folds, trials and repeats are those of the reference, ove
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import clamp, rounded
 from ..models import anomaly, cluster
 from ..models import forecast as fc
 from ..models.regress import (
     PURCHASE_FEATURES, Ridge, Scaler, Stack, assemble, best_model, boosted, compare,
-    cross_validate, fold_summary, forest, importances, inverse_error_weights,
-    permutation_importance, purchase_features, refit, search_grid, stopped, training_partitions, tune, KernelRegression,
+    cross_validate, fit_stopped, fold_summary, forest, importances, inverse_error_weights,
+    permutation_importance, purchase_features, refit, training_partitions, KernelRegression,
 )
+from ..models.pool import together
+from ..models.search import search as search_settings
 from ..operators import events as ev, ranking, rollup, sampling, stats
 from ..plans import marts, outlook
 from ..schema import ENCODED
@@ -149,8 +153,8 @@ def boosted_trees(spark, folder):
 
 
 def _fit_stopped(learner, df):
-    """All rounds on the training split, kept up to the best one on the validation split."""
-    return stopped(learner.fit(df.filter(F.col("split") == "train")), df.filter(F.col("split") == "validation"), 20)
+    """Rounds on the training split up to the best one on the validation split."""
+    return fit_stopped(learner, df.filter(F.col("split") == "train"), df.filter(F.col("split") == "validation"), 20)
 
 
 def _panel(spark, folder):
@@ -226,7 +230,7 @@ def stacking(spark, folder):
 def _search(df):
     """Trials on the training lines in three folds, and the best setting fitted again."""
     known = settle(sampling.with_fold(_train(df).drop("fold"), "row_id", 3))
-    _, table = tune(known, search_grid(30), rounds=100, folds=3, parallelism=4)
+    table = search_settings(known, 30, rounds=100, folds=3)
     return refit(known, table, rounds=200), table
 
 
@@ -256,21 +260,15 @@ def permutation(spark, folder):
 @query("M16_model_comparison")
 def comparison(spark, folder):
     df = _lines(spark, folder)
-    fits = {
-        "random_forest": lambda: forest(200, 12).fit(_train(df)),
-        "histogram_boosted": lambda: _histogram().fit(_train(df)),
-        "boosted": lambda: _fit_stopped(boosted(300, 7, 0.05, subsample=0.9, columns=0.9), df),
-        "boosted_leaves": lambda: _fit_stopped(
-            boosted(300, 7, 0.05, subsample=0.9, columns=0.9, min_rows=LEAF), df),
-        "stacking": lambda: _stack(df),
-        "boosted_tuned": lambda: _search(df)[0][1],
-        "ridge": lambda: Ridge(1.0).fit(_train(df)),
-    }
-    out = None
-    for name, fit in fits.items():
-        part = _scored(fit(), df).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return compare(settle(out))
+    learners = {"random_forest": forest(200, 12), "histogram_boosted": _histogram(), "ridge": Ridge(1.0)}
+    stopping = {"boosted": boosted(300, 7, 0.05, subsample=0.9, columns=0.9),
+                "boosted_leaves": boosted(300, 7, 0.05, subsample=0.9, columns=0.9, min_rows=LEAF)}
+    fits = {name: lambda m=learner: m.fit(_train(df)) for name, learner in learners.items()}
+    fits |= {name: lambda m=learner: _fit_stopped(m, df) for name, learner in stopping.items()}
+    # Stacking and the search fit many models at once themselves, so they come after the others.
+    models = together(spark, fits) | {"stacking": _stack(df), "boosted_tuned": _search(df)[0][1]}
+    parts = [_scored(model, df).withColumn("model", F.lit(name)) for name, model in models.items()]
+    return compare(settle(reduce(DataFrame.unionByName, parts)))
 
 
 @query("M16_naive_comparison", sql(f"""

@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import month_of
 from ..operators.clean import category_depth, positive_spend, purchase_flags
+from ..operators.permutation import permuted
 from ..operators.ranking import with_position
-from ..operators.sampling import draw, encode_labels
+from ..operators.sampling import encode_labels
 from ..operators.stats import scores
 from ..schema import ENCODED
+from ..session import settle
 from .pool import together
 
 PURCHASE_FEATURES = [f"{c}_enc" for c in ENCODED] + [
@@ -92,22 +94,41 @@ def boosted(rounds: int = 300, depth: int = 5, rate: float = 0.05, subsample: fl
     return model.setValidationIndicatorCol(validation) if validation else model
 
 
-def stopped(model: GBTRegressionModel, validation: DataFrame, patience: int) -> GBTRegressionModel:
+def fit_stopped(learner: GBTRegressor, train: DataFrame, validation: DataFrame, patience: int = 20,
+                first: int = 40) -> GBTRegressionModel:
     """The model up to its best round on the validation rows before ``patience`` rounds without a better one.
 
-    Spark's own stop ends at the first round that gains less than a tolerance.
+    Spark's own stop ends at the first round that gains less than a tolerance. Here a fit of ``first``
+    rounds is judged, and only while it has not stopped, one of twice as many. Rounds depend
+    on the seed and on earlier rounds only, so the result is that of all rounds cut at the same place,
+    and no more than about twice the rounds up to the stop are ever fitted.
     """
-    best = stop_round(model.evaluateEachIteration(validation, "squared"), patience)
-    if best == model.getNumTrees:
+    rounds, most = min(first, learner.getMaxIter()), learner.getMaxIter()
+    while True:
+        model = learner.copy({learner.maxIter: rounds}).fit(train)
+        best = stop_round(model.evaluateEachIteration(validation, "squared"), patience)
+        if rounds == most or rounds - best >= patience:
+            return cut(model, best)
+        rounds = min(2 * rounds, most)
+
+
+def cut(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model of the first rounds."""
+    if rounds == model.getNumTrees:
         return model
-    old, gateway = model._java_obj, validation.sparkSession.sparkContext._gateway
+    old, gateway = model._java_obj, SparkSession.active().sparkContext._gateway
     java = gateway.jvm.org.apache.spark.ml.regression
-    trees = gateway.new_array(java.DecisionTreeRegressionModel, best)
-    weights = gateway.new_array(gateway.jvm.double, best)
-    for i in range(best):
+    trees = gateway.new_array(java.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i in range(rounds):
         trees[i], weights[i] = old.trees()[i], float(model.treeWeights[i])
-    cut = java.GBTRegressionModel(old.uid(), trees, weights)
-    return GBTRegressionModel(old.copyValues(cut, old.extractParamMap()))
+    short = java.GBTRegressionModel(old.uid(), trees, weights)
+    return GBTRegressionModel(old.copyValues(short, old.extractParamMap()))
+
+
+def stopped(model: GBTRegressionModel, validation: DataFrame, patience: int) -> GBTRegressionModel:
+    """A fitted model up to its best round on the validation rows."""
+    return cut(model, stop_round(model.evaluateEachIteration(validation, "squared"), patience))
 
 
 def stop_round(errors: list[float], patience: int) -> int:
@@ -350,24 +371,23 @@ def permutation_importance(df: DataFrame, model: Model, features: list[str], rep
                            seed: int = 42) -> DataFrame:
     """Mean loss of R squared when one feature is shuffled.
 
-    Per repeat every row gets one donor row, drawn by a hashed order. Each row is then
-    scored once per feature with that one entry taken from the donor, in one job.
+    Rows are numbered once. In each repeat a keyed permutation of the numbers names every row's
+    donor, so one join brings the donors of all repeats. Each row is then scored once per repeat
+    and feature with that one entry taken from the donor, in one pass.
     """
     base = df.select("row_id", "label", vector_to_array("features").alias("_x"))
-    placed = with_position(base, ["row_id"], "_at")
-    intact = scores(model.transform(df), "label", "prediction").select(F.col("r2")).scalar()
+    placed = settle(with_position(base, ["row_id"], "_at"))
+    n = placed.count()
+    donors = F.posexplode(F.array(*[permuted(F.col("_at") - 1, n, seed + r) + 1 for r in range(repeats)])).alias(
+        "_repeat", "_donor_at")
     names = F.array(*[F.lit(f) for f in features])
-    drops = None
-    for r in range(repeats):
-        keyed = base.select(F.col("_x").alias("_donor"), "row_id",
-                            draw("row_id", seed + r).alias("_draw"))
-        donors = with_position(keyed, ["_draw", "row_id"], "_at").select("_at", "_donor")
-        pairs = placed.join(donors, "_at").select(
-            "label", "_x", "_donor", F.posexplode(names).alias("_j", "feature"))
-        mixed = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.get("_donor", i)).otherwise(v))
-        swapped = pairs.select("label", "feature", array_to_vector(mixed).alias("features"))
-        part = scores(model.transform(swapped), "label", "prediction", ["feature"])
-        drops = part if drops is None else drops.unionByName(part)
+    pairs = placed.select("label", "_x", donors).join(
+        placed.select(F.col("_at").alias("_donor_at"), F.col("_x").alias("_donor")), "_donor_at").select(
+        "label", "_x", "_donor", "_repeat", F.posexplode(names).alias("_j", "feature"))
+    mixed = F.transform("_x", lambda v, i: F.when(i == F.col("_j"), F.get("_donor", i)).otherwise(v))
+    swapped = pairs.select("label", "feature", "_repeat", array_to_vector(mixed).alias("features"))
+    drops = scores(model.transform(swapped), "label", "prediction", ["_repeat", "feature"])
+    intact = scores(model.transform(df), "label", "prediction").select(F.col("r2")).scalar()
     means = drops.groupBy("feature").agg(F.avg("r2").alias("_shuffled"))
     return means.select("feature", (intact - F.col("_shuffled")).alias("importance"))
 

@@ -62,18 +62,16 @@ def test_stack_has_all_rounds_and_folds(spark, asked, monkeypatch):
 
 
 def test_search_has_all_trials_and_a_refit(spark, asked, monkeypatch):
-    def tune(df, grid, rounds, folds, parallelism):
-        asked.append((len(grid), rounds, folds, {r[0] for r in df.select("fold").distinct().collect()}))
-        assert {g["depth"] for g in grid} <= set(range(4, 11)) and max(g["depth"] for g in grid) > 6
-        rows = [(i, *map(float, g.values()), 0.9 if i == 7 else 0.1) for i, g in enumerate(grid)]
-        return None, spark.createDataFrame(
-            rows, "trial int, depth double, rate double, subsample double, columns double, mean_r2 double")
-
-    monkeypatch.setattr(learning, "tune", tune)
+    def search(df, trials, rounds, folds):
+        asked.append((trials, rounds, folds, {r[0] for r in df.select("fold").distinct().collect()}))
+        rows = [(i, i // 5, 4.0 + i % 7, 0.1, 0.8, 0.7, 0.9 if i == 7 else 0.1) for i in range(trials)]
+        return spark.createDataFrame(
+            rows, "trial int, proposed_in int, depth double, rate double, subsample double, columns double, mean_r2 double")
+
+    monkeypatch.setattr(learning, "search_settings", search)
     monkeypatch.setattr(regress, "boosted", lambda rounds, *rest: asked.append((rounds, *rest)) or boosted(1, 2))
     got = learning.search(spark, "").orderBy("trial").collect()
-    best = regress.search_grid(30)[7]
-    assert asked == [(30, 100, 3, {0, 1, 2}), (200, *best.values())]
+    assert asked == [(30, 100, 3, {0, 1, 2}), (200, 4, 0.1, 0.8, 0.7)]
     assert [r.trial for r in got if r.is_best] == [7] and len(got) == 30
     assert [r.trial for r in got if r.refit_r2 is not None and r.refit_rmse > 0] == [7]
 
