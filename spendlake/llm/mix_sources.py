@@ -4,8 +4,10 @@
    order over a source is needed, whatever its size; a block is about a thousandth of a source.
 2. A source's target follows from its weight; what exceeds ``most`` times its size goes to
    the others by weight, until no target does.
-3. Its quota in blocks: whole passes over all of its blocks, and of one more pass the first
-   blocks in a permuted order whose words come nearest to the rest of the target.
+3. Its quota in blocks: whole passes over all of its blocks, and one more pass over some of them.
+   That pass walks the blocks in a permuted order and takes each that still fits into the rest of the
+   target; then the smallest one left, if that comes nearer. ``TRIES`` orders are walked and the one that ends
+   nearest is kept. No source misses its target by more than half its smallest block that was left.
 4. The quotas are split among the output shards by a binary tree. At each node the left half
    gets its share of the node's blocks, drawn without replacement: the number from each source
    is hypergeometric given what the sources before it took. Quotas stay exact at every node.
@@ -34,6 +36,7 @@ from .shared import free, written
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 BLOCKS, SHARDS = 1024, 16
+TRIES = 16
 SEED = 31_337
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,21 +50,26 @@ def block_of(doc_id: Column, size: Column, blocks: int, seed: int) -> Column:
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Adds ``weight`` and ``target`` to a table with a row for each source and its ``source_size``."""
-    ranked = written(with_position(sources, [F.asc_nulls_last("source")], "source_rank").withColumn(
-        "weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("source_rank") - 1, F.lit(len(weights))) + 1).cast("int"))),
-        "targets")
-    total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
-    rate, capped = 0.0, -1
-    while True:  # each turn caps at least one more source
-        over = F.lit(rate) * F.col("weight") > most * F.col("source_size")
-        row = ranked.agg(F.count_if(over), F.sum(F.when(over, most * F.col("source_size")).otherwise(0)),
-                         F.sum(F.when(over, 0).otherwise(F.col("weight")))).first()
-        if row[0] == capped or not row[2]:
-            break
-        capped, rate = row[0], (total - row[1]) / row[2]
-    return ranked.withColumn("target", F.when(over, (most * F.col("source_size")).cast("double")).otherwise(
-        F.lit(rate) * F.col("weight")))
+    """Adds ``weight`` and ``target`` to a table with a row for each source and its ``source_size``.
+
+    In order of the rate at which a source would reach its cap, one is capped exactly if the rate of
+    what the earlier ones leave exceeds its own; so running sums say all, however many sources there are.
+    """
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("source_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    ranked = with_position(sources, [F.asc_nulls_last("source")], "source_rank").withColumns({
+        "weight": weight.cast("long"), "cap": (most * F.col("source_size")).cast("long")}).withColumn(
+        "full_at", F.col("cap") / F.col("weight").cast("double"))
+    placed = written(with_position(ranked, ["full_at", "source_rank"], "_at", running={"caps": "cap", "weights": "weight"}), "caps")
+    sums = placed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight"))
+    total, whole = sums.select(F.coalesce("size", F.lit(0)) * F.lit(float(share))).scalar(), sums.select("weight").scalar()
+    rate_here = (total - (F.col("caps") - F.col("cap"))) / (whole - (F.col("weights") - F.col("weight")))
+    known = written(placed.withColumn("capped", rate_here * F.col("weight") > F.col("cap")), "targets")
+    left = known.agg(F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))), F.lit(0)).alias("caps"),
+                     F.coalesce(F.sum(F.when(F.col("capped"), F.col("weight"))), F.lit(0)).alias("weights"))
+    rate = F.coalesce(F.try_divide(total - left.select("caps").scalar(), F.nullif(whole - left.select("weights").scalar(), F.lit(0))),
+                      F.lit(0.0))
+    return written(known.select("source", "source_rank", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(
+        rate * F.col("weight")).alias("target")), "targets")
 
 
 def quotas(sizes: DataFrame, wanted: DataFrame, blocks: int, seed: int) -> DataFrame:
@@ -71,13 +79,33 @@ def quotas(sizes: DataFrame, wanted: DataFrame, blocks: int, seed: int) -> DataF
         wanted.select(F.col("source").alias("s"), "source_rank", "source_size", "target"),
         F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("place", _order(F.col("block"), blocks, seed))
     passes = F.floor(F.col("target") / F.col("source_size"))
-    return placed.withColumns({
+    placed = written(placed.withColumns({
         "passes": passes, "rest": F.col("target") - passes * F.col("source_size"),
-        "before": F.sum("block_size").over(in_source) - F.col("block_size"),
-        "nth": F.row_number().over(in_source) - 1,
-        "n_blocks": F.count("*").over(W.partitionBy("source_rank")),
-    }).withColumn("copies", (F.col("passes") + (2 * F.col("before") + F.col("block_size") <= 2 * F.col("rest")).cast(
-        "int")).cast("int"))
+        "nth": F.row_number().over(in_source) - 1}), "placed")
+    more = best_pass(placed, blocks, seed).withColumnsRenamed({"source_rank": "_source", "block": "_block"})
+    return placed.join(more, (F.col("source_rank") == F.col("_source")) & (F.col("block") == F.col("_block")), "left").withColumn(
+        "copies", (F.col("passes") + F.col("_block").isNotNull().cast("int")).cast("int")).drop("_source", "_block")
+
+
+def best_pass(placed: DataFrame, blocks: int, seed: int, tries: int = TRIES) -> DataFrame:
+    """``source_rank, block`` of the blocks that the last pass takes."""
+    orders = F.array(*[F.struct(F.lit(t).alias("try"), _order(F.col("block"), blocks, seed + t).alias("turn")) for t in range(tries)])
+    walks = placed.select("source_rank", "rest", "block", "block_size", F.inline(orders)).groupBy("source_rank", "try").agg(
+        F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct(
+            "turn", "block", F.col("block_size").alias("words")))).alias("walk"))  # at most ``blocks`` entries
+    start = F.struct(F.col("rest").alias("rest"), F.array().cast("array<int>").alias("taken"))
+    ended = F.aggregate("walk", start, lambda at, b: F.when(b["words"] <= at["rest"], F.struct(
+        (at["rest"] - b["words"]).alias("rest"), F.concat(at["taken"], F.array(b["block"])).alias("taken"))).otherwise(at))
+    walks = walks.withColumn("end", ended)
+    left = F.filter("walk", lambda b: ~F.array_contains(F.col("end.taken"), b["block"]))
+    least = F.array_min(F.transform(left, lambda b: F.struct(b["words"].alias("words"), b["turn"].alias("turn"), b["block"].alias("block"))))
+    walks = walks.withColumn("least", least)
+    nearer = F.coalesce(F.col("least.words") < 2 * F.col("end.rest"), F.lit(False))
+    miss = F.when(nearer, F.col("least.words") - F.col("end.rest")).otherwise(F.col("end.rest"))
+    taken = F.when(nearer, F.concat(F.col("end.taken"), F.array("least.block"))).otherwise(F.col("end.taken"))
+    best = walks.select("source_rank", F.struct(miss.alias("miss"), F.col("try"), taken.alias("taken")).alias("walk")).groupBy(
+        "source_rank").agg(F.min("walk").alias("walk"))
+    return best.select("source_rank", F.explode("walk.taken").alias("block"))
 
 
 def _order(block: Column, blocks: int, seed: int) -> Column:
@@ -180,8 +208,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
         F.sort_array(F.collect_list(F.struct("to", "shard"))).alias("ranges"))
     # The draw number of a copy; a block's copies are drawn in passes over all blocks.
     copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
-    number = (F.col("copy") - 1) * F.col("n_blocks") + F.col("nth")
-    dealt = drawn.where("copies > 0").select("source_rank", "source", "block", "n_blocks", "nth", copy).withColumn(
+    number = F.row_number().over(W.partitionBy("source_rank").orderBy("copy", "nth")) - 1  # at most ``most`` a block
+    dealt = drawn.where("copies > 0").select("source_rank", "source", "block", "nth", copy).withColumn(
         "number", number).join(ranges, "source_rank").withColumn(
         "shard", F.filter("ranges", lambda r: F.col("number") < r["to"])[0]["shard"])
     of_block = dealt.groupBy("source_rank", "block").agg(

@@ -175,10 +175,16 @@ def op7(spark, folder):
 
 _A, _B = permute.halves(mix_sources.BLOCKS)
 _P = permute.P
+
+
+def _turns() -> str:
+    return " ".join(f"WHEN {t} THEN {permute.network_sql('block', str(_A), str(_B), mix_sources.SEED + 1 + t)}"
+                    for t in range(mix_sources.TRIES))
+
+
 _MIX = rf"""
-WITH doc AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE doc AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 put AS (
   SELECT *, {permute.mixed_sql(f'(((coalesce(doc_id, size) % {_P}) + {_P}) % {_P})', permute.keys(mix_sources.SEED, 1)[0])} % {mix_sources.BLOCKS} AS block
   FROM doc),
@@ -197,12 +203,27 @@ rate AS (
 target AS (
   SELECT source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE rate * w END AS target FROM tried, rate),
 placed AS (
-  SELECT b.*, source_size, target, floor(target / source_size) AS passes,
-    sum(words) OVER (PARTITION BY b.source ORDER BY {permute.network_sql('block', str(_A), str(_B), mix_sources.SEED + 1)}) - words AS before
-  FROM blocks b JOIN target t ON b.source IS NOT DISTINCT FROM t.source WHERE words > 0),
+  SELECT b.*, source_size, target, floor(target / source_size) AS passes, target - floor(target / source_size) * source_size AS rest, tries.t
+  FROM blocks b JOIN target t ON b.source IS NOT DISTINCT FROM t.source, (SELECT unnest(range({mix_sources.TRIES})) AS t) AS tries WHERE words > 0),
+turned AS (
+  SELECT *, row_number() OVER (PARTITION BY source, t ORDER BY CASE t {_turns()} END) AS turn FROM placed),
+walk AS (
+  SELECT source, t, CAST(0 AS BIGINT) AS turn, any_value(rest) AS rest, CAST(NULL AS BOOLEAN) AS taken FROM placed GROUP BY source, t
+  UNION ALL
+  SELECT w.source, w.t, b.turn, CASE WHEN b.words <= w.rest THEN w.rest - b.words ELSE w.rest END, b.words <= w.rest
+  FROM walk w JOIN turned b ON w.source IS NOT DISTINCT FROM b.source AND w.t = b.t AND b.turn = w.turn + 1),
+walked AS (
+  SELECT b.source, b.t, b.block, b.words, b.turn, w.taken, min(w.rest) OVER (PARTITION BY b.source, b.t) AS rest,
+    row_number() OVER (PARTITION BY b.source, b.t ORDER BY w.taken, b.words, b.turn) AS nth_left
+  FROM turned b JOIN walk w ON w.source IS NOT DISTINCT FROM b.source AND w.t = b.t AND w.turn = b.turn),
+chosen AS (
+  SELECT *, taken OR (nth_left = 1 AND words < 2 * rest) AS drawn,
+    min(CASE WHEN NOT taken AND words < 2 * rest THEN words - rest ELSE rest END) OVER (PARTITION BY source, t) AS miss FROM walked),
+best AS (SELECT source, arg_min(t, (miss, t)) AS t FROM chosen GROUP BY source),
 drawn AS (
-  SELECT source, block, CAST(passes AS INTEGER) + CASE WHEN 2 * before + words <= 2 * (target - passes * source_size)
-    THEN 1 ELSE 0 END AS copies FROM placed)
+  SELECT p.source, p.block, CAST(p.passes AS INTEGER) + CASE WHEN c.drawn THEN 1 ELSE 0 END AS copies
+  FROM placed p JOIN best b ON p.source IS NOT DISTINCT FROM b.source AND p.t = b.t
+    JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source AND p.t = c.t AND p.block = c.block)
 SELECT doc_id, size, source_size, target, size * coalesce(copies, 0) AS taken, coalesce(copies, 0) AS copies
 FROM put p JOIN target t ON p.source IS NOT DISTINCT FROM t.source
   LEFT JOIN drawn d ON p.source IS NOT DISTINCT FROM d.source AND p.block = d.block"""
