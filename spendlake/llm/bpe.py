@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of remembered pieces and their ids, with what Python adds to each; longest piece kept; pairs kept.
-MEMO, KEEP, PAIRS = 24 << 20, 64, 1 << 17
+MEMO, KEEP, PAIRS = 56 << 20, 64, 1 << 18
 #: Bytes that an entry of a table takes beside its key and its value.
 ENTRY = 104
 #: Letters of text whose rows go out together.
