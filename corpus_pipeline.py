@@ -6,8 +6,14 @@ Every stage but the last returns the columns of ``documents``:
    score that says no more than chance); ``lang`` becomes the language found;
 2. line dedup: repeated three-line windows go; a document that had text and lost all of it goes;
 3. MinHash near-dedup: one document of each group of near copies stays;
-4. mixing: documents come as often as the source mix takes them, and so may repeat;
+4. mixing: documents come as often as the source mix takes them, and so may repeat; what a task
+   writes is in shuffled order;
 5. byte-pair encoding: ids of the tokens and what they decode to.
+
+Defined results, besides those of the operators: a null or empty text goes at the first stage, which
+finds no language in it, and null ids, repeated ids and equal rows go on like others until near
+dedup keeps one document of each group, of rows equal in id and text all or none. Ties go as the operators say. Texts of any length are read whole.
+A table without rows gives none. Columns other than those of ``documents`` are left out by every stage.
 """
 
 from __future__ import annotations
@@ -46,7 +52,7 @@ def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources.mix(docs).select(COLUMNS)
+    return mix_sources.mix(docs).sortWithinPartitions("shard", "order_key").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
