@@ -8,7 +8,7 @@ from ..functions import rounded
 from ..operators import rollup
 from ..schema import RAW_TO_FACT, SIZE_BUCKETS
 from ..session import scratch_path
-from ..sources import files, star
+from ..sources import files, snapshots, star
 from .base import fact, query, r, sql, state_month
 
 _BY_SEGMENT = f"""
@@ -122,6 +122,22 @@ def mart_refresh(spark, folder):
         "segment", F.col("year_month").cast("int"), rounded(F.col("spend"), 4).alias("spend"))
 
 
+@query("S10_snapshot_refresh", sql(f"""
+SELECT segment, year_month, {r('sum(spend)')} AS spend, '200001,200002' AS rebuilt, 0 AS rebuilt_again
+FROM fact GROUP BY segment, year_month""", "fact"))
+def snapshot_refresh(spark, folder):
+    """The mart finds the two months in which its source has changed; a further refresh has nothing to do."""
+    df = fact(spark, folder, "segment", "year_month", "cat_l1", "spend")
+    build = lambda part: part.groupBy("segment", "year_month").agg(F.sum("spend").alias("spend"))
+    path = scratch_path(spark, "snapshots")
+    snapshots.refresh(df.filter("cat_l1 <> 'PROMO' OR year_month NOT IN (200001, 200002)"), build, path)
+    rebuilt = snapshots.refresh(df, build, path)
+    again = snapshots.refresh(df, build, path)
+    return snapshots.read(spark, path, build(df).schema).select(
+        "segment", "year_month", rounded(F.col("spend"), 4).alias("spend"),
+        F.lit(",".join(map(str, rebuilt))).alias("rebuilt"), F.lit(len(again)).alias("rebuilt_again"))
+
+
 @query("S11_literal_dimension", sql(f"""
 SELECT b.size_bucket, b.size_no, count(p.customer_id) AS customers, {r('coalesce(sum(p.spend), 0)')} AS spend
 FROM (VALUES ('<100 rooms', 1), ('100–250', 2), ('250–500', 3), ('500–1000', 4), ('1000+', 5)) b(size_bucket, size_no)
