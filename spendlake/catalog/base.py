@@ -247,3 +247,24 @@ def sql(body: str, *parts: str) -> str:
 def r(expr: str, digits: int = 4) -> str:
     """Rounded double in SQL; adding zero turns -0.0 into 0.0."""
     return f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0"
+
+
+def least_squares_sql(points: str, n: int, alpha: float = 0.0, guard: str = "") -> str:
+    """``i, b``: coefficients of ``y`` on ``n`` standardised inputs, by elimination in the normal equations.
+
+    ``points`` has ``f`` (a list of n numbers) and ``y``. ``alpha`` is added to the diagonal, ``guard`` to the deviations.
+    """
+    steps = "".join(f""",
+  e{k} AS MATERIALIZED (SELECT a.i, CASE WHEN a.i = {k} THEN a.v ELSE list_transform(range(1, {n + 2}),
+      lambda j: a.v[j] - a.v[{k}] / p.v[{k}] * p.v[j]) END AS v FROM e{k - 1} a, (SELECT v FROM e{k - 1} WHERE i = {k}) p)"""
+                    for k in range(1, n + 1))
+    return f"""(WITH
+  numbered AS MATERIALIZED (SELECT f, y, row_number() OVER () AS r FROM ({points})),
+  long AS (SELECT r, y, unnest(f) AS x, unnest(range(1, {n + 1})) AS j FROM numbered),
+  z AS MATERIALIZED (SELECT r, j, coalesce((x - avg(x) OVER (PARTITION BY j)) / nullif(stddev_pop(x) OVER (PARTITION BY j){guard}, 0), 0) AS z,
+    y - avg(y) OVER (PARTITION BY j) AS y FROM long),
+  products AS (SELECT a.j AS i, b.j AS j, sum(a.z * b.z) AS v FROM z a JOIN z b USING (r) GROUP BY a.j, b.j),
+  gram AS (SELECT i, j, v + CASE WHEN i = j THEN {alpha} ELSE 0 END AS v FROM products
+    UNION ALL SELECT j, {n + 1}, sum(z * y) FROM z GROUP BY j),
+  e0 AS MATERIALIZED (SELECT i, list(v ORDER BY j) AS v FROM gram GROUP BY i){steps}
+  SELECT i, v[{n + 1}] / v[i] AS b FROM e{n})"""

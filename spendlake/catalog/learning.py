@@ -25,7 +25,7 @@ from ..schema import ENCODED
 from ..session import settle
 from ..sources import star
 from .base import (
-    BEFORE, CUTOFF, HORIZON, NOW, fact, query, r, segment_month, sql, state_panel,
+    BEFORE, CUTOFF, HORIZON, NOW, fact, least_squares_sql, query, r, segment_month, sql, state_panel,
 )
 
 SEED = 42
@@ -167,7 +167,17 @@ def _panel(spark, folder):
     return settle(sampling.with_block_fold(ready.withColumnRenamed("target", "label"), "state").coalesce(1))
 
 
-@query("M09_ridge")
+_POINTS = f"""SELECT [ln(1 + coalesce(population_m, 5.0)), ln(1 + coalesce(gdp_b, 300.0)), ln(1 + coalesce(tourism_b, 10.0)),
+    ln(1 + coalesce(hotel_rooms_k, 80.0)), sin(2 * pi() * (l.year_month % 100) / 12), cos(2 * pi() * (l.year_month % 100) / 12),
+    coalesce(event_score, 0), coalesce(event_count, 0), coalesce(max_event, 0), coalesce(uplift_m, 0),
+    lag1, lag2, lag3, roll3, l.year_month % 100] AS f, ln(1 + CAST(spend AS DOUBLE)) AS y
+  FROM lagged l LEFT JOIN (SELECT * EXCLUDE (event_count) FROM ref) q USING (state) LEFT JOIN ev_score USING (state, year_month)
+  LEFT JOIN ev_count USING (state, year_month) LEFT JOIN uplift USING (state, year_month) WHERE l.year_month <= {CUTOFF}"""
+
+
+@query("M09_ridge", sql(f"""
+SELECT {ev.FEATURES!r}[i] AS feature, {r('b', 6)} AS coefficient, FROM {least_squares_sql(_POINTS, len(ev.FEATURES), 1.0)}
+UNION ALL SELECT 'intercept', {r('avg(y)', 6)} FROM ({_POINTS})""", "lagged", "ref", "ev_score", "ev_count", "uplift"))
 def ridge(spark, folder):
     model = Ridge(1.0).fit(_panel(spark, folder))
     rows = [("intercept", round(float(model.intercept), 6))]

@@ -9,7 +9,7 @@ from ..operators.clean import category_depth
 from ..operators import information, mix, ranking, stats, trend
 from ..session import settle
 from ..sources import star
-from .base import fact, mix_cells, query, r, segment_panel, sql, state_totals
+from .base import fact, least_squares_sql, mix_cells, query, r, segment_panel, sql, state_totals
 
 FACTORS = ["population_m", "gdp_b", "tourism_b", "hotel_count", "hotel_rooms_k", "event_count"]
 
@@ -72,9 +72,15 @@ def top_states(spark, folder):
     return stats.factor_correlation(top, ["gdp_b", "tourism_b"]).select("factor", rounded(F.col("pearson_r"), 6).alias("pearson_r"))
 
 
-@query("Q03_standardised_regression")
+_INPUTS = [c for c in FACTORS if c != "hotel_count"]
+_PLANE = least_squares_sql(f"SELECT [{', '.join(f'coalesce({c}, 0)' for c in _INPUTS)}] AS f, y FROM {_STATES}", len(_INPUTS), guard=" + 1e-9")
+
+
+@query("Q03_standardised_regression", sql(f"""
+SELECT {_INPUTS!r}[i] AS factor, {r('b', 2)} AS coefficient FROM {_PLANE}
+UNION ALL SELECT 'intercept', {r('avg(y)', 2)} FROM {_STATES}""", "state_tot", "ref"))
 def regression(spark, folder):
-    df = stats.standardised_regression(_states(spark, folder), [c for c in FACTORS if c != "hotel_count"])
+    df = stats.standardised_regression(_states(spark, folder), _INPUTS)
     return df.withColumn("coefficient", rounded(F.col("coefficient"), 2))
 
 
