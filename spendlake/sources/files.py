@@ -98,3 +98,12 @@ def refresh_mart(fact: DataFrame, build, path: str, months: list[int]) -> None:
     """Rebuild only the given months of a month-grained mart."""
     changed = fact.filter(F.col("year_month").isin(months))
     write_mart(build(changed), path, months=months)
+
+
+def file_fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, lengths and times of the files under the paths; their content is not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select(
+        F.concat_ws("|", "path", F.col("length").cast("string"), F.col("modificationTime").cast("string")).alias("f"))
+    # The sum of digests is the same in any order, and one number comes back.
+    row = found.agg(F.sum(F.xxhash64("f").cast("decimal(38,0)")).alias("a"), F.sum(F.hash("f").cast("long")).alias("b"), F.count("*")).first()
+    return "/".join(map(str, row))

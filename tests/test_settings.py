@@ -124,3 +124,22 @@ def test_stop_keeps_the_best_rounds(lines, monkeypatch):
     cut = stopped(model, lines, 20)
     rmse = stats.scores(cut.transform(lines), "label", "prediction").select(F.col("rmse")).first()[0]
     assert cut.getNumTrees == 3 and abs(rmse ** 2 - errors[2]) < 1e-9 and len(cut.featureImportances) == len(PURCHASE_FEATURES)
+
+
+def test_outlook_is_fitted_once_for_all_that_read_it(spark, folder, monkeypatch):
+    made, marks = [], iter(["a", "a", "b"])
+    frame = spark.createDataFrame([("S", 200101, 2.0)], "state string, year_month int, spend double")
+    monkeypatch.setattr(learning, "_outlook", lambda *a: made.append(1) or (frame, None))
+    monkeypatch.setattr(learning, "_OUTLOOKS", {})
+    monkeypatch.setattr(learning.files, "file_fingerprint", lambda *a: next(marks))
+    assert [learning._outlook_table(spark, folder).count() for _ in range(3)] == [1, 1, 1] and len(made) == 2
+
+
+def test_file_fingerprint_follows_the_files(spark, tmp_path):
+    from spendlake.sources.files import file_fingerprint
+
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/t")
+    first = file_fingerprint(spark, f"{tmp_path}/t")
+    assert first == file_fingerprint(spark, f"{tmp_path}/t")
+    spark.range(6).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    assert first != file_fingerprint(spark, f"{tmp_path}/t")
