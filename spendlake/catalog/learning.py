@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import clamp, rounded
-from ..models import anomaly, cluster
+from ..models import anomaly, cluster, features_tree
 from ..models import forecast as fc
 from ..models.regress import (
     PURCHASE_FEATURES, Ridge, Scaler, Stack, assemble, best_model, boosted, compare,
@@ -310,6 +310,27 @@ def bisecting(spark, folder):
     return cluster.cluster_profile(cluster.assign(df, cluster.fit_bisecting(df, 7)), ["total_spend", "transactions"])
 
 
+def _feature_clusters(spark, folder):
+    return features_tree.cluster_by_features(_customers(spark, folder), 7)
+
+
+@query("M18_feature_clusters")
+def feature_clusters(spark, folder):
+    """Size and means of seven clusters of customers, by clustering features."""
+    return cluster.cluster_profile(_feature_clusters(spark, folder), ["total_spend", "transactions"])
+
+
+@query("M18_feature_cluster_totals", sql(f"""
+SELECT 7 AS clusters, count(*) AS customers, {r('sum(total_spend)', 2)} AS total_spend, sum(transactions)::BIGINT AS transactions
+FROM profile""", "profile"))
+def feature_cluster_totals(spark, folder):
+    """Sizes and means of the clusters add up to all customers."""
+    found = cluster.cluster_profile(_feature_clusters(spark, folder), ["total_spend", "transactions"])
+    return found.agg(F.count_distinct("cluster").cast("int").alias("clusters"), F.sum("size").alias("customers"),
+                     rounded(F.sum(F.col("size") * F.col("total_spend")), 2).alias("total_spend"),
+                     F.round(F.sum(F.col("size") * F.col("transactions"))).cast("long").alias("transactions"))
+
+
 @query("M19_isolation_forest")
 def isolation(spark, folder):
     return anomaly.flagged(purchase_features(fact(spark, folder)), PURCHASE_FEATURES).select(

@@ -199,19 +199,21 @@ def top_and_bottom(df: DataFrame, n: int, by: str, key: str) -> DataFrame:
 
 
 def mean_rank(df: DataFrame, key: str, methods: list[str]) -> DataFrame:
-    """Mean over methods of the tie-averaged rank, highest value first; null is unranked."""
-    ranks = {}
+    """Mean over methods of the tie-averaged rank, highest value first; null is unranked.
+
+    The rank of equal values is the mean of their positions, which come from range partitions, so
+    no task sees all keys. ``key`` names each row once.
+    """
+    out = df.select("*", F.lit(0.0).alias("_sum"), F.lit(0).alias("_known"))
     for method in methods:
-        falling = W.orderBy(F.desc_nulls_last(method))
-        same = W.partitionBy(method)
-        ranks[f"rank_{method}"] = F.when(
-            F.col(method).isNotNull(),
-            F.rank().over(falling) + (F.count("*").over(same) - 1) / 2)
-    ranked = df.withColumns(ranks)
-    names = list(ranks)
-    known = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0))
-    total = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names), F.lit(0.0))
-    return ranked.withColumn("avg_rank", F.try_divide(total, known.cast("double"))).drop(*names)
+        placed = with_position(df.filter(F.col(method).isNotNull()).select(F.col(key).alias("_key"), F.col(method).alias("_value")),
+                               [F.desc("_value"), "_key"], "_at")
+        ranks = placed.groupBy("_value").agg(F.avg("_at").alias("_rank")).withColumnRenamed("_value", "_same")
+        ranked = placed.join(ranks, F.col("_value") == F.col("_same")).select("_key", "_rank")
+        out = out.join(ranked, F.col(key) == F.col("_key"), "left").withColumns({
+            "_sum": F.col("_sum") + F.coalesce("_rank", F.lit(0.0)),
+            "_known": F.col("_known") + F.col("_rank").isNotNull().cast("int")}).drop("_key", "_rank")
+    return out.withColumn("avg_rank", F.try_divide(F.col("_sum"), F.col("_known").cast("double"))).drop("_sum", "_known")
 
 
 def consensus_rank(long: DataFrame, key: str, method: str, value: str,
