@@ -117,9 +117,9 @@ SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id,
   CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS spend,
   CAST(l_extendedprice AS DECIMAL(18,4)) AS list_price,
   CAST(l_extendedprice AS DECIMAL(18,4)) - CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS savings
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey
-  JOIN supplier ON l_suppkey = s_suppkey"""),
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+  LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN part ON l_partkey = p_partkey
+  LEFT JOIN supplier ON l_suppkey = s_suppkey"""),
     # The digamma function at whole numbers, by its sum.
     "psi": (("fact",), """
 SELECT i AS n, -0.57721566490153286061::DOUBLE + coalesce(sum(1 / CAST(i AS DOUBLE)) OVER (

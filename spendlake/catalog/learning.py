@@ -304,6 +304,19 @@ def elbow(spark, folder):
     return cluster.elbow(_customers(spark, folder), range(2, 9))
 
 
+@query("M17_elbow_invariants", sql("""
+SELECT least(7, count(*)) AS n_rows, 0 AS rises, 0 AS above_whole FROM profile""", "profile"))
+def elbow_invariants(spark, folder):
+    """More clusters never cost more, and none costs more than the spread of all customers: their number times the features."""
+    df = _customers(spark, folder)
+    found = settle(cluster.elbow(df, range(2, 9)))  # a row for each number of clusters
+    whole = df.select(F.count("*") * len(cluster.CLUSTER_FEATURES)).scalar()
+    before = F.lag("inertia").over(W.orderBy("k"))
+    return found.select("k", "inertia", before.alias("before"), whole.alias("whole")).agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("inertia") > F.col("before") * (1 + 1e-9)).cast("int").alias("rises"),
+        F.count_if(F.col("inertia") > F.col("whole")).cast("int").alias("above_whole"))
+
+
 @query("M18_bisecting_kmeans")
 def bisecting(spark, folder):
     df = _customers(spark, folder)
@@ -482,6 +495,21 @@ def segment_forecast(spark, folder):
     return df.select("segment", "year_month", *[rounded(F.col(c), 2).alias(c) for c in ("spend", "low", "high")])
 
 
+@query("M25_segment_forecast_bounds", sql(f"""
+SELECT count(DISTINCT segment) * {len(HORIZON)} AS n_rows, 0 AS out_of_bounds, 0 AS repeated FROM seg_month WHERE year_month <= {CUTOFF}""",
+    "seg_month"))
+def segment_forecast_bounds(spark, folder):
+    """One row a segment and month ahead, within the shares of the segment's mean month, and the band in order."""
+    mean = segment_month(spark, folder).filter(F.col("year_month") <= CUTOFF).groupBy("segment").agg(
+        F.avg(F.col("spend").cast("double")).alias("mean"))
+    floor, ceiling = F.col("mean") * fc.SEGMENT_FLOOR, F.col("mean") * fc.SEGMENT_CEILING
+    inside = F.col("spend").between(floor * (1 - 1e-9), ceiling * (1 + 1e-9)) & (
+        F.col("low") >= floor * fc.LOW_STRETCH * (1 - 1e-9)) & (F.col("high") <= ceiling * fc.HIGH_STRETCH * (1 + 1e-9))
+    return _segment_outlook(spark, folder).join(mean, "segment", "left").agg(
+        F.count("*").alias("n_rows"), F.count_if(~F.coalesce(inside, F.lit(False))).cast("int").alias("out_of_bounds"),
+        (F.count("*") - F.count_distinct("segment", "year_month")).cast("int").alias("repeated"))
+
+
 @query("M25_segment_state_forecast")
 def segment_state_forecast(spark, folder):
     panel = marts.segment_state_month(fact(spark, folder, "segment", "state", "year_month", "spend"))

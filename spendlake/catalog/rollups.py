@@ -132,6 +132,16 @@ def summary_by_anomaly(spark, folder):
         anomaly.flagged(purchase_features(fact(spark, folder)), PURCHASE_FEATURES), ["is_anomaly"]), "is_anomaly")
 
 
+@query("A10_anomaly_totals", sql(f"""
+SELECT count(*) AS n, {r('sum(spend)', 2)} AS spend, 1 AS share_holds, 0 AS out_of_range FROM fact WHERE spend > 0""", "fact"))
+def anomaly_totals(spark, folder):
+    """Flagged and other lines are all lines of positive spend; at most the contamination share is flagged."""
+    df = anomaly.flagged(purchase_features(fact(spark, folder)), PURCHASE_FEATURES)
+    share = F.avg(F.col("is_anomaly").cast("double"))
+    return df.agg(F.count("*").alias("n"), rounded(F.sum("spend"), 2).alias("spend"), (share <= 0.02).cast("int").alias("share_holds"),
+                  F.count_if(~F.col("anomaly_score").between(0, 1) | ~F.col("is_anomaly").isin(0, 1)).cast("int").alias("out_of_range"))
+
+
 @query("A11_value_counts", sql("SELECT cat_l4, count(*) AS n FROM fact WHERE cat_l4 IS NOT NULL GROUP BY ALL", "fact"))
 def counts(spark, folder):
     return rollup.value_counts(fact(spark, folder, "cat_l4"), "cat_l4").orderBy(F.desc("n"), "cat_l4")
@@ -154,6 +164,17 @@ def cluster_profile(spark, folder):
     return cluster.cluster_profile(cluster.assign(ready, model), ["total_spend", *cluster.CLUSTER_FEATURES])
 
 
+@query("A13_cluster_totals", sql(f"""
+SELECT 5 AS clusters, count(*) AS customers, {r('sum(total_spend)', 2)} AS total_spend, sum(transactions)::BIGINT AS transactions
+FROM profile""", "profile"))
+def cluster_totals(spark, folder):
+    """Sizes and means of the clusters add up to all customers."""
+    found = cluster_profile(spark, folder)
+    return found.agg(F.count_distinct("cluster").cast("int").alias("clusters"), F.sum("size").alias("customers"),
+                     rounded(F.sum(F.col("size") * F.col("total_spend")), 2).alias("total_spend"),
+                     F.round(F.sum(F.col("size") * F.col("transactions"))).cast("long").alias("transactions"))
+
+
 @query("A13_profile_by_residue", sql(f"""
 SELECT CAST(customer_id AS BIGINT) % 5 AS cluster, count(*) AS size, {r('avg(CAST(total_spend AS DOUBLE))', 2)} AS total_spend,
   {r('avg(transactions)', 6)} AS transactions, {r('avg(unique_categories)', 6)} AS unique_categories
