@@ -82,14 +82,16 @@ def quotas(sizes: DataFrame, wanted: DataFrame, blocks: int, seed: int) -> DataF
     placed = written(placed.withColumns({
         "passes": passes, "rest": F.col("target") - passes * F.col("source_size"),
         "nth": F.row_number().over(in_source) - 1}), "placed")
-    more = best_pass(placed, blocks, seed).withColumnsRenamed({"source_rank": "_source", "block": "_block"})
+    more = best_pass(placed, seed).withColumnsRenamed({"source_rank": "_source", "block": "_block"})
     return placed.join(more, (F.col("source_rank") == F.col("_source")) & (F.col("block") == F.col("_block")), "left").withColumn(
         "copies", (F.col("passes") + F.col("_block").isNotNull().cast("int")).cast("int")).drop("_source", "_block")
 
 
-def best_pass(placed: DataFrame, blocks: int, seed: int, tries: int = TRIES) -> DataFrame:
+def best_pass(placed: DataFrame, seed: int, tries: int = TRIES) -> DataFrame:
     """``source_rank, block`` of the blocks that the last pass takes."""
-    orders = F.array(*[F.struct(F.lit(t).alias("try"), _order(F.col("block"), blocks, seed + t).alias("turn")) for t in range(tries)])
+    # A keyed function of the block; one short expression for each order keeps the plan small.
+    turn = lambda t: mixed(F.col("block").cast("long"), keys(seed + 1 + t, 1)[0])
+    orders = F.array(*[F.struct(F.lit(t).alias("try"), turn(t).alias("turn")) for t in range(tries)])
     walks = placed.select("source_rank", "rest", "block", "block_size", F.inline(orders)).groupBy("source_rank", "try").agg(
         F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct(
             "turn", "block", F.col("block_size").alias("words")))).alias("walk"))  # at most ``blocks`` entries

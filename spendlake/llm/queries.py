@@ -173,12 +173,11 @@ def op7(spark, folder):
     return shards.assign(table(spark, folder, "documents"))
 
 
-_A, _B = permute.halves(mix_sources.BLOCKS)
 _P = permute.P
 
 
 def _turns() -> str:
-    return " ".join(f"WHEN {t} THEN {permute.network_sql('block', str(_A), str(_B), mix_sources.SEED + 1 + t)}"
+    return " ".join(f"WHEN {t} THEN {permute.mixed_sql('block::BIGINT', permute.keys(mix_sources.SEED + 1 + t, 1)[0])}"
                     for t in range(mix_sources.TRIES))
 
 
@@ -206,7 +205,7 @@ placed AS (
   SELECT b.*, source_size, target, floor(target / source_size) AS passes, target - floor(target / source_size) * source_size AS rest, tries.t
   FROM blocks b JOIN target t ON b.source IS NOT DISTINCT FROM t.source, (SELECT unnest(range({mix_sources.TRIES})) AS t) AS tries WHERE words > 0),
 turned AS (
-  SELECT *, row_number() OVER (PARTITION BY source, t ORDER BY CASE t {_turns()} END) AS turn FROM placed),
+  SELECT *, row_number() OVER (PARTITION BY source, t ORDER BY CASE t {_turns()} END, block) AS turn FROM placed),
 walk AS (
   SELECT source, t, CAST(0 AS BIGINT) AS turn, any_value(rest) AS rest, CAST(NULL AS BOOLEAN) AS taken FROM placed GROUP BY source, t
   UNION ALL
