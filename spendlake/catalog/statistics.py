@@ -43,22 +43,30 @@ def correlation(spark, folder):
                      rounded(F.col("r_squared"), 6).alias("r_squared"))
 
 
-@query("Q02_factor_significance")
+# Student's distribution at whole degrees of freedom v = n - 2 is a finite sum over powers of the cosine of atan(t / sqrt(v)).
+_P_VALUES = "(" + f"""
+SELECT factor, 1 - CASE WHEN v % 2 = 1 THEN 2 / pi() * (a + sin(a) * coalesce(sum(odd * pow(cos(a), 2 * k + 1)), 0))
+    ELSE sin(a) * sum(even * pow(cos(a), 2 * k)) END AS p
+FROM (SELECT factor, n - 2 AS v, atan(abs(x) / sqrt(1 - x * x)) AS a FROM ({' UNION ALL '.join(
+    f"SELECT '{c}' AS factor, corr(y, coalesce({c}, 0)) AS x, count(*) AS n FROM {_STATES}" for c in FACTORS)}))
+LEFT JOIN (SELECT k, exp(coalesce(sum(ln(2 * k / (2 * k + 1.0))) FILTER (k > 0) OVER (ORDER BY k), 0)) AS odd,
+    exp(coalesce(sum(ln((2 * k - 1) / (2.0 * k))) FILTER (k > 0) OVER (ORDER BY k), 0)) AS even
+  FROM (SELECT unnest(range((SELECT count(*) FROM state_tot))) AS k)) ON k <= (v - 2 - v % 2) // 2
+GROUP BY factor, v, a""" + ")"
+
+
+@query("Q02_factor_significance", sql(f"""
+SELECT factor, {r('p', 6)} AS p_value, p < 0.05 AS significant FROM {_P_VALUES}""", "state_tot", "ref"))
 def significance(spark, folder):
     """r with p-values, over all states."""
     df = stats.factor_correlation(_states(spark, folder), FACTORS)
     return df.select("factor", rounded(F.col("p_value"), 6).alias("p_value"), "significant").orderBy("factor")
 
 
-#: |r| from which a correlation over 25 states is significant at 5 %: t / sqrt(t² + 23) with t = 2.068658.
-CRITICAL_R = 0.396070
-
-
-@query("Q02_significant_factors", sql(" UNION ALL ".join(
-    f"SELECT '{c}' AS factor, CAST(abs(corr(y, coalesce({c}, 0))) >= {CRITICAL_R} AS INTEGER) AS significant FROM {_STATES}"
-    for c in FACTORS), "state_tot", "ref"))
+@query("Q02_significant_factors", sql(f"""
+SELECT factor, CAST(p < 0.05 AS INTEGER) AS significant FROM {_P_VALUES}""", "state_tot", "ref"))
 def significant_factors(spark, folder):
-    """Which factors pass the 5 % level, by their p-values; the SQL takes the critical r of the 25 states."""
+    """Which factors pass the 5 % level, by their p-values."""
     df = stats.factor_correlation(_states(spark, folder), FACTORS)
     return df.select("factor", F.col("significant").cast("int").alias("significant"))
 

@@ -35,10 +35,13 @@ def month_rollup(detail: DataFrame, keys: list[str], sums: list[str],
 
 def two_levels(df: DataFrame, fine: list[str], coarse: list[str],
                values: list[str], total_label: str, total_key: str) -> DataFrame:
-    """Two grouping levels in one pass; the coarse rows carry ``total_label``."""
+    """Two grouping levels in one pass; the coarse rows carry ``total_label``.
+
+    The fine level is summed first, so that only its sums are doubled for the coarse one.
+    """
     is_total = F.grouping(total_key).alias("is_total")
-    grouped = known_keys(df, fine).groupingSets([fine, coarse], *fine).agg(
-        *[F.sum(name).alias(name) for name in values], is_total)
+    sums = known_keys(df, fine).groupBy(*fine).agg(*[F.sum(name).alias(name) for name in values])
+    grouped = sums.groupingSets([fine, coarse], *fine).agg(*[F.sum(name).alias(name) for name in values], is_total)
     label = F.when(F.col("is_total") == 1, F.lit(total_label)).otherwise(F.col(total_key))
     return grouped.withColumn(total_key, label).drop("is_total")
 
