@@ -113,6 +113,34 @@ def test_near_dedup(messy, rows, small, block, monkeypatch):
     assert Counter(map(tuple, near_dedup.mark(messy).collect())) == expected
 
 
+def test_near_dedup_finds_pairs_just_above_the_threshold(spark):
+    """Pairs planted at similarities from 0.70 to 0.90, each in words of its own: all at 0.75 or more are linked, no other."""
+    made = np.random.default_rng(12)
+    rows, want = [], {}
+    for pair in range(160):
+        n = int(made.integers(120, 260))
+        words = [f"p{pair}w{i}" for i in range(n)]
+        changed = list(words)
+        # A changed word takes up to five shingles of each side out of the intersection.
+        for at in made.choice(np.arange(5, n - 5, 6), max(1, int(n * made.uniform(0.010, 0.036))), replace=False):
+            changed[at] = f"q{pair}x{at}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(changed))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want[pair] = 100 * len(a & b) >= 75 * len(a | b), len(a & b) / len(a | b)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.mark(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {pair: got[2 * pair + 1] == 2 * pair for pair in want} == {pair: near for pair, (near, _) in want.items()}
+    assert sum(0.75 <= s < 0.85 for _, s in want.values()) > 40 and sum(0.65 < s < 0.75 for _, s in want.values()) > 15
+
+
+def test_near_dedup_equals_all_pairs_on_a_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_components(rows)
+    for r in near_dedup.mark(docs).collect():
+        s = shingles(dict(rows)[r["doc_id"]])
+        assert r["component_id"] == (want[s] if s else r["doc_id"]) and r["n_shingles"] == len(s)
+
+
 def test_near_dedup_keeps_one_of_each_group(messy, rows):
     kept = near_dedup.deduplicate(messy)
     assert kept.columns == messy.columns

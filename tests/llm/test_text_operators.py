@@ -171,3 +171,39 @@ def test_network_learns_from_the_largest_response():
     end = language_id.train(x, y, 2, epochs=40)
     loss = lambda m: -np.log(language_id.probabilities(m, x)[np.arange(128), y] + 1e-9).mean()
     assert loss(end) < 0.2 * loss(start)
+
+
+def brute_language(model, languages, text):
+    """Label and score by one window, place and filter after the other, in double precision."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data, mean = text.encode(), np.zeros(len(languages))
+    for at in range(0, len(data), language_id.WINDOW):
+        part = data[at:at + language_id.WINDOW]
+        window = part + bytes(language_id.WINDOW - len(part))
+        pooled = []
+        for width in language_id.WIDTHS:
+            table = model[f"filter{width}"].astype(float)
+            for f in range(table.shape[2]):
+                pooled.append(max(0.0, max(sum(table[k, window[i + k], f] for k in range(width))
+                                           for i in range(language_id.WINDOW - width + 1))))
+        z = np.array(pooled) @ model["weight"].astype(float) + model["bias"].astype(float)
+        mean += len(part) * np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    mean /= len(data)
+    return languages[int(mean.argmax())], float(mean.max())
+
+
+def test_language_equals_a_plain_convolution(spark):
+    """Row by row, on texts of every kind and windows that are full, broken and padded."""
+    made = random.Random(4)
+    words = {"aa": ["kas", "tolo", "mire", "sanu"], "bb": ["ßtra", "wünd", "groß", "fe"], "cc": ["漢字", "かな", "ka", "ルビ"]}
+    prose = lambda lang, n: " ".join(made.choice(words[lang]) for _ in range(n))
+    rows = [(i, prose(lang, made.choice([1, 3, 40, 70])), lang) for i, lang in enumerate(sorted(words) * 30)]
+    rows += [(200, None, "aa"), (201, "", "aa"), (202, "123 !", "bb"), (203, "x" * 256, None), (204, "y" * 257, None), (205, prose("aa", 9) + prose("cc", 99), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, model = language_id.learn(docs, epochs=2)
+    got = {r["doc_id"]: r for r in language_id.identify(docs, known=(languages, model)).collect()}
+    for doc_id, text, _ in rows[::7] + rows[-6:]:
+        label, score = brute_language(model, languages, text)
+        assert got[doc_id]["score"] == pytest.approx(score, abs=2e-4)
+        assert got[doc_id]["lang_pred"] == label
