@@ -22,7 +22,7 @@ Defined results: a null or empty text has size 0 and adds no words, whatever its
 Documents with equal ids share a block; null ids use the size in its place. Equal rows are
 mixed one by one. A source without words has target 0. An empty table gives no rows. The id,
 text and source columns are read by name; further columns are kept, and replaced if they have
-the name of a column made here.
+the name of a column made here. Texts of any length count with all their words.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ and reruns agree. Rows that tie in the whole order are equal in all that is retu
 
 Defined results: a null text has size 1 and the checksum of the empty text; null ids are
 numbered first; repeated rows get numbers of their own; an empty table gives no rows. Columns
-are read by name, so further columns are ignored.
+are read by name, so further columns are ignored. Texts of any length count with all their bytes.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ Defined results: a null or unreadable URL has no host and the verdict ``unknown`
 without a day matches nothing and is ``unknown`` too; without a match the verdict is ``pass``.
 Entries with a null key or day count for nothing. Repeated captures each get their row. An
 empty list lets everything pass; an empty table gives no rows. Columns are read by name and
-further columns of captures are kept, unless they have the name of a column made here.
+further columns of captures are kept, unless they have the name of a column made here. Addresses
+of any length are compared whole; a host is looked up once for each of its labels, however many.
 """
 
 from __future__ import annotations
