@@ -28,7 +28,7 @@ is the one shingle. Null ids never name a component unless it has no other; rows
 and text are kept or dropped together. An empty table gives no rows. The id and text columns
 are read by name; ``deduplicate`` keeps all columns. Texts of any length are read whole, in
 stretches of about a megabyte. Words and shingles are told apart by 64-bit hashes: two unlike
-shingles of one pair of texts that share a hash count as one, with a chance of about 1e-10 for a
+shingles of one pair of texts that share a hash count as one, with a chance of about 1e-11 for a
 pair of ten thousand shingles.
 """
 
