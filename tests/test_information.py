@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendlake.functions import digamma
+from spendlake.operators import information
 from spendlake.operators.information import knn_mutual_information, nearest_distance
 
 
@@ -69,6 +70,23 @@ def test_windows_hold_a_slice_at_most(spark):
     assert found.where("_id = 1000").first()["_r"] == near[4]
 
 
+@pytest.mark.parametrize("slice_rows", [6, 40, 1000])
+def test_common_targets_and_rare_values_across_slices(spark, slice_rows):
+    made = random.Random(slice_rows)
+    rows = [(made.choice("ab"), f"r{made.randrange(150)}", made.choice([1.0, 1.0, 7.0, made.random(), made.random()])) for _ in range(400)]
+    got = {r["feature"]: r["mutual_information"] for r in knn_mutual_information(
+        spark.createDataFrame(rows, "a string, b string, y double"), ["a", "b"], F.col("y"), 5, grid=1e-3, slice_rows=slice_rows).collect()}
+    assert [got["a"], got["b"]] == pytest.approx([brute(rows, 0, 5), brute(rows, 1, 5)], abs=1e-9)
+
+
+def test_most_rows_are_settled_in_their_slice(spark):
+    """What leaves the slices is a small part of the rows, where all features' rows were sorted and written twice."""
+    placed = spark.range(40_000).selectExpr("id div 10000 AS _slice", "id * 5 + id % 3 AS _y", "array(id % 4 + 1, id % 11 + 1) AS _c")
+    found = information._slices_settled(placed, 2, 5, 3)
+    assert 0 < found.where("_x > 0").count() < 0.03 * 2 * 40_000
+    assert found.where("_x = 0 AND _near > 0").count() == 8
+
+
 def test_digamma(spark):
     got = spark.range(1, 200).select("id", digamma(F.col("id")).alias("d")).collect()
     assert all(r["d"] == pytest.approx(psi(r["id"]), abs=1e-11) for r in got)
