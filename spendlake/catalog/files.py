@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from ..functions import rounded
 from ..operators import rollup
 from ..schema import RAW_TO_FACT, SIZE_BUCKETS
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import files, snapshots, star
 from .base import fact, query, r, sql, state_month
 
@@ -126,8 +126,11 @@ def mart_refresh(spark, folder):
 SELECT segment, year_month, {r('sum(spend)')} AS spend, '200001,200002' AS rebuilt, 0 AS rebuilt_again
 FROM fact GROUP BY segment, year_month""", "fact"))
 def snapshot_refresh(spark, folder):
-    """The mart finds the two months in which its source has changed; a further refresh has nothing to do."""
-    df = fact(spark, folder, "segment", "year_month", "cat_l1", "spend")
+    """The mart finds the two months in which its source has changed; a further refresh has nothing to do.
+
+    The lines are joined and written once: each refresh reads them for its fingerprints, and again to build.
+    """
+    df = stored(fact(spark, folder, "segment", "year_month", "cat_l1", "spend"), "lines")
     build = lambda part: part.groupBy("segment", "year_month").agg(F.sum("spend").alias("spend"))
     path = scratch_path(spark, "snapshots")
     snapshots.refresh(df.filter("cat_l1 <> 'PROMO' OR year_month NOT IN (200001, 200002)"), build, path)

@@ -85,8 +85,7 @@ def refresh(fact: DataFrame, build: Callable[[DataFrame], DataFrame], path: str)
         data = f"{path}/data/version={version}-{uuid.uuid4().hex}"  # what an earlier attempt left is not met
         made.hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(data)
         _move(spark, data, f"{path}/data/version={version}")
-        written = spark.read.parquet(f"{path}/data/version={version}") if not made.isEmpty() else None
-        filled = {row[0] for row in written.select(MONTH).distinct().collect()} if written is not None else set()
+        filled = set(_numbers(spark, f"{path}/data/version={version}", f"{MONTH}="))  # a folder a month with rows
     after = {month: Entry(mark, version, month in filled) if month in changed else before[month] for month, mark in now.items()}
     _commit(spark, path, version, after)
     return sorted(changed + gone)

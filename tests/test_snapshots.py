@@ -97,3 +97,16 @@ def test_vacuum_keeps_what_is_named(spark, tmp_path):
     assert snapshots.vacuum(spark, path, keep=1) == [1, 2, 3]
     assert whole(spark, path) == now and snapshots.versions(spark, path) == [4]
     assert sorted(os.listdir(os.path.join(path, "data"))) == ["version=1", "version=4"]
+
+
+def test_the_query_joins_its_lines_once(spark, folder, monkeypatch):
+    """Five passes over the lines read one written table, not five joins."""
+    from spendlake.catalog import ENTRIES, files
+
+    made, asked = [], files.fact
+    monkeypatch.setattr(files, "fact", lambda *a: made.append(asked(*a)) or made[-1])
+    read, seen = snapshots.refresh, []
+    monkeypatch.setattr(snapshots, "refresh", lambda df, *a: seen.append(df) or read(df, *a))
+    assert ENTRIES["S10_snapshot_refresh"].run(spark, folder).count() > 0
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in seen]
+    assert len(made) == 1 and len(plans) == 3 and not any("Join" in plan for plan in plans)
