@@ -121,3 +121,14 @@ def test_top_lists(spark):
     both = ranking.top_and_bottom(df, 2, "spend", "k").collect()
     assert {(r.side, r["rank"], r.k) for r in both} == {
         ("top", 1, "k19"), ("top", 2, "k18"), ("bottom", 1, "k00"), ("bottom", 2, "k01")}
+
+
+def test_few_groups_are_not_shuffled_to_a_task_each(spark, monkeypatch):
+    """The brackets' size is known, so Spark broadcasts them; a merge join would sort a whole group in one task."""
+    plans, place = [], ranking.with_position
+    monkeypatch.setattr(ranking, "with_position", lambda df, *a, **k: plans.append(
+        df._jdf.queryExecution().sparkPlan().toString()) or place(df, *a, **k))
+    df = spark.range(1000).selectExpr("id % 2 AS g", "id AS v").repartition(4)
+    got = {r["g"]: r["m"] for r in ranking.quantiles(df, ["g"], "v", {"m": 0.5}).collect()}
+    assert got == {0: 499.0, 1: 500.0}
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
