@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+import math
+from collections.abc import Iterable
+
+from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import settle
+from .pool import together
 from .regress import Scaler, assemble
 
 CLUSTER_FEATURES = ["log_total_spend", "log_avg_spend", "transactions", "unique_categories",
                     "unique_distributors"]
 
+#: Customers that one task of a fit holds.
+TASK_ROWS = 50_000
+
 
 def cluster_frame(profile: DataFrame) -> DataFrame:
     """Customer profile -> key, plain profile columns and scaled ``features``.
 
     The features are centred at 1. Distances are the same as around 0, but bisecting needs
     a first centre away from the origin: it splits by a shift relative to the centre.
+
+    The profile is made once, for the scaling and for the features. A frame too large for one task is dealt
+    over as many as its rows ask for, so that the many passes of a fit use all cores.
     """
-    logged = profile.withColumns({
+    logged = settle(profile.withColumns({
         "log_total_spend": F.log1p(F.col("total_spend").cast("double")),
-        "log_avg_spend": F.log1p(F.col("avg_spend").cast("double"))}).fillna(0)
+        "log_avg_spend": F.log1p(F.col("avg_spend").cast("double"))}).fillna(0))
+    tasks = math.ceil(logged.count() / TASK_ROWS)
+    if tasks > 1:
+        logged = logged.repartition(tasks)
     scaler = Scaler.fit(logged, CLUSTER_FEATURES)
     scaled = logged.withColumns({f"_{c}": scaler.column(c) + 1.0 for c in CLUSTER_FEATURES})
     names = [f"_{c}" for c in CLUSTER_FEATURES]
@@ -30,17 +44,23 @@ def cluster_frame(profile: DataFrame) -> DataFrame:
 RESTARTS = tuple(range(42, 52))
 
 
-def fit_kmeans(df: DataFrame, k: int = 5, seeds: tuple[int, ...] = RESTARTS):
+def best_fits(df: DataFrame, ks: Iterable[int], seeds: tuple[int, ...] = RESTARTS) -> dict[int, KMeansModel]:
+    """For each number of clusters the fit of least cost over several seeds. Fits run at the same time."""
+    held = df.select("features").persist()
+    fits = together(df.sparkSession, {
+        (k, s): lambda k=k, s=s: KMeans(k=k, seed=s, initMode="k-means||").fit(held) for k in ks for s in seeds})
+    held.unpersist()
+    return {k: min((fits[k, s] for s in seeds), key=lambda m: m.summary.trainingCost) for k in ks}
+
+
+def fit_kmeans(df: DataFrame, k: int = 5, seeds: tuple[int, ...] = RESTARTS) -> KMeansModel:
     """The fit of least cost over several seeds."""
-    fits = [KMeans(k=k, seed=s, initMode="k-means||").fit(df) for s in seeds]
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    return best_fits(df, [k], seeds)[k]
 
 
 def elbow(df: DataFrame, ks: range = range(2, 9), seeds: tuple[int, ...] = RESTARTS) -> DataFrame:
     """Inertia per number of clusters."""
-    held = df.select("features").persist()
-    rows = [(k, float(fit_kmeans(held, k, seeds).summary.trainingCost)) for k in ks]
-    held.unpersist()
+    rows = [(k, float(model.summary.trainingCost)) for k, model in best_fits(df, ks, seeds).items()]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
