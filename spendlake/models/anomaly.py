@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators.ranking import quantiles
 from ..operators.sampling import draw
-from ..session import settle
+from ..session import settle, stored
 
 TREE_ROWS = 256  # fixed value: rows per tree
 
@@ -70,6 +69,32 @@ def fit_trees(df: DataFrame, features: list[str], trees: int = 100, seed: int =
         grow, "node int, feature int, cut double, left int, depth double, tree int, rows int")
 
 
+def _pack(tree: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Levels, and per node feature, cut, left child and depth. No value is above a leaf's cut, and its left child is itself."""
+    feature, left, node = tree["feature"].to_numpy(), tree["left"].to_numpy(), np.arange(len(tree))
+    inner = feature >= 0
+    levels, level = 0, np.zeros(1, dtype=np.int64)
+    while len(level := level[inner[level]]):
+        levels, level = levels + 1, np.concatenate([left[level], left[level] + 1])
+    # Depth as a share of the mean depth of a tree grown on as many rows.
+    share = tree["depth"].to_numpy() / _average_path(max(2, int(tree["rows"].iloc[0])))
+    return (levels, np.where(inner, feature, 0), np.where(inner, tree["cut"].to_numpy(), np.inf),
+            np.where(inner, left, node), share)
+
+
+def _depths(x: np.ndarray, forest: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sum of the depths that each row reaches. All rows take as many steps as a tree has levels; at a leaf they stay."""
+    flat, size = np.ascontiguousarray(x.T).ravel(), len(x)
+    every, depth = np.arange(size), np.zeros(size)
+    for levels, feature, cut, left, reached in forest:
+        start, at = feature * size, np.zeros(size, dtype=np.int64)
+        for _ in range(levels):
+            spot = start.take(at, mode="clip") + every
+            at = left.take(at, mode="clip") + (flat.take(spot, mode="clip") > cut.take(at, mode="clip"))
+        depth += reached.take(at, mode="clip")
+    return depth
+
+
 def score(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
     """Add ``anomaly_score`` in 0..1, higher is stranger.
 
@@ -78,29 +103,14 @@ def score(df: DataFrame, nodes: DataFrame, features: list[str]) -> DataFrame:
     """
     table = nodes.toPandas().sort_values(["tree", "node"])
     forest = [part.sort_values("node") for _, part in table.groupby("tree")]
-    packed = [(t["feature"].to_numpy(), t["cut"].to_numpy(), t["left"].to_numpy(),
-               # Depth as a share of the mean depth of a tree grown on as many rows.
-               t["depth"].to_numpy() / _average_path(max(2, int(t["rows"].iloc[0])))) for t in forest]
+    packed = [_pack(t) for t in forest]
     shared = df.sparkSession.sparkContext.broadcast(packed)
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[features].to_numpy(float)
-            depth = np.zeros(len(x))
-            every = np.arange(len(x))
-            for feature, cut, left, reached in shared.value:
-                at = np.zeros(len(x), dtype=np.int64)
-                inner = feature[at] >= 0
-                while inner.any():
-                    rows, spot = every[inner], at[inner]
-                    goes_right = x[rows, feature[spot]] > cut[spot]
-                    at[rows] = left[spot] + goes_right
-                    inner = feature[at] >= 0
-                depth += reached[at]
-            yield pdf.assign(anomaly_score=np.exp2(-depth / len(shared.value)))
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(rate, f"{fields}, anomaly_score double")
+    @F.pandas_udf("double")
+    def rate(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(np.exp2(-_depths(rows.to_numpy(float), shared.value) / len(shared.value)))
+
+    return df.withColumn("anomaly_score", rate(F.struct(*features)))  # only features go to Python, and a number back
 
 
 def flag(scored: DataFrame, contamination: float = 0.02) -> DataFrame:
@@ -112,4 +122,4 @@ def flag(scored: DataFrame, contamination: float = 0.02) -> DataFrame:
 def flagged(df: DataFrame, features: list[str], trees: int = 100) -> DataFrame:
     """Fits, scores and flags the rows of one frame."""
     nodes = settle(fit_trees(df, features, trees))
-    return flag(settle(score(df, nodes, features)))
+    return flag(stored(score(df, nodes, features), "scored"))
