@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from spendlake.models import anomaly, cluster
 from spendlake.models.regress import (
     KernelRegression, Ridge, Scaler, Stack, align_importances, assemble, best_model, boosted,
     compare, cross_validate, fold_summary, forest, importances, inverse_error_weights,
-    permutation_importance, search_grid, tune,
+    permutation_importance, search_grid, training_partitions, tune,
 )
 from spendlake.operators import sampling, stats
 
@@ -138,3 +139,51 @@ def test_standardised_regression_equals_least_squares(spark):
     z = (pdf[["p", "q"]] - pdf[["p", "q"]].mean()) / (pdf[["p", "q"]].std(ddof=0) + 1e-9)
     want = np.linalg.lstsq(np.column_stack([np.ones(40), z]), pdf["total_spend"], rcond=None)[0]
     assert np.allclose([got["intercept"], got["p"], got["q"]], want)
+
+
+def _profiles(spark, rows):
+    return spark.range(rows).selectExpr("CAST(id AS STRING) AS customer_id", "CAST(exp(id % 9) AS DOUBLE) AS total_spend",
+                                        "CAST(id % 9 + 1 AS DOUBLE) AS avg_spend", "id % 7 AS transactions",
+                                        "id % 5 AS unique_categories", "id % 3 AS unique_distributors")
+
+
+def test_cluster_frame_is_dealt_and_its_profile_made_once(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "TASK_ROWS", 100)
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda v: made.add(1) or v, "string").asNondeterministic()
+    frame = cluster.cluster_frame(_profiles(spark, 1000).coalesce(1).withColumn("customer_id", seen("customer_id")))
+    assert frame.rdd.getNumPartitions() == 10 and frame.count() == 1000 and made.value == 1000
+
+
+def test_restarts_at_the_same_time_give_the_best_of_each(spark):
+    df = cluster.cluster_frame(_profiles(spark, 300)).cache()
+    both = cluster.best_fits(df, [2, 3], (1, 2))
+    for k, model in both.items():
+        alone = [KMeans(k=k, seed=s).fit(df).summary.trainingCost for s in (1, 2)]
+        assert model.summary.trainingCost == pytest.approx(min(alone))
+
+
+def test_steps_of_all_rows_reach_the_leaves_of_each_tree():
+    made = np.random.default_rng(3)
+    x = np.column_stack([made.integers(0, n, 500).astype(float) for n in (2, 30, 400)])
+    trees = [pd.DataFrame(anomaly._grow(x[made.integers(0, 500, n)], made), columns=["node", "feature", "cut", "left", "depth"])
+             .sort_values("node").assign(rows=n) for n in (1, 2, 50, 256)]
+
+    def reached(row, tree):
+        nodes, at = tree.set_index("node"), 0
+        while nodes.at[at, "feature"] >= 0:
+            at = nodes.at[at, "left"] + int(row[nodes.at[at, "feature"]] > nodes.at[at, "cut"])
+        return nodes.at[at, "depth"] / anomaly._average_path(max(2, tree["rows"].iloc[0]))
+
+    want = [sum(reached(row, tree) for tree in trees) for row in x]
+    assert anomaly._depths(x, [anomaly._pack(tree) for tree in trees]) == pytest.approx(want, abs=1e-12)
+
+
+def test_training_tasks_follow_cores_and_rows(spark):
+    """Not the shuffle's partitions: every task of a pass sends the statistics of all its nodes."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        assert [training_partitions(spark, n) for n in (0, 10, cores * 1_000_000, cores * 1_000_000 + 1)] == [cores, cores, cores, 2 * cores]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
