@@ -25,16 +25,16 @@ def cluster_frame(profile: DataFrame) -> DataFrame:
     The features are centred at 1. Distances are the same as around 0, but bisecting needs
     a first centre away from the origin: it splits by a shift relative to the centre.
 
-    The profile is made once, for the scaling and for the features. A frame too large for one task is dealt
-    over as many as its rows ask for, so that the many passes of a fit use all cores.
+    The profile is made once, for the scaling and for the features. A frame too large for one task is then
+    dealt over as many as its rows ask for, so that the many passes of a fit use all cores.
     """
     logged = settle(profile.withColumns({
         "log_total_spend": F.log1p(F.col("total_spend").cast("double")),
         "log_avg_spend": F.log1p(F.col("avg_spend").cast("double"))}).fillna(0))
+    scaler = Scaler.fit(logged, CLUSTER_FEATURES)
     tasks = math.ceil(logged.count() / TASK_ROWS)
     if tasks > 1:
         logged = logged.repartition(tasks)
-    scaler = Scaler.fit(logged, CLUSTER_FEATURES)
     scaled = logged.withColumns({f"_{c}": scaler.column(c) + 1.0 for c in CLUSTER_FEATURES})
     names = [f"_{c}" for c in CLUSTER_FEATURES]
     return assemble(scaled, names).drop(*names)

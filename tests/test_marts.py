@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from spendlake.operators import rollup
 from spendlake.plans import explore, marts
 from spendlake.sources import files, star
 
@@ -106,6 +107,21 @@ def test_a_customer_counts_once(spark):
     assert (row.ecomm_active, row.total_locations, row.ecomm_penetration) == (1, 2, 0.5)
 
 
+def test_customer_profile_shuffles_once(spark):
+    """Two distinct counts over one grouping: no copy of a line for each of them, and one shuffle of the lines."""
+    rows = [("a", "x", "1", 3.0, "1.5"), ("a", "x", "2", 3.0, None), ("a", "y", "2", None, "2.5"), ("a", "x", "1", 3.0, "1.5"),
+            ("b", None, "1", None, None), (None, "z", "9", 1.0, "7")]
+    lines = spark.createDataFrame(rows, "customer_id string, cat_l1 string, distributor_id string, rooms double, spend string")
+    got = rollup.customer_profile(lines.withColumn("spend", F.col("spend").cast("decimal(18,4)")))
+    found = {r.customer_id: (r.total_spend and float(r.total_spend), r.avg_spend and round(float(r.avg_spend), 4), *r[3:]) for r in got.collect()}
+    assert found == {"a": (5.5, 1.8333, 3, 2, 2, 1), "b": (None, None, 0, 0, 1, 0)}
+    assert dict(got.dtypes)["total_spend"] == "decimal(38,4)" and dict(got.dtypes)["avg_spend"] == "decimal(38,6)"
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Expand" not in plan
+    executed = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert executed.count("Exchange hashpartitioning") == 1
+
+
 def test_emptied_months_go(spark, tmp_path):
     path = str(tmp_path / "mart")
     build = lambda part: part.groupBy("year_month").agg(F.sum("spend").alias("spend"))
