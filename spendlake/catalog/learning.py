@@ -92,8 +92,9 @@ def event_features(spark, folder):
 def _features(spark, folder, cutoff=CUTOFF):
     panel = state_panel(spark, folder)
     history = panel if cutoff is None else panel.filter(F.col("year_month") <= cutoff)
-    return ev.feature_frame(history, star.state_reference(spark, folder),
-                            star.event_calendar(spark, folder), star.event_uplift(spark, folder))
+    # Small frames over large tables, which the scaling, the folds and the features all read.
+    months = settle(ev.event_panel(star.event_calendar(spark, folder), star.event_uplift(spark, folder)))
+    return ev.feature_rows(history, settle(star.state_reference(spark, folder)), months)
 
 
 _HEX = "('0x' || substr(md5(row_id || '|42'), {at}, 8))::BIGINT"

@@ -147,9 +147,13 @@ def with_season(df: DataFrame, month: Column | str = "year_month") -> DataFrame:
 def feature_frame(panel: DataFrame, reference: DataFrame, events: DataFrame,
                   uplift: DataFrame) -> DataFrame:
     """``state, year_month, spend`` plus the model features and the log1p target."""
+    return feature_rows(panel, reference, event_panel(events, uplift))
+
+
+def feature_rows(panel: DataFrame, reference: DataFrame, event_months: DataFrame) -> DataFrame:
+    """The feature frame from an event panel that is there already."""
     lagged = with_lags(panel, ["state"])
-    joined = lagged.join(event_panel(events, uplift), ["state", "year_month"], "left").fillna(
-        0.0, subset=EVENT_FEATURES)
+    joined = lagged.join(event_months, ["state", "year_month"], "left").fillna(0.0, subset=EVENT_FEATURES)
     full = with_season(with_reference(joined, reference))
     return full.select("state", "year_month", "spend", *[F.col(c).cast("double") for c in FEATURES],
                        F.log1p(F.col("spend").cast("double")).alias("target"))

@@ -7,16 +7,21 @@ from pyspark.sql import DataFrame, functions as F
 from ..models import forecast as fc
 from ..operators import events as ev
 from ..operators import growth
+from ..session import settle
 
 
 def run(panel: DataFrame, reference: DataFrame, events: DataFrame, uplift: DataFrame, cutoff: int,
         months: list[int], learners: dict[str, object] | None = None,
         folds: int = 5) -> tuple[DataFrame, fc.Ensemble]:
-    """State forecasts of the months after the cutoff, and the ensemble behind them."""
+    """State forecasts of the months after the cutoff, and the ensemble behind them.
+
+    The events become a row per state and month once; the features, their scaling and the forecast read that.
+    """
     history = panel.filter(F.col("year_month") <= cutoff)
-    features = ev.feature_frame(history, reference, events, uplift)
+    event_months = settle(ev.event_panel(events, uplift))
+    features = ev.feature_rows(history, reference, event_months)
     ensemble = fc.fit_ensemble(features, learners or fc.state_learners(), folds)
-    return fc.forecast_states(panel, reference, events, uplift, ensemble, cutoff, months), ensemble
+    return fc.forecast_states(panel, reference, event_months, ensemble, cutoff, months), ensemble
 
 
 def portfolio(panel: DataFrame, forecast: DataFrame, events: DataFrame, year: int,

@@ -60,6 +60,21 @@ def test_state_forecast(spark, dims):
     assert abs(sum(ensemble.weights.values()) - 1) < 1e-9
 
 
+def test_events_are_read_once_for_the_whole_outlook(spark, dims):
+    reference, events, uplift = dims
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    n = events.count()
+    outlook.run(panel(spark), reference, events.mapInPandas(counted, events.schema), uplift, CUTOFF, MONTHS,
+                learners(), folds=3)[0].collect()
+    assert read.value == 2 * n, "one pass for the scores, one for the counts"
+
+
 def test_lag_cascade(spark):
     df = spark.createDataFrame([("A", 202301, 9.0), ("A", 202305, 99.0)], "state string, year_month int, spend double")
     first, second = ev.with_lags(df, ["state"]).orderBy("year_month").collect()
