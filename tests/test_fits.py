@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spendlake.models import search
+from spendlake.models import regress, search
 from spendlake.models.pool import together
 from spendlake.models.regress import (
     Ridge, assemble, boosted, cross_validate, fit_stopped, fold_fits, forest, permutation_importance, stop_round,
@@ -54,6 +54,23 @@ def test_scores_are_those_of_fits_one_after_the_other(planted):
     assert list(fold_fits(planted, {"x": None}, folds=2)) == [("x", 0), ("x", 1)]
 
 
+def test_fits_at_once_share_the_cores(spark, planted, monkeypatch):
+    """Each of eight fits has two tasks for eight cores, more only for more rows; a boosted tree keeps no frame of nodes."""
+    wide, tasks, real = planted.repartition(8).cache(), [], regress.GBTRegressor.fit
+
+    def fit(learner, df):
+        tasks.append((df.rdd.getNumPartitions(), learner.getCacheNodeIds()))
+        return real(learner, df)
+
+    monkeypatch.setattr(regress.GBTRegressor, "fit", fit)
+    regress.Stack({"a": boosted(1, 2), "b": boosted(1, 1)}, folds=3).fit(wide)
+    search.search(wide, trials=2, rounds=1, folds=3, per_round=2)
+    each = regress.training_partitions(spark, 500, 8)
+    assert each == -(-2 * spark.sparkContext.defaultParallelism // 8) and len(tasks) == 8 + 6
+    assert tasks[:8] == [(each, False)] * 8 and {t for t in tasks[8:]} == {(regress.training_partitions(spark, 500, 6), False)}
+    assert regress.training_partitions(spark, each * regress.TASK_ROWS + 1, 8) == 2 * each
+
+
 @pytest.mark.parametrize("patience, first", [(2, 4), (6, 3)])
 def test_stop_inside_training_gives_the_model_of_all_rounds_cut(planted, patience, first):
     train, held = planted.filter("split = 'train'"), planted.filter("split = 'validation'")
