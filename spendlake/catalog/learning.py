@@ -25,7 +25,7 @@ from ..schema import ENCODED
 from ..session import scratch_path, settle
 from ..sources import files, star
 from .base import (
-    BEFORE, CUTOFF, HORIZON, NOW, fact, least_squares_sql, query, r, segment_month, sql, state_panel,
+    BEFORE, CUTOFF, HORIZON, NOW, customer_profiles, fact, least_squares_sql, query, r, segment_month, sql, state_panel,
 )
 
 SEED = 42
@@ -113,7 +113,7 @@ SELECT customer_id, """ + ", ".join(
         ("log_total_spend", "ln(1 + CAST(total_spend AS DOUBLE))"), ("transactions", "CAST(transactions AS DOUBLE)"),
         ("unique_distributors", "CAST(unique_distributors AS DOUBLE)"))) + " FROM profile", "profile"))
 def scaling(spark, folder):
-    df = rollup.customer_profile(fact(spark, folder, "customer_id", "cat_l1", "distributor_id", "rooms", "spend"))
+    df = customer_profiles(spark, folder)
     logged = df.withColumn("log_total_spend", F.log1p(F.col("total_spend").cast("double")))
     names = ["log_total_spend", "transactions", "unique_distributors"]
     scaled = Scaler.fit(logged, names).transform(logged)
@@ -296,8 +296,7 @@ def naive_comparison(spark, folder):
 # Clusters and anomalies -------------------------------------------------------------------
 
 def _customers(spark, folder):
-    df = fact(spark, folder, "customer_id", "cat_l1", "distributor_id", "rooms", "spend")
-    return settle(cluster.cluster_frame(rollup.customer_profile(df)))
+    return settle(cluster.cluster_frame(customer_profiles(spark, folder)))
 
 
 @query("M17_kmeans_elbow")

@@ -122,6 +122,36 @@ def test_customer_profile_shuffles_once(spark):
     assert executed.count("Exchange hashpartitioning") == 1
 
 
+def test_customer_profile_over_joins_by_key(spark, tmp_path):
+    """Joined by key, lines reach the grouping by order: spend is one number by then, and the parts are joined before."""
+    from spendlake.catalog.base import customer_profiles
+    lines = [(o, p, s, 1, 100.0, 0.25) for o, p, s in [(1, 1, 10), (1, 2, 10), (2, 3, 11), (2, 9, None), (3, 1, 10), (9, 1, 12), (None, 1, 10)]]
+    lines += [(3, 2, 13, 2, None, 0.5), (3, None, 14, 3, 50.0, None)]
+    tables = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_discount double"),
+        "orders": ([(1, 6), (2, 6), (3, 7), (4, 8)], "o_orderkey long, o_custkey long"),
+        "part": ([(1, "A"), (2, "B"), (3, "A"), (3, None)], "p_partkey long, p_type string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = customer_profiles(spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {r.customer_id: (float(r.total_spend), r.transactions, r.unique_categories, r.unique_distributors, r.has_rooms)
+                 for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The part with two rows makes its line two; lines without an order have no customer.
+    assert found == {"6": (375.0, 5, 2, 2, 0), "7": (75.0, 1, 2, 3, 1)}
+    at = [plan.index(f"Exchange hashpartitioning({key}#") for key in ("customer_id", "l_orderkey", "l_partkey")]
+    assert at == sorted(at)  # from the last shuffle to the first
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert "l_orderkey" in joins[0] and "l_partkey" in joins[1]
+    above = plan[:plan.rindex("Exchange hashpartitioning(l_partkey")]
+    assert "l_discount" not in above and "l_extendedprice" not in above
+
+
 def test_emptied_months_go(spark, tmp_path):
     path = str(tmp_path / "mart")
     build = lambda part: part.groupBy("year_month").agg(F.sum("spend").alias("spend"))
