@@ -8,7 +8,8 @@ import pytest
 from pyspark.ml import regression as spark_ml
 
 from spendlake.models import trees
-from spendlake.models.regress import assemble, boosted, cut, forest
+from spendlake.models.regress import assemble, boosted, cut, forest, permutation_importance
+from spendlake.models.swapped import Walks
 from spendlake.operators import stats
 
 FEATURES = ["a", "b", "c", "d"]
@@ -86,3 +87,32 @@ def test_cells_hold_all_digits():
     for f, b in enumerate(bins):
         assert (rows.codes[rows.group[f]] // rows.unit[f] % b == digits[f]).all()
     assert max(rows.cells) <= 100 and len(rows.cells) < len(bins)
+
+
+@pytest.mark.parametrize("fitted", [lambda df: boosted(6, 5, 0.3).fit(df), lambda df: forest(5, 7).fit(df),
+                                    lambda df: spark_ml.GBTRegressor(maxIter=4, maxDepth=4, seed=1).fit(df)])
+def test_one_walk_a_tree_gives_the_predictions_with_every_feature_swapped(spark, planted, fitted):
+    model = fitted(planted)
+    walks, x = Walks.of(model, len(FEATURES)), np.array([r[0].toArray() for r in planted.select("features").collect()])
+    donor = np.random.default_rng(7).permutation(x)
+    base, change = walks.predict(walks.digits(x), walks.digits(donor))
+    assert base == pytest.approx(predicted(model, planted), abs=1e-9)
+    for f in range(len(FEATURES)):
+        mixed = x.copy()
+        mixed[:, f] = donor[:, f]
+        want = predicted(model, assemble(spark.createDataFrame(pd.DataFrame(mixed, columns=FEATURES)), FEATURES))
+        assert base + change[f] == pytest.approx(want, abs=1e-9)
+
+
+def test_importance_scores_no_row_a_feature(spark, planted):
+    """A row a repeat is scored; features were rows of their own before. The losses are those of any other model's way."""
+    df = planted.selectExpr("uuid() AS row_id", "features", "label").localCheckpoint()
+    model = boosted(5, 4, 0.3).fit(df)
+
+    class Other:
+        transform = staticmethod(model.transform)
+
+    found, want = (permutation_importance(df, m, FEATURES, repeats=3) for m in (model, Other()))
+    assert [d._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") for d in (found, want)] == [1, 2]
+    want = {r["feature"]: r["importance"] for r in want.collect()}
+    assert {r["feature"]: r["importance"] for r in found.collect()} == pytest.approx(want, abs=1e-9)
