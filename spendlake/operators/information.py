@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import digamma
-from ..session import scratch_path, settle
+from ..session import scratch_path, settle, stored
 from .ranking import with_group_position, with_position
 
 NEIGHBOURS, GRID = 5, 1e-9
@@ -110,13 +110,25 @@ def _settled(y: np.ndarray, codes: np.ndarray, k: int, low: float, high: float)
     return _digammas(nearer).sum(), x[at], v[at], weight
 
 
-def _slices_settled(placed: DataFrame, features: int, k: int, last: int) -> DataFrame:
+def _codes(pdf: pd.DataFrame, layout: list[tuple[str, int, int]] | None) -> np.ndarray:
+    """A column a feature: the arrays ``_c``, or the bits that ``layout`` names as column, first bit and mask."""
+    if layout is None:
+        return np.stack(pdf["_c"].to_numpy())
+    return np.stack([pdf[column].to_numpy() >> first & mask for column, first, mask in layout], axis=1)
+
+
+def _packed(layout: list[tuple[str, int, int]] | None) -> list[str]:
+    return ["_c"] if layout is None else list(dict.fromkeys(column for column, _, _ in layout))
+
+
+def _slices_settled(placed: DataFrame, features: int, k: int, last: int,
+                    layout: list[tuple[str, int, int]] | None = None) -> DataFrame:
     """Per slice and feature a row with the settled sum, and the rows that leave with ``_x, _y, _w``."""
     names = ["feature", "_slice", "_x", "_y", "_w", "_near"]
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, number = pdf.sort_values("_y"), int(key[0])
-        y, codes = pdf["_y"].to_numpy(), np.stack(pdf["_c"].to_numpy())
+        y, codes = pdf["_y"].to_numpy(), _codes(pdf, layout)
         low = y[0] if number else -np.inf
         high = y[-1] if number < last else np.inf
         parts = []
@@ -127,17 +139,18 @@ def _slices_settled(placed: DataFrame, features: int, k: int, last: int) -> Data
                                        "_w": [0, *weight], "_near": [near, *np.zeros(len(x))]}))
         return pd.concat(parts)[names]
 
-    return placed.select("_slice", "_y", "_c").groupBy("_slice").applyInPandas(
+    return placed.select("_slice", "_y", *_packed(layout)).groupBy("_slice").applyInPandas(
         work, "feature int, _slice long, _x long, _y long, _w long, _near double")
 
 
-def _rows_upto(placed: DataFrame, ends: DataFrame, features: int) -> DataFrame:
+def _rows_upto(placed: DataFrame, ends: DataFrame, features: int, layout: list[tuple[str, int, int]]) -> DataFrame:
     """``feature, _end, _upto``: the feature's rows with a target up to each end.
 
     ``ends`` holds each pair of ``feature, _end`` once. An end meets only the slice that begins last before it;
     what lies before that slice comes from one row a slice.
     """
-    counts = [F.count_if(F.get("_c", F.lit(f)) > 0).alias(f"_{f}") for f in range(features)]
+    counts = [F.count_if(F.shiftright(column, first).bitwiseAND(F.lit(mask)) > 0).alias(f"_{f}")
+              for f, (column, first, mask) in enumerate(layout)]
     table = placed.groupBy("_slice").agg(F.min("_y").alias("_first"), *counts).toPandas().sort_values("_slice")
     starts = table["_first"].to_numpy()
     own = table[[f"_{f}" for f in range(features)]].to_numpy()
@@ -152,33 +165,59 @@ def _rows_upto(placed: DataFrame, ends: DataFrame, features: int) -> DataFrame:
         parts = []
         if len(wanted):
             number, rows = int(wanted["_slice"].iloc[0]), rows.sort_values("_y")
-            y, codes = rows["_y"].to_numpy(), np.stack(rows["_c"].to_numpy())
+            y, codes = rows["_y"].to_numpy(), _codes(rows, layout)
             for f, part in wanted.groupby("feature"):
                 inside = np.searchsorted(y[codes[:, f] > 0], part["_end"].to_numpy(), "right")
                 parts.append(part[["feature", "_end"]].assign(_upto=inside + shared.value[1][number, f]))
         return pd.concat(parts) if parts else pd.DataFrame({"feature": [], "_end": [], "_upto": []})
 
     placed_ends = ends.mapInPandas(locate, "feature int, _end long, _slice long")
-    return placed.select("_slice", "_y", "_c").groupBy("_slice").cogroup(placed_ends.groupBy("_slice")).applyInPandas(
+    return placed.select("_slice", "_y", *_packed(layout)).groupBy("_slice").cogroup(placed_ends.groupBy("_slice")).applyInPandas(
         count, "feature int, _end long, _upto long")
 
 
-def _coded(known: DataFrame, sizes: DataFrame, features: list[str]) -> DataFrame:
-    """``_y`` and ``_c``, a number above 0 for the value of each feature; 0 where only one row has the value.
+def _coded(known: DataFrame, sizes: DataFrame, features: list[str]) -> tuple[DataFrame, list[tuple[str, int, int]]]:
+    """``_y`` and, packed into few whole numbers, a number above 0 for the value of each feature; 0 where only one row has it.
 
-    The numbers are files of known size, so Spark broadcasts short lists and merges with long ones.
+    The numbers are files of known size, so Spark broadcasts short lists and merges with long ones. The layout
+    names for each feature the column, the first bit and the mask of its number.
     """
     spark = known.sparkSession
     path = scratch_path(spark, "values")
     repeated = sizes.filter(F.col("_n") > 1).select("feature", "_x")
     with_group_position(repeated, ["feature"], ["_x"], "_code").write.partitionBy("feature").parquet(path)
-    stored = spark.read.schema("_x string, _code long, feature int").parquet(path)
-    there = {row["feature"] for row in stored.select("feature").distinct().collect()}  # numbers of features
+    stored_codes = spark.read.schema("_x string, _code long, feature int").parquet(path)
+    most = {row["feature"]: row["_most"] for row in stored_codes.groupBy("feature").agg(F.max("_code").alias("_most")).collect()}
+    layout, words = [], [0]
     for f, name in enumerate(features):
-        codes = spark.read.schema("_x string, _code long").parquet(f"{path}/feature={f}") if f in there else stored.filter("false")
+        codes = spark.read.schema("_x string, _code long").parquet(f"{path}/feature={f}") if f in most else stored_codes.filter("false")
         mine = codes.select(F.col("_x").alias(f"_x{f}"), F.col("_code").alias(f"_c{f}"))
         known = known.join(mine, F.col(name) == F.col(f"_x{f}"), "left").drop(name, f"_x{f}")
-    return known.select("_y", F.array(*[F.coalesce(f"_c{f}", F.lit(0)) for f in range(len(features))]).alias("_c"))
+        bits = max(most.get(f, 0).bit_length(), 1)
+        if words[-1] + bits > 62:
+            words.append(0)
+        layout.append((f"_p{len(words) - 1}", words[-1], (1 << bits) - 1))
+        words[-1] += bits
+    word = lambda column: reduce(add, [F.shiftleft(F.coalesce(f"_c{f}", F.lit(0)).cast("long"), first)
+                                       for f, (mine, first, _) in enumerate(layout) if mine == column])
+    return known.select("_y", *[word(column).alias(column) for column in _packed(layout)]), layout
+
+
+def _sliced(coded: DataFrame, slice_rows: int) -> DataFrame:
+    """Adds ``_slice``, which numbers slices of at most ``slice_rows`` rows in order of ``_y``.
+
+    Rows are range partitioned, and cut inside each part, so only what a row is made of moves and is written.
+    ``_tie`` splits equal rows over parts.
+    """
+    tied = coded.withColumn("_tie", F.monotonically_increasing_id() % 1021)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = stored(tied.repartitionByRange("_y", *coded.columns[1:], "_tie").sortWithinPartitions("_y").drop("_tie").withColumns({
+        "_part": F.spark_partition_id(), "_own": F.call_function("div", place, F.lit(slice_rows))}), "slices")
+    sizes = parts.groupBy("_part").agg((F.max("_own") + 1).alias("_slices"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per part
+    before = sizes.select("_part", F.coalesce(F.sum("_slices").over(earlier), F.lit(0)).alias("_before"))
+    # At most one row per shuffle partition, so its size is known.
+    return parts.join(F.broadcast(before), "_part").withColumn("_slice", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
 def knn_mutual_information(df: DataFrame, features: list[str], target: Column, k: int = NEIGHBOURS,
@@ -187,15 +226,15 @@ def knn_mutual_information(df: DataFrame, features: list[str], target: Column, k
     if slice_rows <= k:
         raise ValueError("a slice holds more rows than there are neighbours")
     shown = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_v{f}") for f, c in enumerate(features)]
-    known = df.select(F.round(target.cast("double") / grid).cast("long").alias("_y"), *shown).filter(F.col("_y").isNotNull())
+    # Two passes read the rows, and the joins that made them are not repeated.
+    known = stored(df.select(F.round(target.cast("double") / grid).cast("long").alias("_y"), *shown).filter(F.col("_y").isNotNull()), "known")
     names = [f"_v{f}" for f in range(len(features))]
     long = known.select(F.posexplode(F.array(*names)).alias("feature", "_x"))
     sizes = settle(long.groupBy("feature", "_x").agg(F.count("*").alias("_n")))
-    coded = _coded(known, sizes, names).withColumn("_id", F.monotonically_increasing_id())
-    placed = with_position(coded, ["_y", "_id"], "_at").select(
-        F.call_function("div", F.col("_at") - 1, F.lit(slice_rows)).alias("_slice"), "_y", "_c")
+    coded, layout = _coded(known, sizes, names)
+    placed = _sliced(coded, slice_rows)
     last = placed.agg(F.max("_slice")).first()[0] or 0
-    found = settle(_slices_settled(placed, len(features), k, last))
+    found = stored(_slices_settled(placed, len(features), k, last, layout), "found")
 
     left = with_position(found.filter(F.col("_x") > 0), ["feature", "_x", "_y", "_slice", "_w"], "_g")
     parts = left.groupBy("feature", "_x").agg(F.min("_g").alias("_first"), F.count("*").alias("_n"))
@@ -205,7 +244,7 @@ def knn_mutual_information(df: DataFrame, features: list[str], target: Column, k
     cells = settle(distant.filter(F.col("_w") > 0).groupBy(
         "feature", (F.col("_y") - reach).alias("_below"), (F.col("_y") + reach - 1).alias("_upto")).agg(F.sum("_w").alias("_w")))
     ends = cells.select("feature", F.explode(F.array("_below", "_upto")).alias("_end")).distinct()
-    upto = settle(_rows_upto(placed, ends, len(features)))
+    upto = stored(_rows_upto(placed, ends, len(features), layout), "upto")
     at = lambda name: upto.select(F.col("feature"), F.col("_end").alias(name), F.col("_upto").alias(f"_n{name}"))
     ranked = cells.join(at("_below"), ["feature", "_below"]).join(at("_upto"), ["feature", "_upto"])
     far = ranked.select("feature", (F.col("_w") * digamma(F.col("_n_upto") - F.col("_n_below"))).alias("_near"))

@@ -90,3 +90,21 @@ def test_most_rows_are_settled_in_their_slice(spark):
 def test_digamma(spark):
     got = spark.range(1, 200).select("id", digamma(F.col("id")).alias("d")).collect()
     assert all(r["d"] == pytest.approx(psi(r["id"]), abs=1e-11) for r in got)
+
+
+def test_a_row_moves_as_its_target_and_packed_values(spark):
+    """13 features of up to 40 values take one or two whole numbers, not an array; slices are cut in order of the target."""
+    made = random.Random(4)
+    rows = [(*[f"v{made.randrange(2 + 3 * f)}" for f in range(13)], made.choice([5, made.randrange(1000)])) for _ in range(700)]
+    names = [f"x{f}" for f in range(13)]
+    known = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", _y long")
+    sizes = known.select(F.posexplode(F.array(*names)).alias("feature", "_x")).groupBy("feature", "_x").agg(F.count("*").alias("_n"))
+    coded, layout = information._coded(known, sizes, names)
+    assert coded.columns == ["_y", "_p0"] and len(layout) == 13
+    placed = information._sliced(coded, 50).toPandas()
+    slices = placed.groupby("_slice")["_y"].agg(["min", "max", "size"]).sort_index()
+    assert slices["size"].max() <= 50 and slices.index.tolist() == list(range(len(slices))) and len(placed) == 700
+    assert (slices["max"].to_numpy()[:-1] <= slices["min"].to_numpy()[1:]).all()
+    codes = information._codes(placed, layout)
+    for f in range(13):  # as many values as before, each as often
+        assert sorted(Counter(codes[:, f]).values()) == sorted(v for v in Counter(r[f] for r in rows).values())

@@ -194,3 +194,15 @@ def test_functions_run_on_workers_from_any_folder():
     assert pickle.loads(cloudpickle.dumps(_average_path))(2) == 1.0
     said = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
     assert said.stdout.strip() == "1.0", said.stderr
+
+
+def test_lines_move_twice_for_all_columns(spark, folder):
+    """Once for the parts and once for the orders, which bring their customers; each join moved all lines before."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = star.spend_fact(spark, folder, "segment", "cat_l1", "cat_l2", "year_month", "rooms", "spend")._jdf.queryExecution().optimizedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line.split("Join")[1] for line in plan.toString().split("\n") if "Join " in line]
+    assert len(joins) == 3 and sum("l_" in j for j in joins) == 2 and "o_orderdate" not in plan.toString().split("Relation")[0]
