@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import regression as spark_ml
 
+from spendlake.catalog import learning
 from spendlake.models import trees
 from spendlake.models.regress import assemble, boosted, cut, forest, permutation_importance
 from spendlake.models.swapped import Walks
 from spendlake.operators import stats
+from spendlake.operators.clean import positive_spend
+from spendlake.session import shared_dir
+from spendlake.sources import star
 
 FEATURES = ["a", "b", "c", "d"]
 
@@ -65,11 +71,23 @@ def test_rows_and_features_are_drawn(planted):
     assert stats.scores(fewer.transform(planted), "label", "prediction").first()["r2"] > 0.7
 
 
-@pytest.mark.parametrize("learner", [boosted, forest])
-def test_more_rows_than_a_task_holds_are_left_to_spark(planted, monkeypatch, learner):
+def test_a_forest_of_more_rows_than_a_task_holds_is_left_to_spark(planted, monkeypatch):
     monkeypatch.setattr(trees, "TASK_FIT_ROWS", 100)
     monkeypatch.setattr(trees, "_pack", lambda *a: pytest.fail("one task"))
-    assert learner(2, 3).fit(planted).getNumTrees == 2
+    assert forest(2, 3).fit(planted).getNumTrees == 2
+
+
+def test_boosted_trees_over_blocks_are_those_of_one_task(spark, planted, monkeypatch):
+    """Blocks of two rounds at most stay while a fit runs, and none after it."""
+    whole, held, kept, folder = boosted(5, 5, 0.2, min_rows=3).fit(planted), [], trees._kept, Path(shared_dir(spark))
+    monkeypatch.setattr(trees, "TASK_FIT_ROWS", 100)
+    monkeypatch.setattr(trees, "_kept", lambda blocks: (kept(blocks), held.append(len([*folder.glob("blocks-*")])))[0])
+    found = boosted(5, 5, 0.2, min_rows=3).fit(planted)
+    assert predicted(found, planted) == pytest.approx(predicted(whole, planted), abs=1e-9)
+    assert found.featureImportances.toArray() == pytest.approx(whole.featureImportances.toArray(), abs=1e-9)
+    assert held == [1, 2, 2, 2, 2] and not [*folder.glob("blocks-*")]
+    drawn = boosted(8, 4, 0.2, subsample=0.6, columns=0.7).fit(planted)
+    assert stats.scores(drawn.transform(planted), "label", "prediction").first()["r2"] > 0.7
 
 
 def test_thresholds_lie_between_values():
@@ -116,3 +134,16 @@ def test_importance_scores_no_row_a_feature(spark, planted):
     assert [d._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") for d in (found, want)] == [1, 2]
     want = {r["feature"]: r["importance"] for r in want.collect()}
     assert {r["feature"]: r["importance"] for r in found.collect()} == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("task_rows", [1_000_000, 10])
+def test_the_training_frame_replaces_the_lines_it_was_made_from(spark, folder, monkeypatch, task_rows):
+    """Only the frame stays on the disks, as Parquet; many lines are not dealt out anew."""
+    monkeypatch.setattr(learning, "TASK_ROWS", task_rows)
+    kept = lambda: {p.name for p in Path(shared_dir(spark)).iterdir() if p.name.startswith(("lines-", "frame-")) and [*p.glob("*.parquet")]}
+    before = kept()
+    frame = learning._lines(spark, folder)
+    assert [name.split("-")[0] for name in kept() - before] == ["frame"] and all("/frame-" in f for f in frame.inputFiles())
+    want = positive_spend(star.spend_fact(spark, folder, "row_id", "spend"))
+    assert frame.count() == want.count() and frame.join(want, "row_id", "left_anti").count() == 0
+    assert frame.columns == ["row_id", "features", "label", "split", "fold"]
