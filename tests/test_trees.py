@@ -80,12 +80,13 @@ def test_a_forest_of_more_rows_than_a_task_holds_is_left_to_spark(planted, monke
 def test_boosted_trees_over_blocks_are_those_of_one_task(spark, planted, monkeypatch):
     """Blocks of two rounds at most stay while a fit runs, and none after it."""
     whole, held, kept, folder = boosted(5, 5, 0.2, min_rows=3).fit(planted), [], trees._kept, Path(shared_dir(spark))
+    before = len([*folder.glob("blocks-*")])
     monkeypatch.setattr(trees, "TASK_FIT_ROWS", 100)
-    monkeypatch.setattr(trees, "_kept", lambda blocks: (kept(blocks), held.append(len([*folder.glob("blocks-*")])))[0])
+    monkeypatch.setattr(trees, "_kept", lambda blocks: (kept(blocks), held.append(len([*folder.glob("blocks-*")]) - before))[0])
     found = boosted(5, 5, 0.2, min_rows=3).fit(planted)
     assert predicted(found, planted) == pytest.approx(predicted(whole, planted), abs=1e-9)
     assert found.featureImportances.toArray() == pytest.approx(whole.featureImportances.toArray(), abs=1e-9)
-    assert held == [1, 2, 2, 2, 2] and not [*folder.glob("blocks-*")]
+    assert held == [1, 2, 2, 2, 2] and len([*folder.glob("blocks-*")]) == before
     drawn = boosted(8, 4, 0.2, subsample=0.6, columns=0.7).fit(planted)
     assert stats.scores(drawn.transform(planted), "label", "prediction").first()["r2"] > 0.7
 
